@@ -38,3 +38,19 @@ def components(docs, threshold=75):
                 a, b = root(d), root(e)
                 parent[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), root(d)) for d in ids}
+
+
+def rule_counts(text):
+    """word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words"""
+    text = text or ""
+    w = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    at = {}
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(3)}
+    return sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), len(w)
