@@ -142,7 +142,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFr
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [f"{folder}/{name}"], "n_documents": [len(k)], "n_ids": [int(n.sum())], "low": [int(k[0])], "high": [int(k[-1])]})
 
     ranged = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
-    shards = stored(ranged.mapInArrow(run, "shard int, path string, n_documents bigint, n_ids bigint, low bigint, high bigint"), "shards")
+    shards = stored(ranged.mapInArrow(run, "shard bigint, path string, n_documents bigint, n_ids bigint, low bigint, high bigint"), "shards")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row a shard
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
