@@ -21,7 +21,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
         at = 0

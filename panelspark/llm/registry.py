@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, near_dedup, packing, quality_classifier, quality_rules, token_counts
+from . import audio, id_files, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, token_counts
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.stored_media(table(spark, sf_dir, "documents")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -26,6 +30,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.written_and_read(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -43,7 +51,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op4_quality_rules, op6_token_id_files, op8_quality_classifier, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_telephony_audio, op2_token_counts, op4_quality_rules, op5_sentence_pieces, op6_token_id_files, op8_quality_classifier, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
