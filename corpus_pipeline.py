@@ -1,10 +1,48 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input.
+
+Rows with n_words under 50 or repeated windows, and rows that the rules or the classifier reject, go; repeated line runs
+go from later copies; one document of each near-duplicate group stays; the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules
+from panelspark.llm.registry import tokenizer
+from panelspark.llm.shared import stored, table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.kept_documents(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("line_dedup", lines), ("minhash_near_dedup", near), ("best_fit_packing", packing_plan)]
+
+#: The rules' and the classifier's fits are iterative: no SQL. tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, id_files, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, token_counts
+from . import audio, id_files, line_dedup, main_text, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, token_counts
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.written_and_read(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_telephony_audio, op2_token_counts, op3_line_dedup, op4_quality_rules, op5_sentence_pieces, op6_token_id_files, op8_quality_classifier, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_telephony_audio, op2_token_counts, op3_line_dedup, op4_quality_rules, op5_sentence_pieces, op6_token_id_files, op7_main_text, op8_quality_classifier, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
