@@ -14,6 +14,7 @@ from ..operators import asof, attribution, labels, learning, performance, portfo
 from ..sources import adapters as A
 from ..sources import tables as S
 from .sql import YEARS, labels as labels_sql, query, robust as robust_sql
+from .stages import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,31 +42,34 @@ def r(*names: str, digits: int = 9) -> str:
 
 
 class Panels:
-    """The panels of one session and folder, and what the operators make of them."""
+    """The panels of one session and folder, and what the operators make of them; each is a stage that is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.lines = spark, A.table(spark, sf_dir, "lineitem")
+        self.spark, self.source, self.lines = spark, sf_dir, A.table(spark, sf_dir, "lineitem")
+
+    def _stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return stage(self.spark, self.source, name, build)
 
-    returns_d = property(lambda self: A.returns_d(self.lines))
-    returns_m = property(lambda self: A.returns_m(self.lines))
-    fundamentals = property(lambda self: A.fundamentals_q(self.lines))
-    factors = property(lambda self: A.factors_d(self.lines))
     anchors = property(lambda self: ratios.anchor_calendar(self.spark, *YEARS))
     asof = property(lambda self: ratios.asof_days(self.anchors, self.returns_m))
-    ratios = property(lambda self: ratios.fundamental_ratios(self.fundamentals, self.returns_m, self.anchors))
-    composite = property(lambda self: scores.composite(self.ratios))
+    returns_d = property(lambda self: self._stage("returns_d", lambda: A.returns_d(self.lines)))
+    returns_m = property(lambda self: self._stage("returns_m", lambda: A.returns_m(self.lines)))
+    fundamentals = property(lambda self: self._stage("fundamentals", lambda: A.fundamentals_q(self.lines)))
+    factors = property(lambda self: self._stage("factors", lambda: A.factors_d(self.lines)))
+    ratios = property(lambda self: self._stage("ratios", lambda: ratios.fundamental_ratios(self.fundamentals, self.returns_m, self.anchors)))
+    composite = property(lambda self: self._stage("composite", lambda: scores.composite(self.ratios)))
     ranking = property(lambda self: scores.ranked(self.composite))
-    invest = property(lambda self: scores.investment_ranking(self.ranking))
+    invest = property(lambda self: self._stage("invest", lambda: scores.investment_ranking(self.ranking)))
     features = property(lambda self: self.ratios.withColumnRenamed("asof_date", "date"))
+    labels = property(lambda self: self._stage("labels", lambda: labels.forward_labels(self.features, self.returns_m)))
+    selection = property(lambda self: self._stage("selection", self._select))
+    daily = property(lambda self: self._stage("daily", lambda: portfolio.daily_long_short(self.selection, self.returns_d)))
+    series = property(lambda self: performance.legs(self.daily))
 
-    @property
-    def selection(self) -> DataFrame:
+    def _select(self) -> DataFrame:
         both = [d.select(F.lit(m).alias("model"), "asof_date", "permno", "score") for m, d in (("composite", self.ranking), ("investment", self.invest))]
         return portfolio.decile_selection(both[0].union(both[1]))
 
-    daily = property(lambda self: portfolio.daily_long_short(self.selection, self.returns_d))
-    series = property(lambda self: performance.legs(self.daily))
-
 
 @registered("SELECT PERMNO, DATE, year(DATE)::INT AS year, CAST(count(*) OVER (PARTITION BY year(DATE)) AS BIGINT) AS year_rows FROM returns_d")
 def ingest_year_derivation(spark, d):
@@ -205,7 +209,8 @@ def cum_product_gross(spark, d):
 
 @registered(f"SELECT asof_date, permno, gvkey, {r(*ratios.BASE, 'MC_mn')}, {r('EV_FLEX', digits=4)}, EV_src, CFO_src, NOA_src, core_non_null FROM ratios")
 def fundamental_ratios(spark, d):
-    df = Panels(spark, d).ratios
+    p = Panels(spark, d)
+    df = ratios.fundamental_ratios(p.fundamentals, p.returns_m, p.anchors)
     return rounded(df.withColumn("EV_FLEX", F.round("EV_FLEX", 4)))
 
 
@@ -221,7 +226,7 @@ def robust_zscore_prices(spark, d):
 
 @registered(f"SELECT asof_date, gvkey, permno, {r('score_P', 'score_V', 'score_Q', 'score')} FROM composite")
 def composite_score(spark, d):
-    return rounded(Panels(spark, d).composite)
+    return rounded(scores.composite(Panels(spark, d).ratios))
 
 
 @registered(f"SELECT asof_date, rank, gvkey, permno, {r('score')} FROM ranking")
@@ -236,7 +241,7 @@ def score_dynamics(spark, d):
 
 @registered(f"SELECT asof_date, rank, gvkey, permno, {r('score')} FROM invest")
 def investment_ranking(spark, d):
-    return rounded(Panels(spark, d).invest)
+    return rounded(scores.investment_ranking(Panels(spark, d).ranking))
 
 
 @registered(f"SELECT asof_date AS date, permno, {r('avg_score', 'slope_score', 'vol_dscore')} FROM dynamics WHERE avg_score IS NOT NULL OR slope_score IS NOT NULL OR vol_dscore IS NOT NULL")
@@ -276,14 +281,14 @@ def ridge_moments(spark, d):
     rows = learning.window_rows(p.features.where("GP_AT is not null"), ["GP_AT"], 1.0)
     full = learning.anchor_windows(p.features, 1.0)
     rows = rows.select("date", "permno", "GP_AT").distinct().join(full, "date")
-    sums = learning.ridge_moments(learning._matured(rows, labels.forward_labels(p.features, p.returns_m)), ["GP_AT"])
+    sums = learning.ridge_moments(learning._matured(rows, p.labels), ["GP_AT"])
     return rounded(sums.select("dt", "horizon", "w_sum", F.col("mean_GP_AT").alias("mean_x"), "mean_y", F.col("s_0_0").alias("sxx"), F.col("t_0").alias("sxy")))
 
 
 @registered()
 def ridge_ranking_ratios(spark, d):
     p = Panels(spark, d)
-    return learning.ridge_ranking(p.features, labels.forward_labels(p.features, p.returns_m), learning.RATIO_FEATURES, **_NEW_MODELS)
+    return learning.ridge_ranking(p.features, p.labels, learning.RATIO_FEATURES, **_NEW_MODELS)
 
 
 @registered()
@@ -296,7 +301,7 @@ def ridge_ranking_scores(spark, d):
 @registered()
 def gbt_ranking_ratios(spark, d):
     p = Panels(spark, d)
-    return learning.tree_ranking(p.features, labels.forward_labels(p.features, p.returns_m), learning.RATIO_FEATURES, rounds=10, depth=3, last_anchors=1, **_NEW_MODELS)
+    return learning.tree_ranking(p.features, p.labels, learning.RATIO_FEATURES, rounds=10, depth=3, last_anchors=1, **_NEW_MODELS)
 
 
 @registered()
@@ -309,12 +314,12 @@ def gbt_ranking_scores(spark, d):
 @registered(f"SELECT date, permno, {r('pred_12m')} FROM (SELECT date, permno, sum(y * w) / sum(w) AS pred_12m FROM (SELECT *, CASE horizon WHEN '3mo' THEN 0.2::DOUBLE WHEN '6mo' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS w FROM labels) GROUP BY 1, 2)")
 def horizon_blend(spark, d):
     p = Panels(spark, d)
-    return rounded(labels.blended(labels.forward_labels(p.features, p.returns_m).withColumnRenamed("y", "pred")))
+    return rounded(labels.blended(p.labels.withColumnRenamed("y", "pred")))
 
 
 @registered("SELECT model, asof_date, permno, signal FROM selection")
 def decile_selection(spark, d):
-    return Panels(spark, d).selection
+    return Panels(spark, d)._select()
 
 
 @registered("SELECT model, asof_date, end_date, n_long, n_short FROM cohorts")
@@ -330,7 +335,8 @@ def cohort_nav(spark, d):
 
 @registered(f"SELECT model, DATE, {r('long_ret', 'short_ret', 'ls_ret')} FROM daily")
 def daily_long_short(spark, d):
-    return rounded(Panels(spark, d).daily)
+    p = Panels(spark, d)
+    return rounded(portfolio.daily_long_short(p.selection, p.returns_d))
 
 
 _RATIO = lambda x, below: f"CASE WHEN stddev_samp({below}) > 0 THEN avg({x}) / stddev_samp({below}) * sqrt(252.0::DOUBLE) END"
