@@ -3,7 +3,8 @@
 Pieces differ, for packing, by length alone, so the plan works on the counts of each length (at most `limit` of them).
 Single lengths that fill a sequence are taken first, then pairs and triples whose sums, looked up by the exact
 complement, fill the gap, as long as their counts last; what is left goes longest first into the open sequence with the
-least room that holds it. The plan is a list of runs: the pieces of one length, numbered, from one number on, go to
+least room that holds it. Plans that stop at pairs, or at single lengths, are tried too, and the one of fewest sequences
+is taken. The plan is a list of runs: the pieces of one length, numbered, from one number on, go to
 these sequences at this offset. Each task numbers the pieces of each length that it makes; adding the counts of the
 tasks before it gives numbers over the whole table, and each piece reads its place from the plan.
 
@@ -36,6 +37,11 @@ _PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, task int, n
 
 
 def planned(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[tuple[int, int]], int]]:
+    """The plan of fewest sequences among exact fillings by up to three, two and one pieces, each with best fit for the rest."""
+    return min((_filled(counts, limit, most) for most in (3, 2, 1)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _filled(counts: dict[int, int], limit: int, most: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns and how many sequences follow each; a pattern is a list of (length, how many of it)."""
     left = np.zeros(limit + 1, np.int64)
     for length, n in counts.items():
@@ -49,11 +55,11 @@ def planned(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[tuple
 
     if left[limit]:
         take([(limit, 1)], int(left[limit]))
-    for a in range(limit - 1, (limit - 1) // 2, -1):
+    for a in range(limit - 1, (limit - 1) // 2 if most > 1 else limit, -1):
         b = limit - a
         if n := int(left[a] // 2 if a == b else min(left[a], left[b])):
             take([(a, 2)] if a == b else [(a, 1), (b, 1)], n)
-    for a in range(limit - 2, (limit + 2) // 3 - 1, -1):
+    for a in range(limit - 2, (limit + 2) // 3 - 1 if most > 2 else limit, -1):
         gap = limit - a
         for b in range(min(a, gap - 1), (gap + 1) // 2 - 1, -1):
             if not left[a]:
