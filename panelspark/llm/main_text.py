@@ -11,8 +11,8 @@ What a path itself says comes first: blocks inside menus, footers, asides, forms
 element, or by a whole word of a class, id or role) are boilerplate, and an article's or main element's other blocks
 are content however often the article is copied. The tree decides on all other blocks.
 
-Only counts are shuffled for the trees; a page's blocks meet the low branches by a join on (host, path), and come
-together again by page. No group is larger than a page.
+Only counts are shuffled for the trees; the paths that a page's undecided blocks have meet the low branches by a join
+on (host, path), and each page gets the list of its own paths to cut. No group is larger than a page.
 
 Defined results: null or empty html gives an empty text; malformed and cut-off html is read as far as it goes; pages
 without a host form one site; repeated rows give one row each; other columns are ignored.
@@ -143,40 +143,33 @@ def _host(url: str | None) -> str:
     return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
 
 
-_ROWS = "row bigint, page_id {}, url string, host string, path string, standing int, texts array<struct<seq:int,text:string>>, children string"
+_PAGE = "row bigint, page_id {}, url string, host string, nodes array<struct<path:string,standing:int,children:string,texts:array<struct<seq:int,text:string>>>>"
+_NODES = pa.list_(pa.struct([("path", pa.string()), ("standing", pa.int32()), ("children", pa.string()), ("texts", pa.list_(pa.struct([("seq", pa.int32()), ("text", pa.string())])))]))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page, one row a path with the path's blocks and child sequence."""
-    kind = pa.list_(pa.struct([("seq", pa.int32()), ("text", pa.string())]))
-    names = ["row", "page_id", "url", "host", "path", "standing", "texts", "children"]
+    """For each page, its style nodes with their blocks and child sequences."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            rows: list[list] = [[] for _ in range(7)]
-            source = []
-            for k, (row, url, page) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            hosts, pages = [], []
+            for url, page in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 found, children = blocks_of(page)
                 by: dict[tuple[str, int], list] = {}
                 for seq, (path, text, standing) in enumerate(found):
                     by.setdefault((path, standing), []).append({"seq": seq, "text": text})
-                for path, names_ in children.items():
-                    if not any((path, s) in by for s in (BOILERPLATE, NEUTRAL, CONTENT)):
-                        by[path, NEUTRAL] = []
-                for (path, standing), texts in by.items() or [(("", NEUTRAL), [])]:
-                    below = children.get(path, [])
-                    for col, v in zip(rows, (row, url, _host(url), path, standing, texts, " ".join(x for i, x in enumerate(below) if i == 0 or below[i - 1] != x)), strict=True):
-                        col.append(v)
-                    source.append(k)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), kind, pa.string()]
-            cols = [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([cols[0], part.column(1).take(pa.array(source, pa.int64())), *cols[1:]], names=names)
-
-
-def read_blocks(pages: DataFrame) -> DataFrame:
+                for path in children.keys() - {p for p, _ in by}:
+                    by[path, NEUTRAL] = []
+                below = {p: " ".join(x for i, x in enumerate(c) if i == 0 or c[i - 1] != x) for p, c in children.items()}
+                hosts.append(_host(url))
+                pages.append([{"path": p, "standing": s, "children": below.get(p, ""), "texts": t} for (p, s), t in by.items()])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(hosts, pa.string()), pa.array(pages, _NODES)], names=["row", "page_id", "url", "host", "nodes"])
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html")
-    return stored(rows.mapInArrow(_read, _ROWS.format(kind)), "blocks")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.col("url").cast("string").alias("url"), "html")
+    return stored(rows.mapInArrow(_read, _PAGE.format(kind)), "pages")
 
 
 def importance(rows: DataFrame) -> DataFrame:
@@ -211,14 +204,16 @@ def low_paths(rows: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW)
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages` (columns page_id, url and html)."""
-    rows = read_blocks(pages)
+    read = read_pages(pages)
+    rows = read.select("row", "host", F.explode("nodes").alias("x")).select("row", "host", "x.path", "x.standing", "x.texts", "x.children")
     poor = low_paths(rows, least_pages, low)
-    sizes = rows.groupBy("host").agg(F.count_distinct("row").alias("host_pages"))
+    sizes = read.groupBy("host").agg(F.count("*").alias("host_pages"))
+    open_ = rows.where((F.col("standing") == NEUTRAL) & (F.size("texts") > 0)).select("row", "host", "path")
     of_host = poor.where("host <> '*'").join(sizes.where(F.col("host_pages") >= least_pages), "host").select("host", "path")
-    of_all = rows.select("host", "path").distinct().join(sizes.where(F.col("host_pages") < least_pages), "host").join(poor.where("host = '*'").select("path"), "path").select("host", "path")
-    cut = of_host.union(of_all).withColumn("low", F.lit(True))
-    judged = rows.join(cut, ["host", "path"], "left")
-    kept = F.when((F.col("standing") == CONTENT) | (F.col("standing") == NEUTRAL) & F.col("low").isNull(), F.col("texts"))
-    whole = judged.groupBy("row", "page_id", "url").agg(F.flatten(F.collect_list(kept)).alias("kept"))
-    text = F.array_join(F.transform(F.array_sort("kept"), lambda x: x["text"]), "\n\n")
-    return whole.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    of_all = open_.select("host", "path").distinct().join(sizes.where(F.col("host_pages") < least_pages), "host").join(poor.where("host = '*'").select("path"), "path").select("host", "path")
+    cut = open_.join(of_host.union(of_all), ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("cut"))
+    judged = read.join(cut, "row", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<string>")))
+    stays = lambda x: (x["standing"] == CONTENT) | (x["standing"] == NEUTRAL) & ~F.array_contains(F.col("cut"), x["path"])
+    kept = F.flatten(F.transform(F.filter("nodes", stays), lambda x: x["texts"]))
+    text = F.array_join(F.transform(F.array_sort(kept), lambda x: x["text"]), "\n\n")
+    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
