@@ -2,10 +2,11 @@
 
 Each document's set of 5-word shingles is hashed once; the hash's top bits choose a bin and each bin keeps its least
 hash. Empty bins borrow from a full bin chosen by a hash of (bin, attempt), the same attempt order for every document
-(optimal densification). Rows of bins form bands; a band's value is a bucket. In each bucket a hub is drawn by hash,
-and edges go from it to each member only, so that a bucket of n documents gives n - 1 candidates. Every candidate is
-confirmed on full shingle sets. Buckets whose members are still in several components are looked at again: members
-outside the hub's component are compared across components, so that no link is lost because its hub was a bad match.
+(optimal densification). Rows of bins form bands; a band's value is a bucket. In each bucket the member that meets most
+others in all its buckets is the hub, and edges go from it to each member only, so that a bucket of n documents gives
+n - 1 candidates. Every candidate is confirmed on full shingle sets. Buckets whose members are still in several
+components are looked at again, first from a second hub, then by an exact search for the partners of every member
+outside the hub's component, so that no link is lost because its hub was a bad match.
 
 Defined results: null or word-free text has an empty set, links to nothing and is its own component; documents of
 fewer than five words have one shingle, the whole sequence; equal sets are one node; rows that share a doc_id share a
@@ -88,6 +89,12 @@ def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mixed(keys + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def _sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each bin, 32 bins a word: similar sets differ in few bits."""
+    pairs = (sig & np.uint64(3)).reshape(len(sig), -1, 32)
+    return (pairs << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64).view(np.int64)
+
+
 def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -97,13 +104,14 @@ def _described(id_type: pa.DataType, rows: int):
         for batch, data, starts in blocks(batches):
             sets = shingle_sets(data, starts)
             filled = [i for i, s in enumerate(sets) if len(s)]
-            keys = _band_keys(signatures([sets[i] for i in filled]), rows)
+            sig = signatures([sets[i] for i in filled])
             bands: list = [None] * len(sets)
-            for i, k in zip(filled, keys, strict=True):
-                bands[i] = k
+            sketch: list = [None] * len(sets)
+            for i, k, b in zip(filled, _band_keys(sig, rows), _sketches(sig), strict=True):
+                bands[i], sketch[i] = k, b
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bands"],
+                [batch.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "node", "bands", "sketch"],
             )
 
     return run
@@ -156,27 +164,32 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> D
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = pa.int64() if dict(docs.dtypes)["doc_id"] in ("bigint", "int") else pa.string()
     id_sql = "bigint" if kind == pa.int64() else "string"
-    described = stored(docs.mapInArrow(_described(kind, rows), f"doc_id {id_sql}, n_shingles bigint, node bigint, bands array<bigint>"), "described")
-    nodes = stored(described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "nodes")
+    described = stored(docs.mapInArrow(_described(kind, rows), f"doc_id {id_sql}, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>"), "described")
+    nodes = stored(described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    drawn = F.xxhash64("node", "bucket")
-    hubs = members.groupBy("bucket").agg(F.min_by("node", drawn).alias("hub"), F.count("*").alias("n"), F.min_by("size", drawn).alias("hub_size")).where("n > 1")
-    crowd = stored(members.join(hubs, "bucket"), "buckets")
+    shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    central = shared.groupBy("node").agg(F.sum("n").alias("central"))
+    crowd = stored(shared.join(central, "node"), "buckets")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * threshold
-    star = crowd.where((F.col("node") != F.col("hub")) & fits("size", "hub_size")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    checked = _checked(docs, nodes, star, threshold)
-    links = checked.where("linked").select("a", "b")
-    found = stored(components(links), "components")
-    # Buckets that still hold several components: compare across components what the hub did not decide.
-    known = crowd.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = stored(known.join(open_, "bucket").where("node <> hub").select("bucket", "node", "size", "component"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits("x.size", "y.size"))
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _checked(docs, nodes, cross, threshold)
+    first = F.struct("central", "node")
+    hubs = crowd.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), first).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
+    sets = _sets(docs, nodes.join(central.select("node"), "node", "left_semi"))
+    star = crowd.join(hubs, "bucket").where((F.col("node") != F.col("hub")) & fits("size", "hub_size"))
+    checked = _checked(sets, _pairs(star, "node", "hub").distinct(), threshold)
+    found = _found(checked)
+    # Buckets of three and more that still hold several components: a second hub from those that the first did not link.
+    known, out = _open(crowd, hubs, found)
+    one = out.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "component"), first).alias("h")).select("bucket", F.col("h.node").alias("one"), F.col("h.size").alias("one_size"), F.col("h.component").alias("one_component"))
+    cross = one.join(known, "bucket").where((F.col("component") != F.col("one_component")) & fits("size", "one_size"))
+    more = _checked(sets, _fresh(cross, checked), threshold)
+    checked = checked.union(more)
     if more.where("linked").limit(1).count():
-        found = stored(components(links.union(more.where("linked").select("a", "b"))), "components")
+        found = _found(checked)
+    # Then, exactly: what is still outside the hub's component against all others of the hub's buckets.
+    more = _checked(sets, _fresh(_beside(sets, nodes, *_open(crowd, hubs, found), hubs, threshold), checked), threshold)
+    checked = checked.union(more)
+    if more.where("linked").limit(1).count():
+        found = _found(checked)
     named = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")
@@ -185,13 +198,99 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> D
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
-def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """a, b, linked: each pair of nodes confirmed on the full sets of one document of each node."""
-    pairs = stored(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.join(asked, "node").select("node", F.col("rep").alias("doc_id"))
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _found(checked: DataFrame) -> DataFrame:
+    return stored(components(checked.where("linked").select("a", "b")), "components")
+
+
+def _fresh(cross: DataFrame, checked: DataFrame) -> DataFrame:
+    return _pairs(cross, "node", "one").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _open(crowd: DataFrame, hubs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets of three and more with their components, and those outside their hub's component."""
+    known = crowd.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_hub = hubs.join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left").select("bucket", "hub", F.coalesce("hub_component", "hub").alias("hub_component"))
+    return known, known.join(of_hub, "bucket").where("component <> hub_component").select(*known.columns)
+
+
+def _beside(sets: DataFrame, nodes: DataFrame, known: DataFrame, out: DataFrame, hubs: DataFrame, threshold: int) -> DataFrame:
+    """node, one: every pair that may be a link, of a member outside its hub's component and another member of a bucket.
+
+    Let o be a set's overlap with the hub. A link of x and y, |x| <= |y|, needs |x & y| >= t * (|x| + |y|) with
+    t = s / (1 + s) for the similarity s; at most min(o(x), o(y)) of it lies in the hub, at most
+    min(|x - hub|, |y - hub|) outside. If min(o(x), o(y)) does not reach the bound alone, x and y share shingles outside
+    the hub: 2 t |x| - o(x) at least as seen from x, s |y| - o(y) from y. By the prefix principle they then share one
+    among the first |x - hub| - that + 1 of x - hub, and likewise for y, rarest first; those that no other set of the
+    hub has come first and need no look. If min(o(x), o(y)) reaches the bound, o(x) / t - |x| bounds |y|. Both are
+    equi-joins. Pairs whose sketches (two bits of each bin) differ by five deviations more than a pair at the threshold
+    would are left out: a link is lost to this with a probability of some 1e-6, as little as to the bands themselves.
+    """
+    outer = out.select("bucket", "node").withColumn("outer", F.lit(True))
+    rows = known.join(outer.select("bucket").distinct(), "bucket").join(outer, ["bucket", "node"], "left").join(hubs.select("bucket", "hub"), "bucket").where("node <> hub")
+    rows = stored(rows.groupBy("hub", "node").agg(F.first("size").alias("size"), F.first("component").alias("component"), F.max(F.coalesce("outer", F.lit(False))).alias("outer")), "beside")
+    own = sets.select("node", F.col("shingles").alias("own"))
+    of_hub = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("theirs"))
+    apart = rows.join(own, "node").join(of_hub, "hub").select("hub", "node", "size", "component", "outer", "own", "theirs").mapInArrow(_apart, "hub bigint, node bigint, size bigint, component bigint, outer boolean, overlap bigint, apart array<bigint>")
+    words = [f"s{i}" for i in range(BINS // 32)]
+    drawn = nodes.select("node", *[F.col("sketch")[i].alias(w) for i, w in enumerate(words)])
+    apart = stored(apart.join(drawn, "node"), "apart")
+    # sketches of sets at the threshold differ in (1 - s) * BINS bits, give or take; five deviations more are let through
+    away = 1 - threshold / 100
+    most_bits = int(away * BINS + 5 * (BINS * (1.5 * away - away * away)) ** 0.5)
+    near = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0)) <= most_bits
+    fits = (F.col("x.component") != F.col("y.component")) & (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * threshold) & near
+    pair = [F.col("x.node").alias("node"), F.col("y.node").alias("one")]
+    keys = apart.select("hub", "node", F.explode("apart").alias("key"))
+    common = keys.join(keys.groupBy("hub", "key").agg(F.count("*").alias("n")).where("n > 1"), ["hub", "key"])
+    listed = common.groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("listed"))  # of one set
+    spread = apart.drop("apart").join(listed, ["hub", "node"])
+    # of the first n_apart - needed + 1 by rarity, the n_apart - size(listed) that no other set has are the first
+    prefix = lambda needed: F.explode(F.slice("listed", F.lit(1), F.greatest(F.size("listed") - F.greatest(F.ceil(needed) - F.col("overlap"), F.lit(1)) + 1, F.lit(0)).cast("int"))["key"]).alias("key")
+    columns = ["hub", "node", "size", "component", "outer", "overlap", *words]
+    x = spread.select(*columns, prefix(F.col("size") * (2 * threshold) / (100 + threshold))).alias("x")
+    y = spread.select(*columns, prefix(F.col("size") * threshold / 100)).alias("y")
+    most_shared = F.least("x.overlap", "y.overlap") + F.least(F.col("x.size") - F.col("x.overlap"), F.col("y.size") - F.col("y.overlap"))
+    can = most_shared * (100 + threshold) >= (F.col("x.size") + F.col("y.size")) * threshold
+    upward = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
+    by_shingle = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.key") == F.col("y.key")) & upward & (F.col("x.outer") | F.col("y.outer")) & fits & can).select(*pair)
+    # sizes in steps of about an eighth; x looks into the steps from s * |x| to o(x) / t - |x|
+    step = lambda c: F.floor(F.log2(c) * 6)
+    sized = apart.where(F.col("overlap") * 100 >= F.col("size") * threshold).drop("apart")
+    most = F.least(F.col("overlap") * (100 + threshold) / threshold - F.col("size"), F.col("size") * 100 / threshold)
+    x = sized.where("outer").withColumn("most", most).withColumn("least", F.col("size") * threshold / 100).where("most >= least and most >= 1")
+    x = x.withColumn("key", F.explode(F.sequence(step(F.greatest("least", F.lit(1))), step(F.col("most")))))
+    y = sized.withColumn("key", step(F.col("size")))
+    bound = F.least("x.overlap", "y.overlap") * (100 + threshold) >= (F.col("x.size") + F.col("y.size")) * threshold
+    by_size = x.alias("x").join(y.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.key") == F.col("y.key")) & fits & bound).select(*pair)
+    return by_shingle.union(by_size)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's overlap with its hub, and its other shingles."""
+    for batch in batches:
+        overlap, apart = [], []
+        for own, theirs in zip(batch.column(5), batch.column(6), strict=True):
+            own, theirs = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(theirs.as_buffer(), np.uint64)
+            at = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+            rest = own[theirs[at] != own]
+            overlap.append(len(own) - len(rest))
+            apart.append(rest.view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(overlap, pa.int64()), pa.array(apart, pa.list_(pa.int64()))], names=["hub", "node", "size", "component", "outer", "overlap", "apart"])
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its full sorted shingle set, from one document of each node."""
+    chosen = nodes.select("node", F.col("rep").alias("doc_id"))
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
-    sets = stored(texts.mapInArrow(_sets_of, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+    return stored(texts.mapInArrow(_sets_of, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+
+
+def _checked(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """a, b, linked: each pair of nodes confirmed on their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
