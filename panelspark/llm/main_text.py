@@ -211,7 +211,8 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW
     open_ = rows.where((F.col("standing") == NEUTRAL) & (F.size("texts") > 0)).select("row", "host", "path")
     of_host = poor.where("host <> '*'").join(sizes.where(F.col("host_pages") >= least_pages), "host").select("host", "path")
     of_all = open_.select("host", "path").distinct().join(sizes.where(F.col("host_pages") < least_pages), "host").join(poor.where("host = '*'").select("path"), "path").select("host", "path")
-    cut = open_.join(of_host.union(of_all), ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("cut"))
+    # written, so that Spark knows its size: pages are only shuffled where it is too large to broadcast
+    cut = stored(open_.join(of_host.union(of_all), ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("cut")), "cut")
     judged = read.join(cut, "row", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<string>")))
     stays = lambda x: (x["standing"] == CONTENT) | (x["standing"] == NEUTRAL) & ~F.array_contains(F.col("cut"), x["path"])
     kept = F.flatten(F.transform(F.filter("nodes", stays), lambda x: x["texts"]))
