@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, blocks, document_of, mixed, span_hashes, spans
 from .shared import forget, stored
 
-WIDTH, BINS, ROWS = 5, 128, 4
+WIDTH, BINS, ROWS, SKETCH = 5, 128, 4, 512
 _ODD = mixed(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | np.uint64(1)
 _TRIES = 4096
 _PROBE = (mixed((np.arange(BINS, dtype=np.uint64)[:, None] << np.uint64(20)) + np.arange(1, _TRIES + 1, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64)
@@ -89,10 +89,14 @@ def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mixed(keys + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _sketches(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each bin, 32 bins a word: similar sets differ in few bits."""
-    pairs = (sig & np.uint64(3)).reshape(len(sig), -1, 32)
-    return (pairs << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64).view(np.int64)
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, whether each of SKETCH bins (by top bits) holds an odd number of its hashes.
+
+    The bins in which two sets' bits differ hold an element each that only one of them has, so that no more bits differ
+    than there are such elements.
+    """
+    odd = [np.bincount((s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1 for s in sets]
+    return np.packbits(np.array(odd, np.uint8).reshape(len(sets), SKETCH), axis=1).view(np.int64)
 
 
 def _node(s: np.ndarray) -> int:
@@ -104,10 +108,11 @@ def _described(id_type: pa.DataType, rows: int):
         for batch, data, starts in blocks(batches):
             sets = shingle_sets(data, starts)
             filled = [i for i, s in enumerate(sets) if len(s)]
-            sig = signatures([sets[i] for i in filled])
+            some = [sets[i] for i in filled]
+            sig = signatures(some)
             bands: list = [None] * len(sets)
             sketch: list = [None] * len(sets)
-            for i, k, b in zip(filled, _band_keys(sig, rows), _sketches(sig), strict=True):
+            for i, k, b in zip(filled, _band_keys(sig, rows), _sketches(some), strict=True):
                 bands[i], sketch[i] = k, b
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
@@ -226,8 +231,8 @@ def _beside(sets: DataFrame, nodes: DataFrame, known: DataFrame, out: DataFrame,
     the hub: 2 t |x| - o(x) at least as seen from x, s |y| - o(y) from y. By the prefix principle they then share one
     among the first |x - hub| - that + 1 of x - hub, and likewise for y, rarest first; those that no other set of the
     hub has come first and need no look. If min(o(x), o(y)) reaches the bound, o(x) / t - |x| bounds |y|. Both are
-    equi-joins. Pairs whose sketches (two bits of each bin) differ by five deviations more than a pair at the threshold
-    would are left out: a link is lost to this with a probability of some 1e-6, as little as to the bands themselves.
+    equi-joins. A link also needs |x ^ y| <= (1 - s) / (1 + s) * (|x| + |y|), and sketches never differ in more bits than
+    |x ^ y|: pairs whose sketches differ in more are left out, and no link is among them.
     """
     outer = out.select("bucket", "node").withColumn("outer", F.lit(True))
     rows = known.join(outer.select("bucket").distinct(), "bucket").join(outer, ["bucket", "node"], "left").join(hubs.select("bucket", "hub"), "bucket").where("node <> hub")
@@ -235,13 +240,11 @@ def _beside(sets: DataFrame, nodes: DataFrame, known: DataFrame, out: DataFrame,
     own = sets.select("node", F.col("shingles").alias("own"))
     of_hub = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("theirs"))
     apart = rows.join(own, "node").join(of_hub, "hub").select("hub", "node", "size", "component", "outer", "own", "theirs").mapInArrow(_apart, "hub bigint, node bigint, size bigint, component bigint, outer boolean, overlap bigint, apart array<bigint>")
-    words = [f"s{i}" for i in range(BINS // 32)]
+    words = [f"s{i}" for i in range(SKETCH // 64)]
     drawn = nodes.select("node", *[F.col("sketch")[i].alias(w) for i, w in enumerate(words)])
     apart = stored(apart.join(drawn, "node"), "apart")
-    # sketches of sets at the threshold differ in (1 - s) * BINS bits, give or take; five deviations more are let through
-    away = 1 - threshold / 100
-    most_bits = int(away * BINS + 5 * (BINS * (1.5 * away - away * away)) ** 0.5)
-    near = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0)) <= most_bits
+    bits = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+    near = bits * (100 + threshold) <= (F.col("x.size") + F.col("y.size")) * (100 - threshold)
     fits = (F.col("x.component") != F.col("y.component")) & (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * threshold) & near
     pair = [F.col("x.node").alias("node"), F.col("y.node").alias("one")]
     keys = apart.select("hub", "node", F.explode("apart").alias("key"))

@@ -267,6 +267,27 @@ def test_near_duplicates_of_families(spark):
     assert got == want
 
 
+def test_pairs_beside_a_hub_of_short_texts(spark):
+    """No link is left out before the check on full sets: 400 pairs of 3 and 4, or 9 and 12, shingles, each beside a hub."""
+    g = random.Random(5)
+    word = lambda: "".join(g.choices("abcdefgh", k=6))
+    rows = []
+    for k in range(400):
+        w = [word() for _ in range(8 if k % 2 else 16)]
+        rows += [(3 * k, " ".join(w[: 7 if k % 2 else 13])), (3 * k + 1, " ".join(w)), (3 * k + 2, " ".join(word() for _ in range(14)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    import pyarrow as pa
+
+    nodes = docs.mapInArrow(near_dedup._described(pa.int64(), near_dedup.ROWS), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>").withColumnsRenamed({"doc_id": "rep", "n_shingles": "size"}).persist()
+    known = nodes.select(F.expr("rep div 3").alias("bucket"), "node", "size", F.col("node").alias("component"), "rep")
+    hubs = known.where("rep % 3 = 2").select("bucket", F.col("node").alias("hub"), F.col("size").alias("hub_size"))
+    known, out = known.drop("rep"), known.where("rep % 3 < 2").drop("rep")
+    found = near_dedup._beside(near_dedup._sets(docs, nodes), nodes, known, out, hubs, 75)
+    of = {r.node: r.rep for r in nodes.collect()}
+    got = {tuple(sorted((of[r.node], of[r.one]))) for r in found.collect()}
+    assert got == {(3 * k, 3 * k + 1) for k in range(400)}
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li>Menu</ul></nav><div class='ad banner'>Buy</div><article><h1>A &amp; B</h1><p>One <b>two<br>three<p>Four&nbsp;&lt;x&gt;<section class=comments><p>Nice!</section></article><footer>F</footer>"
     rows = [(1, "http://h.example/a", page), (2, "http://h.example/b", None), (3, None, ""), (4, "http://h.example/c", page + "<p"), (1, "http://h.example/a", page), (5, "x", "plain < text\n more")]
