@@ -2,8 +2,9 @@
 
 The model protobuf is parsed here, and normaliser, metaspace marker, scores (or merges, for a BPE model) and byte
 fallback are rebuilt for the tokenizers library. Texts are cut where no piece can cross, before a run of blanks and
-around line ends; the distinct parts of a block are encoded in one multithreaded batch, by both libraries, and decoded
-again. Where they differ, the sentencepiece library's ids stand, and the part counts as differing.
+around line ends; the distinct parts of a block are encoded in one batch of the tokenizers library, on a task's cores,
+and decoded again. Its ids are the result; the sentencepiece library encodes each part too, and where it gives others,
+the part counts as differing.
 
 Defined results: null text is empty and has no tokens; repeated rows are encoded alike; control strings in texts are
 plain text; an empty table gives no rows; other columns are ignored.
@@ -138,7 +139,7 @@ def _coder(path: str, threads: int) -> tuple[bool, Store]:
             if inner:  # parts after a line end, and lone blanks: the library is asked with a line end before them
                 b = theirs.encode("\n" + text)
                 b = b[len(theirs.encode("\n")) :]
-            out.append([(a != b) | (again != text) << 1, *b])
+            out.append([(a != b) | (again != text) << 1, *a])
         return out
 
     return parts, Store(encode, 2_000_000)
@@ -171,18 +172,19 @@ def pieces_of(data: np.ndarray, starts: np.ndarray, path: str, threads: int = 1)
     return ids[keep], edge, np.bincount(doc[(flags & 1) > 0], minlength=n), np.bincount(doc[(flags & 2) > 0], minlength=n)
 
 
-def encoded_pieces(docs: DataFrame, model: str, threads: int = 1) -> DataFrame:
+def encoded_pieces(docs: DataFrame, model: str, threads: int | None = None) -> DataFrame:
     """doc_id, ids, n_differing and round_trip for every row of `docs` (columns doc_id and text)."""
     return _encoded(docs, model, threads, False)
 
 
-def piece_digests(docs: DataFrame, model: str, threads: int = 1) -> DataFrame:
+def piece_digests(docs: DataFrame, model: str, threads: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit integers), n_differing, round_trip."""
     return _encoded(docs, model, threads, True)
 
 
-def _encoded(docs: DataFrame, model: str, threads: int, digest: bool) -> DataFrame:
+def _encoded(docs: DataFrame, model: str, threads: int | None, digest: bool) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
+    threads = threads or int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in blocks(batches, most=BLOCK):

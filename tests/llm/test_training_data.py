@@ -177,6 +177,24 @@ def test_sentence_pieces(spark, edge, docs):
     assert sentence_pieces.piece_digests(docs, PIECES).where("n_differing > 0 or not round_trip").count() == 0
 
 
+def test_ids_are_those_of_the_rebuilt_backend(monkeypatch):
+    """Another result of the sentencepiece library is counted, and does not replace the backend's ids."""
+    import sentencepiece
+
+    raw = [t.encode() for t in ("A plain text of some words.", "naïve café 日本")]
+    data, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    sentence_pieces._coder.cache_clear()
+    want, _, differ, _ = sentence_pieces.pieces_of(data, starts, PIECES)
+    assert not differ.any()
+    right = sentencepiece.SentencePieceProcessor.encode
+    other = lambda self, x, **k: [0, *right(self, x, **k)] if isinstance(x, str) else [[0, *y] for y in right(self, x, **k)]
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", other)
+    sentence_pieces._coder.cache_clear()
+    got, _, differ, _ = sentence_pieces.pieces_of(data, starts, PIECES)
+    sentence_pieces._coder.cache_clear()
+    assert got.tolist() == want.tolist() and differ.all()
+
+
 def test_unigram_backend_of_a_model():
     """A unigram model's pieces by the rebuilt backend: the best-scoring cut, and bytes for what no piece covers."""
     pieces = [("<unk>", 0.0, 2), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], ("▁", -3.0, 1), ("▁ab", -1.0, 1), ("a", -2.0, 1), ("b", -2.0, 1), ("c", -2.5, 1)]
