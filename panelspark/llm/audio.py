@@ -2,7 +2,8 @@
 
 Bytes are kept losslessly as 8-bit G.711 samples in a WAV file per row. Stored files are read back and expanded to
 16-bit PCM: mu-law and A-law by tables of 256 values, IMA ADPCM by decoding all blocks at once, one nibble position a
-step. PCM is resampled by linear interpolation in integers.
+step. PCM is resampled by linear interpolation in integers and written to the shared folder; its digests are taken from
+the stored bytes.
 
 Defined results: null text is empty, and empty text is one block of 64 zero bytes; repeated rows give equal values; an
 empty table gives no rows; other columns are ignored.
@@ -18,12 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .blocks import blocks
 from .shared import stored
 
 UNIT, RATE, OUT_RATE = 64, 8000, 16000
-MU_LAW, A_LAW = 7, 6
+MU_LAW, A_LAW, IMA = 7, 6, 17
 #: IMA ADPCM step sizes and index changes.
 IMA_STEPS = np.array(
     [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767],
@@ -49,8 +51,12 @@ EXPANDED = {MU_LAW: _mu_law(), A_LAW: _a_law()}
 
 
 def wav(payload: bytes, law: int = MU_LAW, rate: int = RATE) -> bytes:
-    """A mono WAV file whose 8-bit samples are `payload`."""
-    head = struct.pack("<4sIHHIIHHH", b"fmt ", 18, law, 1, rate, rate, 1, 8, 0) + struct.pack("<4sII", b"fact", 4, len(payload)) + struct.pack("<4sI", b"data", len(payload))
+    """A mono WAV file whose 8-bit samples, or blocks of IMA ADPCM, are `payload`."""
+    if law == IMA:
+        per = 1 + 2 * (UNIT - 4)
+        head = struct.pack("<4sIHHIIHHHH", b"fmt ", 20, law, 1, rate, rate * UNIT // per, UNIT, 4, 2, per) + struct.pack("<4sII", b"fact", 4, len(payload) // UNIT * per) + struct.pack("<4sI", b"data", len(payload))
+    else:
+        head = struct.pack("<4sIHHIIHHH", b"fmt ", 18, law, 1, rate, rate, 1, 8, 0) + struct.pack("<4sII", b"fact", 4, len(payload)) + struct.pack("<4sI", b"data", len(payload))
     return struct.pack("<4sI4s", b"RIFF", 4 + len(head) + len(payload) + len(payload) % 2, b"WAVE") + head + payload + b"\0" * (len(payload) % 2)
 
 
@@ -108,8 +114,12 @@ def stored_media(docs: DataFrame, law: int = MU_LAW, rate: int = RATE) -> DataFr
     return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary"), "media")
 
 
+def _expanded(law: int, data: np.ndarray) -> np.ndarray:
+    return adpcm(data[: len(data) // UNIT * UNIT]).ravel() if law == IMA else EXPANDED[law][data]
+
+
 def pcm(media: DataFrame, rate: int = OUT_RATE) -> DataFrame:
-    """doc_id and 16-bit little-endian PCM at `rate` of G.711 files in a media column."""
+    """doc_id and 16-bit little-endian PCM at `rate` of G.711 and IMA ADPCM files in a media column, written to the shared folder."""
     kind = dict(media.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +127,10 @@ def pcm(media: DataFrame, rate: int = OUT_RATE) -> DataFrame:
             out = []
             for file in batch.column(1):
                 law, own, data = samples(file.as_py())
-                out.append(resampled(EXPANDED[law][np.frombuffer(data, np.uint8)], own, rate).astype("<i2").tobytes())
+                out.append(resampled(_expanded(law, np.frombuffer(data, np.uint8)), own, rate).astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, pcm binary")
+    return stored(media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, pcm binary"), "pcm")
 
 
 def _root_mean_square(x: np.ndarray) -> int:
@@ -129,7 +139,7 @@ def _root_mean_square(x: np.ndarray) -> int:
 
 
 def digests(media: DataFrame, rate: int = OUT_RATE) -> DataFrame:
-    """Digests and features of a stored media column, from the bytes read back."""
+    """Digests and features of a stored media column, and of its PCM at `rate`, which is written beside them; from the bytes read back."""
     kind = dict(media.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +151,15 @@ def digests(media: DataFrame, rate: int = OUT_RATE) -> DataFrame:
             waves = adpcm(whole)
             out = []
             for (law, own, p), file, n, a, b in zip(read, files, batch.column(1).to_pylist(), edges[:-1], edges[1:], strict=True):
-                x = EXPANDED[law][whole[a:b]]
+                x = _expanded(law, whole[a:b])
                 y = resampled(x, own, rate).astype("<i2").tobytes()
                 other = EXPANDED[A_LAW if law == MU_LAW else MU_LAW][whole[a:b]]
                 wide = x.astype(np.int32)
                 feature = f"samples={len(x)} peak={int(np.abs(wide).max())} rms={_root_mean_square(wide)} crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())} other_rms={_root_mean_square(other)} adpcm_rms={_root_mean_square(waves[a // UNIT : b // UNIT])}"
-                out.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature, len(y), hashlib.sha256(y).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"]
+                out.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature, y))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", *names])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string")
+    out = stored(media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm binary"), "pcm")
+    return out.select(*out.columns[:-1], F.length("pcm").cast("bigint").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))

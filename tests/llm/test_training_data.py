@@ -58,6 +58,20 @@ def test_audio(spark, edge):
     assert np.frombuffer(pcm, "<i2")[0] == audio.EXPANDED[7][ord("a")]
 
 
+def test_resampled_pcm_is_stored(spark, edge):
+    import hashlib
+
+    got = audio.digests(audio.stored_media(edge))
+    assert any("/pcm-" in f for f in got.inputFiles())
+    payload = bytes(np.random.default_rng(4).integers(0, 256, 640, dtype=np.uint8))
+    media = spark.createDataFrame([(law, 640, bytearray(audio.wav(payload, law))) for law in (6, 7, 17)], "doc_id bigint, n_bytes bigint, media binary")
+    data = np.frombuffer(payload, np.uint8)
+    want = {law: audio.resampled(x, 8000, 16000).astype("<i2").tobytes() for law, x in ((6, audio.EXPANDED[6][data]), (7, audio.EXPANDED[7][data]), (17, audio.adpcm(data).ravel()))}
+    kept = audio.pcm(media)
+    assert any("/pcm-" in f for f in kept.inputFiles()) and {r.doc_id: bytes(r.pcm) for r in kept.collect()} == want
+    assert {r.doc_id: (r.pcm_bytes, r.pcm_sha256) for r in audio.digests(media.where("doc_id < 8")).collect()} == {k: (len(want[k]), hashlib.sha256(want[k]).hexdigest()) for k in (6, 7)}
+
+
 def test_adpcm_one_block_at_a_time():
     data = np.random.default_rng(1).integers(0, 256, 640, dtype=np.uint8)
     assert (audio.adpcm(data) == np.concatenate([audio.adpcm(data[k : k + 64]) for k in range(0, 640, 64)])).all()
