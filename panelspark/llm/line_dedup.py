@@ -1,16 +1,21 @@
-"""Operator 3: line deduplication by suffixes of line-id sequences. DataFrame functions only.
+"""Operator 3: line deduplication by the suffixes of line-id sequences. DataFrame functions only.
 
-A document is the sequence of ids (64-bit hashes) of its lines with a visible character; its suffixes start at each of
-them. Prefix doubling names the suffixes' prefixes of 1, 2, 4, ... lines: the name at 2n is the hash of the names at n
-of the suffix and of the one n lines on. Suffixes of one name form an LCP interval of that depth. A suffix whose name
-no other has is decided and leaves, so each round is smaller than the one before, and rounds end when no repeated run
-is that long. Names need not be ranks in a global order: intervals are groups of equal prefixes, whatever the order
-between groups, so no round sorts all suffixes.
+A document is the sequence of its lines with a visible character; a suffix starts at each of them. Prefix doubling ranks
+suffixes by their first 1, 2, 4, ... lines: the rank at 2n orders the pairs of the ranks at n of a suffix and of the one
+n lines on, by a distributed sort of the distinct pairs. Lines enter by a 128-bit hash (two of 1e11 lines share one with a
+probability of 2e-17); from there on ranks stand for pairs of ranks, and nothing else can collide. A suffix that shares
+its rank with no other is decided and leaves, so that rounds shrink, and they end when no repeated run is that long.
 
-The first suffix of an interval, in the order of (doc_id, text hash, line), is the original; the others start a later
-copy. A repeated run counts if it has `min_lines` (a power of two) lines, or is one line of `min_chars` characters.
-Every line inside a later copy of such a run is deleted: a copy of any greater length is the union of its windows of
-`min_lines` lines, each of which is a later copy as well.
+Suffixes of one rank at 2n are an LCP interval of depth 2n at least. Descending from the last round, each interval is
+split by the ranks of the lines that follow, at half the step each time. Of each part the first suffix, in the order of
+(doc_id, text hash, line), stays as well in the interval above, for those that the split took away from all earlier
+ones. So every suffix ends in the deepest interval that holds an earlier suffix, and that depth is the length of
+its longest run of lines that stands somewhere before: a maximal repeated run, of any length.
+
+A later copy counts if it has `min_lines` lines, or is one line of `min_chars` characters. All its lines are deleted.
+
+Ranks that more than one of HOT rows hold are at most HOT, and meet their rows by a broadcast; the rest is joined by
+hash, with keys of one HOT-th of the rows at most. Text is put together from the slices between deleted lines.
 
 Defined results: null text stays null and has 0 lines; lines without a visible character are never deleted and do not
 break runs; rows with the same doc_id and text are one document, so repeated rows get the same result; null doc_ids
@@ -23,99 +28,150 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import forget, stored
 
-MIN_LINES, MIN_CHARS = 2, 100
+MIN_LINES, MIN_CHARS, HOT = 2, 100, 2000
 BLANK = " \t\r\f\v"
+AT = ("doc_id", "d", "e", "pos")
 
 
 def _lines(text: str = "text") -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def _key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    return F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
+def _hashes(*of: Column) -> tuple[Column, Column]:
+    return F.xxhash64(*of), F.xxhash64(F.lit(7), *of)
+
+
+def _document() -> tuple[Column, Column]:
+    d, e = _hashes(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.col("text"))
+    return d.alias("d"), e.alias("e")
 
 
 def suffixes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row a suffix: document key and order, position among the worded lines, name, whether the line is long."""
-    line = lambda x: F.struct(F.xxhash64(x).alias("name"), (F.char_length(x) >= min_chars).alias("long"), (F.trim(x, F.lit(BLANK)) != "").alias("seen"))
-    own = docs.where("text is not null").select("doc_id", _key().alias("d"), F.filter(F.transform(_lines(), line), lambda x: x["seen"]).alias("lines")).dropDuplicates(["d"])
-    return own.select("doc_id", "d", F.posexplode("lines").alias("pos", "x")).select("doc_id", "d", "pos", "x.name", "x.long")
+    """One row a suffix: document and its order, position among the worded lines, line number, whether long, line hash."""
+
+    def line(x: Column, i: Column) -> Column:
+        a, b = _hashes(x)
+        return F.struct(i.alias("line"), (F.char_length(x) >= min_chars).alias("long"), (F.trim(x, F.lit(BLANK)) != "").alias("seen"), a.alias("left"), b.alias("right"))
+
+    own = docs.where("text is not null").select("doc_id", *_document(), F.filter(F.transform(_lines(), line), lambda x: x["seen"]).alias("lines")).dropDuplicates(["d", "e"])
+    return own.select("doc_id", "d", "e", F.posexplode("lines").alias("pos", "x")).select(*AT, "x.line", "x.long", "x.left", "x.right")
+
+
+def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with rank, n and first of their key where two rows or more have it (else null); ranks follow the order of keys."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*AT)).alias("first")).where("n > 1")
+    groups = stored(groups.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    most = (groups.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = groups.where(F.col("n") > most).select(*keys, F.struct("rank", "n", "first").alias("hot"))  # fewer than HOT rows
+    tagged = rows.join(F.broadcast(hot), keys, "left")
+    spread = [F.when(F.col("hot").isNull(), F.col(k)).otherwise(F.xxhash64(*AT)).alias(k) for k in keys]  # hot rows go anywhere
+    kept = [c for c in rows.columns if c not in keys]
+    own = tagged.select(*kept, *[F.col(k).alias(f"_{k}") for k in keys], "hot", *spread)
+    cold = groups.where(F.col("n") <= most).select(*keys, F.struct("rank", "n", "first").alias("cold"))
+    met = own.join(cold, keys, "left").withColumn("g", F.coalesce("hot", F.when(F.col("hot").isNull(), F.col("cold"))))
+    return met.select(*kept, *[F.col(f"_{k}").alias(k) for k in keys], "g.rank", "g.n", "g.first")
 
 
-def _repeated(named: DataFrame) -> DataFrame:
-    """The suffixes whose name another suffix has too, and whether an earlier one has it."""
-    groups = named.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "d", "pos")).alias("first")).where("n > 1")
-    at = F.struct("doc_id", "d", "pos")
-    return named.join(groups.select("name", "first"), "name").select(*named.columns, (~at.eqNullSafe(F.col("first"))).alias("later"))
+def _level(pairs: DataFrame) -> DataFrame:
+    """The suffixes that share a rank, and whether an earlier one has it."""
+    shared = _grouped(pairs, ["left", "right"]).where("n is not null")
+    return stored(shared.select(*AT, "line", "long", "rank", (~F.struct(*AT).eqNullSafe(F.col("first"))).alias("later")), "suffixes")
 
 
-def intervals(docs: DataFrame, min_chars: int = MIN_CHARS) -> list[DataFrame]:
-    """For prefixes of 1, 2, 4, ... lines, the suffixes in LCP intervals of that depth (columns as in `suffixes`, and later)."""
-    found = [stored(_repeated(suffixes(docs, min_chars)), "suffixes")]
+def levels(docs: DataFrame, min_chars: int = MIN_CHARS) -> list[DataFrame]:
+    """For the first 1, 2, 4, ... lines, the suffixes in LCP intervals of that depth."""
+    found = [_level(suffixes(docs, min_chars))]
     while not found[-1].isEmpty():
         step = 1 << len(found) - 1
-        on = W.partitionBy("d").orderBy("pos").rangeBetween(step, step)
-        doubled = found[-1].select("doc_id", "d", "pos", F.xxhash64("name", F.first("name").over(on)).alias("name"), F.first("name").over(on).alias("next"))
-        doubled = doubled.where("next is not null").drop("next")
-        found.append(stored(_repeated(doubled), "suffixes"))
-    return found
+        on = W.partitionBy("d", "e").orderBy("pos").rangeBetween(step, step)
+        found.append(_level(found[-1].select(*AT, "line", "long", F.col("rank").alias("left"), F.first("rank").over(on).alias("right")).where("right is not null")))
+    return found[:-1]
+
+
+_STATE = [*AT, "line", "long", "kind", "rank", "depth", "lead", "size"]
+
+
+def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Every suffix that begins with an earlier line: its document, pos, line, long, and depth, the length of its longest run that stands before."""
+    found, state = levels(docs, min_chars), None
+    for j in range(len(found) - 1, -1, -1):
+        here = found[j]
+        # those with no earlier suffix in their interval of the round after, and so the first of each of its intervals
+        if j + 1 < len(found):
+            here = here.join(found[j + 1].where("later").select("d", "e", "pos"), ["d", "e", "pos"], "left_anti")
+        new = here.select(*AT, "line", "long", F.lit(2 * j).alias("kind"), "rank", F.lit(1 << j).alias("depth"), (~F.col("later")).alias("lead"), F.lit(None).cast("bigint").alias("size"))
+        if state is not None:
+            after = found[j].select("d", "e", (F.col("pos")).alias("at"), F.col("rank").alias("next"))
+            on = state.withColumn("at", F.col("pos") + F.col("depth")).join(after, ["d", "e", "at"], "left").drop("at")
+            # a null marks a suffix that no other follows: the only one of its part
+            parts = _grouped(on.withColumnRenamed("rank", "above").withColumn("next", F.coalesce("next", -F.lit(1) - F.xxhash64(*AT).bitwiseAND(F.lit((1 << 62) - 1)))), ["kind", "above", "next"])
+            first = F.col("n").isNull() | F.struct(*AT).eqNullSafe(F.col("first"))
+            deeper = parts.where("n is not null").select(*AT, "line", "long", F.lit(2 * j + 1).alias("kind"), "rank", (F.col("depth") + (1 << j)).alias("depth"), first.alias("lead"), F.col("n").alias("size"))
+            same = parts.where(first & ~F.coalesce(F.col("n") == F.col("size"), F.lit(False))).select(*AT, "line", "long", "kind", F.col("above").alias("rank"), "depth", "lead", F.lit(None).cast("bigint").alias("size"))
+            new = new.select(*_STATE).union(deeper.select(*_STATE)).union(same.select(*_STATE))
+        before, state = state, stored(new.select(*_STATE), "intervals")
+        if before is not None:
+            forget(before)
+    if state is None:
+        return suffixes(docs, min_chars).select(*AT, "line", "long", F.lit(0).alias("depth")).where("false")
+    return state.where("not lead").select(*AT, "line", "long", "depth")
 
 
 def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """d, deleted (line numbers), longest_run (the deepest interval, in lines, that a later copy in the document is in)."""
-    level = min_lines.bit_length() - 1
-    if min_lines != 1 << level:
-        raise ValueError("min_lines is a power of two")
-    found = intervals(docs, min_chars)
-    rows = [x.where("later").select("d", "pos", F.lit(1 << j).alias("run"), F.lit(j == level).alias("whole"), (F.col("long") if j == 0 else F.lit(False)).alias("long")) for j, x in enumerate(found)]
-    all_ = rows[0]
-    for x in rows[1:]:
-        all_ = all_.union(x)
-    spread = all_.where("long or run >= %d" % min_lines).select("d", "run", F.explode(F.when(F.col("whole"), F.sequence("pos", F.col("pos") + min_lines - 1)).when(F.col("long"), F.array("pos")).otherwise(F.array(F.lit(None).cast("int")))).alias("pos"))
-    return spread.groupBy("d").agg(F.collect_set("pos").alias("deleted"), F.max("run").alias("longest_run"))
+    """d, e, deleted (line numbers in order), longest_run (lines of the longest later copy that begins in the document)."""
+    counts = (F.col("depth") >= min_lines) | F.col("long")
+    so_far = W.partitionBy("d", "e").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("depth") >= min_lines, F.col("pos") + F.col("depth"))).over(so_far)
+    rows = repeated_runs(docs, min_chars).select("d", "e", "line", F.when(counts, F.col("depth")).alias("run"), (F.col("long") | F.coalesce(reach > F.col("pos"), F.lit(False))).alias("gone"))
+    return rows.where("gone").groupBy("d", "e").agg(F.array_sort(F.collect_list("line")).alias("deleted"), F.max("run").alias("longest_run"))
 
 
 def line_report(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """`docs` (all columns) with text deduplicated, and `_n_lines`, `_n_removed`, `_longest_run`."""
-    gone = deleted_lines(docs, min_lines, min_chars)
-    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), _key().alias("_d"))
-    joined = keyed.join(gone.select(F.col("d").alias("_d"), F.col("deleted").alias("_deleted"), F.col("longest_run").alias("_longest_run")), "_d", "left")
-    # the positions among worded lines become line numbers again
-    numbered = F.filter(F.transform(_lines(), lambda x, i: F.when(F.trim(x, F.lit(BLANK)) != "", i)), lambda i: i.isNotNull())
-    lines = F.transform(F.col("_deleted"), lambda k: F.get(numbered, k))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines()) - 1), lines)
-    text = F.when(F.col("_deleted").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(), i)), "\n"))
-    out = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
-    return joined.select(*out, F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines())).cast("bigint").alias("_n_lines"), F.coalesce(F.size("_deleted"), F.lit(0)).cast("bigint").alias("_n_removed"), F.coalesce("_longest_run", F.lit(0)).cast("bigint").alias("_longest_run"))
+    """row (a struct of all columns but the text), text without later copies, n_lines, n_removed, longest_run."""
+    gone = deleted_lines(docs.select("doc_id", "text"), min_lines, min_chars)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), _lines().alias("lines"), *_document())
+    joined = keyed.join(gone, ["d", "e"], "left")
+    # the lines from after the i-th deleted one to before the next
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get("deleted", i - 1) + 1)
+    end = lambda i: F.coalesce(F.get("deleted", i), F.size("lines"))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("deleted")), lambda i: F.slice("lines", start(i) + 1, end(i) - start(i))))
+    text = F.array_join(F.when(F.col("deleted").isNull(), F.col("lines")).otherwise(kept), "\n")
+    n = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
+    return joined.select("row", text.alias("text"), n.alias("n_lines"), F.when(F.col("deleted").isNull(), 0).otherwise(F.size("deleted")).cast("bigint").alias("n_removed"), F.coalesce("longest_run", F.lit(0)).cast("bigint").alias("longest_run"))
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text, n_lines, n_removed, longest_run for every row of `docs`."""
-    return line_report(docs.select("doc_id", "text"), min_lines, min_chars).select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_longest_run").alias("longest_run"))
+    return line_report(docs.select("doc_id", "text"), min_lines, min_chars).select("row.doc_id", "text", "n_lines", "n_removed", "longest_run")
 
 
 def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` without later copies; documents that were nothing else go. A column n_chars follows the text."""
-    out = line_report(docs, min_lines, min_chars).where((F.col("_n_removed") == 0) | (F.trim(F.col("text"), F.lit(BLANK + "\n")) != ""))
-    return out.select(*(F.when(F.col("_n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
-
-
-def oracle(min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, levels: int = 12) -> str:
-    """The same over `documents` as DuckDB SQL, for runs of fewer than 2 ** levels lines and distinct doc_ids."""
-    names = ["""l AS (SELECT doc_id, i AS line, part AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL))""",
-             """s0 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos, x AS name, length(x) >= %d AS long FROM l WHERE trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')""" % min_chars]
-    for j in range(levels):
-        names.append(f"g{j} AS (SELECT *, count(*) OVER (PARTITION BY name) AS n, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) > 1 AS later FROM s{j})")
-        names.append(f"s{j + 1} AS (SELECT a.doc_id, a.line, a.pos, md5(a.name || chr(0) || b.name) AS name, false AS long FROM g{j} a JOIN g{j} b ON a.doc_id = b.doc_id AND b.pos = a.pos + {1 << j} WHERE a.n > 1 AND b.n > 1)")
-    level = min_lines.bit_length() - 1
-    runs = " UNION ALL ".join(f"SELECT doc_id, pos, {1 << j} AS run FROM g{j} WHERE n > 1 AND later AND {'long' if 1 << j < min_lines else 'true'}" for j in range(levels) if j == 0 or j >= level)
-    gone = [f"SELECT doc_id, pos + {k} AS pos FROM g{level} WHERE n > 1 AND later" for k in range(min_lines)] + ["SELECT doc_id, pos FROM g0 WHERE n > 1 AND later AND long"]
-    return f"""WITH {', '.join(names)}, runs AS ({runs}), gone AS ({' UNION '.join(gone)}),
-removed AS (SELECT s0.doc_id, s0.line FROM s0 JOIN gone ON s0.doc_id = gone.doc_id AND s0.pos = gone.pos),
+    out = line_report(docs, min_lines, min_chars).where((F.col("n_removed") == 0) | (F.trim(F.col("text"), F.lit(BLANK + "\n")) != ""))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        own = F.col("row").getField(name)
+        if name == "n_chars":
+            own = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(own).cast(dict(docs.dtypes)[name])
+        return own.alias(name)
+
+    return out.select(*map(column, docs.columns))
+
+
+def oracle(min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> str:
+    """The same over `documents` as DuckDB SQL, one line more a round, for distinct doc_ids."""
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos, length(x) >= {min_chars} AS long FROM l WHERE trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+r AS (SELECT doc_id, pos, 1 AS run, md5(x) AS name FROM s
+UNION ALL SELECT q.doc_id, q.pos, q.run + 1, md5(q.name || md5(s.x)) FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM r) q JOIN s ON s.doc_id = q.doc_id AND s.pos = q.pos + q.run WHERE q.n > 1),
+later AS (SELECT doc_id, pos, max(run) AS run FROM (SELECT *, row_number() OVER (PARTITION BY run, name ORDER BY doc_id, pos) AS k FROM r) WHERE k > 1 GROUP BY 1, 2),
+runs AS (SELECT p.doc_id, p.pos, p.run, s.line, s.long, coalesce(max(CASE WHEN run >= {min_lines} THEN p.pos + p.run END) OVER (PARTITION BY p.doc_id ORDER BY p.pos), 0) AS reach FROM later p JOIN s ON s.doc_id = p.doc_id AND s.pos = p.pos),
+removed AS (SELECT doc_id, line, CASE WHEN run >= {min_lines} OR long THEN run END AS run FROM runs WHERE long OR reach > pos),
 kept AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.line) AS text FROM l LEFT JOIN removed r ON l.doc_id = r.doc_id AND l.line = r.line WHERE r.line IS NULL GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
-CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.run, 0) AS BIGINT) AS longest_run
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id) m ON d.doc_id = m.doc_id
-LEFT JOIN (SELECT doc_id, max(run) AS run FROM runs GROUP BY doc_id) r ON d.doc_id = r.doc_id"""
+CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(m.run, 0) AS BIGINT) AS longest_run
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, max(run) AS run FROM removed GROUP BY doc_id) m ON d.doc_id = m.doc_id"""
