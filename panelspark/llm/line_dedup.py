@@ -59,10 +59,15 @@ def suffixes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return own.select("doc_id", "d", "e", F.posexplode("lines").alias("pos", "x")).select(*AT, "x.line", "x.long", "x.left", "x.right")
 
 
-def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` with rank, n and first of their key where two rows or more have it (else null); ranks follow the order of keys."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*AT)).alias("first")).where("n > 1")
-    groups = stored(groups.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
+def _few(df: DataFrame, rows: int | None) -> DataFrame:
+    """`df` in tasks of some 50,000 of at most so many rows: late rounds have few, whatever the number of shuffle partitions."""
+    return df if rows is None else df.coalesce(max(8, rows // 50_000 + 1))
+
+
+def _grouped(rows: DataFrame, keys: list[str], most_rows: int | None, in_order: bool) -> DataFrame:
+    """`rows` with rank, n and first of their key where two rows or more have it (else null); ranks tell keys apart, or follow their order too."""
+    groups = _few(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*AT)).alias("first")).where("n > 1"), most_rows)
+    groups = stored(_few((groups.orderBy(*keys) if in_order else groups).withColumn("rank", F.monotonically_increasing_id()), most_rows), "ranks")
     most = (groups.agg(F.sum("n")).first()[0] or 0) / HOT
     hot = groups.where(F.col("n") > most).select(*keys, F.struct("rank", "n", "first").alias("hot"))  # fewer than HOT rows
     tagged = rows.join(F.broadcast(hot), keys, "left")
@@ -71,22 +76,23 @@ def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
     own = tagged.select(*kept, *[F.col(k).alias(f"_{k}") for k in keys], "hot", *spread)
     cold = groups.where(F.col("n") <= most).select(*keys, F.struct("rank", "n", "first").alias("cold"))
     met = own.join(cold, keys, "left").withColumn("g", F.coalesce("hot", F.when(F.col("hot").isNull(), F.col("cold"))))
-    return met.select(*kept, *[F.col(f"_{k}").alias(k) for k in keys], "g.rank", "g.n", "g.first")
+    return _few(met.select(*kept, *[F.col(f"_{k}").alias(k) for k in keys], "g.rank", "g.n", "g.first"), most_rows)
 
 
-def _level(pairs: DataFrame) -> DataFrame:
+def _level(pairs: DataFrame, most_rows: int | None) -> DataFrame:
     """The suffixes that share a rank, and whether an earlier one has it."""
-    shared = _grouped(pairs, ["left", "right"]).where("n is not null")
+    shared = _grouped(pairs, ["left", "right"], most_rows, True).where("n is not null")
     return stored(shared.select(*AT, "line", "long", "rank", (~F.struct(*AT).eqNullSafe(F.col("first"))).alias("later")), "suffixes")
 
 
 def levels(docs: DataFrame, min_chars: int = MIN_CHARS) -> list[DataFrame]:
     """For the first 1, 2, 4, ... lines, the suffixes in LCP intervals of that depth."""
-    found = [_level(suffixes(docs, min_chars))]
-    while not found[-1].isEmpty():
+    found = [_level(suffixes(docs, min_chars), None)]
+    while rows := found[-1].count():
         step = 1 << len(found) - 1
         on = W.partitionBy("d", "e").orderBy("pos").rangeBetween(step, step)
-        found.append(_level(found[-1].select(*AT, "line", "long", F.col("rank").alias("left"), F.first("rank").over(on).alias("right")).where("right is not null")))
+        pairs = found[-1].select(*AT, "line", "long", F.col("rank").alias("left"), F.first("rank").over(on).alias("right")).where("right is not null")
+        found.append(_level(_few(pairs, rows), rows))
     return found[:-1]
 
 
@@ -95,7 +101,7 @@ _STATE = [*AT, "line", "long", "kind", "rank", "depth", "lead", "size"]
 
 def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every suffix that begins with an earlier line: its document, pos, line, long, and depth, the length of its longest run that stands before."""
-    found, state = levels(docs, min_chars), None
+    found, state, rows = levels(docs, min_chars), None, 0
     for j in range(len(found) - 1, -1, -1):
         here = found[j]
         # those with no earlier suffix in their interval of the round after, and so the first of each of its intervals
@@ -104,14 +110,15 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         new = here.select(*AT, "line", "long", F.lit(2 * j).alias("kind"), "rank", F.lit(1 << j).alias("depth"), (~F.col("later")).alias("lead"), F.lit(None).cast("bigint").alias("size"))
         if state is not None:
             after = found[j].select("d", "e", (F.col("pos")).alias("at"), F.col("rank").alias("next"))
-            on = state.withColumn("at", F.col("pos") + F.col("depth")).join(after, ["d", "e", "at"], "left").drop("at")
+            on = _few(state.withColumn("at", F.col("pos") + F.col("depth")).join(after, ["d", "e", "at"], "left").drop("at"), rows)
             # a null marks a suffix that no other follows: the only one of its part
-            parts = _grouped(on.withColumnRenamed("rank", "above").withColumn("next", F.coalesce("next", -F.lit(1) - F.xxhash64(*AT).bitwiseAND(F.lit((1 << 62) - 1)))), ["kind", "above", "next"])
+            parts = _grouped(on.withColumnRenamed("rank", "above").withColumn("next", F.coalesce("next", -F.lit(1) - F.xxhash64(*AT).bitwiseAND(F.lit((1 << 62) - 1)))), ["kind", "above", "next"], rows, False)
             first = F.col("n").isNull() | F.struct(*AT).eqNullSafe(F.col("first"))
             deeper = parts.where("n is not null").select(*AT, "line", "long", F.lit(2 * j + 1).alias("kind"), "rank", (F.col("depth") + (1 << j)).alias("depth"), first.alias("lead"), F.col("n").alias("size"))
             same = parts.where(first & ~F.coalesce(F.col("n") == F.col("size"), F.lit(False))).select(*AT, "line", "long", "kind", F.col("above").alias("rank"), "depth", "lead", F.lit(None).cast("bigint").alias("size"))
             new = new.select(*_STATE).union(deeper.select(*_STATE)).union(same.select(*_STATE))
         before, state = state, stored(new.select(*_STATE), "intervals")
+        rows = state.count()
         if before is not None:
             forget(before)
     if state is None:
