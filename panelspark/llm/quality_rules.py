@@ -1,12 +1,14 @@
 """Operator 4: quality rules as weak supervision.
 
-Each rule looks at the statistics of a whole text and votes good (+1), bad (-1) or abstains (0). The votes of all
-documents are counted by pattern (at most 3 ** len(RULES) of them), expectation-maximisation over these counts
-estimates each rule's accuracy and the share of good documents, and a document's posterior probability of being good
-replaces an all-must-pass filter. Only pattern counts reach the driver.
+Each rule looks at one statistic of a whole text and votes good (+1), bad (-1) or, between its two bounds, abstains (0);
+no rule asks what another says. The votes of all documents are counted by pattern (at most 3 ** len(RULES) of them).
+Expectation-maximisation over these counts estimates, for each rule, how often its vote is right on good and on bad
+documents, and the share of good ones; a document's posterior probability of being good replaces an all-must-pass filter,
+so that one bad vote of a rule that the others seldom bear out rejects nothing. Only pattern counts reach the driver.
 
 Defined results: null or empty text has all counts 0 and fails the base rule (as all texts under 50 words do);
-repeated rows are scored row by row; an empty table gives no rows; other columns pass through `kept_documents`.
+repeated rows are scored row by row; an empty table gives no rows; other columns pass through `kept_documents`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACE, blocks, document_of, mixed, span_hashes, spans
@@ -30,7 +32,9 @@ _LINE_END = np.zeros(256, bool)
 _LINE_END[10] = True
 _K = mixed(np.arange(101, 105, dtype=np.uint64)) | np.uint64(1)
 
-STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_lower", "n_marks", "n_stops"]
+_LETTER = _UPPER | _LOWER | (np.arange(256) >= 0xC0)  # of a character beyond ASCII the first byte
+
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_lower", "n_marks", "n_stops", "n_letters", "n_symbol_words"]
 
 
 def _per_document(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -80,6 +84,10 @@ def statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     for name, kind in (("n_upper", _UPPER), ("n_lower", _LOWER), ("n_stops", _STOP)):
         out[name] = _per_document(kind[data], starts)
     out["n_marks"] = _per_document(data == 33, starts)
+    out["n_letters"] = _per_document(_LETTER[data], starts)
+    symbols = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_SYMBOL[data], out=symbols[1:])
+    out["n_symbol_words"] = np.bincount(doc[symbols[end] > symbols[begin]], minlength=n)
     return out
 
 
@@ -87,56 +95,69 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
 
+RULES = ("symbols", "words with symbols", "letters", "capitals", "exclamations", "repeated windows", "distinct words", "repeated lines", "sentence ends", "word length", "length")
+_POWERS = 3 ** np.arange(len(RULES))
+
+
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """One row a document, one column a rule: -1 bad, 0 abstain, 1 good."""
     w = s["n_words"]
-    symbols, repeats, upper = _share(s["n_symbols"], w), _share(s["n_repeat_words"], w), _share(s["n_upper"], s["n_upper"] + s["n_lower"])
-    distinct, marks, stops, long_ = _share(s["n_distinct_words"], w), _share(s["n_marks"], w), _share(s["n_stops"], w), _share(s["word_chars"], w)
-    prose = (symbols < 0.1) & (upper < 0.3) & (marks < 0.1) & (repeats < 0.3) & (distinct > 0.15)
-    rule = lambda bad, good: np.where(bad, -1, np.where(good, 1, 0))
+
+    def below(x: np.ndarray, good: float, bad: float) -> np.ndarray:
+        return np.where(x > bad, -1, np.where(x < good, 1, 0))
+
+    def within(x: np.ndarray, bad: tuple[float, float], good: tuple[float, float]) -> np.ndarray:
+        return np.where((x < bad[0]) | (x > bad[1]), -1, np.where((x >= good[0]) & (x <= good[1]), 1, 0))
+
+    variety = np.log(np.maximum(s["n_distinct_words"], 1)) / np.log(np.maximum(w, 2))  # hardly depends on the length
     return np.stack(
         [
-            rule(symbols > 0.25, (symbols < 0.05) & prose),
-            rule(upper > 0.5, (upper < 0.2) & prose),
-            rule(marks > 0.3, np.zeros(len(w), bool)),
-            rule(repeats > 0.3, (repeats < 0.1) & prose),
-            rule((distinct < 0.12) & (w < 2000), (distinct > 0.3) & prose),
-            rule(_share(s["n_dup_lines"], s["n_lines"]) > 0.3, np.zeros(len(w), bool)),
-            rule((stops < 0.01) | (stops > 0.7), (stops > 0.03) & (stops < 0.4) & prose),
-            rule((long_ < 2) | (long_ > 14), np.zeros(len(w), bool)),
-            rule(w < 30, (w >= 50) & prose),
+            below(_share(s["n_symbols"], w), 0.05, 0.25),
+            below(_share(s["n_symbol_words"], w), 0.03, 0.15),
+            below(1 - _share(s["n_letters"], s["word_chars"]), 0.08, 0.2),
+            below(_share(s["n_upper"], s["n_upper"] + s["n_lower"]), 0.2, 0.5),
+            below(_share(s["n_marks"], w), 0.05, 0.3),
+            below(_share(s["n_repeat_words"], w), 0.1, 0.3),
+            -below(variety, 0.55, 0.7),
+            below(_share(s["n_dup_lines"], s["n_lines"]), 0.05, 0.3),
+            within(_share(s["n_stops"], w), (0.01, 0.7), (0.03, 0.4)),
+            within(_share(s["word_chars"], w), (2.5, 9.0), (3.5, 6.5)),
+            -below(w, 30, 49),
         ],
         axis=1,
     ).astype(np.int8)
 
 
-RULES = ("symbols", "capitals", "exclamations", "repeated windows", "distinct words", "repeated lines", "sentence ends", "word length", "length")
-_POWERS = 3 ** np.arange(len(RULES))
-
-
-def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict:
-    """Accuracies and share of good documents by expectation-maximisation over counted vote patterns.
+def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> dict:
+    """How often each rule's vote is right on good and on bad documents, and the share of good ones, by EM over vote patterns.
 
-    An abstention says nothing. Each accuracy has a Beta(20, 2) prior and stays within 0.6 to 0.99, the share within
-    0.05 to 0.95, so that few documents, or none, give a usable model.
+    An abstention says nothing. Right votes on good documents have a Beta(19, 1) prior and those on bad ones Beta(2, 2),
+    the share of good documents Beta(8, 2), and all stay within 0.01 to 0.99, so that few documents, or none, give a
+    usable model.
     """
-    v = patterns.astype(float)
-    accuracy, good = np.full(v.shape[1] if v.ndim > 1 else len(RULES), 0.9), 0.8
+    v = patterns.reshape(len(counts), len(RULES)).astype(float)
+    on_good, on_bad, good = np.full(len(RULES), 0.95), np.full(len(RULES), 0.5), 0.8
+    up, down = (v > 0) * counts[:, None], (v < 0) * counts[:, None]
     for _ in range(rounds):
-        p = posterior(v, accuracy, good) if len(v) else np.zeros(0)
-        right = ((v > 0) * p[:, None] + (v < 0) * (1 - p[:, None])) * counts[:, None] if len(v) else np.zeros((0, len(accuracy)))
-        cast = (v != 0) * counts[:, None] if len(v) else right
-        before = accuracy
-        accuracy = np.clip((right.sum(0) + 20) / (cast.sum(0) + 22), 0.6, 0.99)
-        good = float(np.clip(((p * counts).sum() + 8) / (counts.sum() + 10), 0.05, 0.95))
-        if np.abs(accuracy - before).max() < 1e-9:
+        p = posterior(v, on_good, on_bad, good)
+        before = np.concatenate([on_good, on_bad, [good]])
+        yes, no = p[:, None], 1 - p[:, None]
+        on_good = np.clip(((up * yes).sum(0) + 19) / (((up + down) * yes).sum(0) + 20), 0.01, 0.99)
+        on_bad = np.clip(((down * no).sum(0) + 2) / (((up + down) * no).sum(0) + 4), 0.01, 0.99)
+        good = float(np.clip(((p * counts).sum() + 8) / (counts.sum() + 10), 0.01, 0.99))
+        if np.abs(np.concatenate([on_good, on_bad, [good]]) - before).max() < 1e-9:
             break
-    return {"accuracy": accuracy, "good": good}
+    return {"on_good": on_good, "on_bad": on_bad, "good": good}
 
 
-def posterior(v: np.ndarray, accuracy: np.ndarray, good: float) -> np.ndarray:
-    odds = np.log(good / (1 - good)) + v.astype(float) @ np.log(accuracy / (1 - accuracy))
-    return 1 / (1 + np.exp(-odds))
+def weights(m: dict) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log odds of good that a good vote and a bad vote of each rule add, and those before any vote."""
+    return np.log(m["on_good"] / (1 - m["on_bad"])), np.log((1 - m["on_good"]) / m["on_bad"]), float(np.log(m["good"] / (1 - m["good"])))
+
+
+def posterior(v: np.ndarray, on_good: np.ndarray, on_bad: np.ndarray, good: float) -> np.ndarray:
+    up, down, odds = weights({"on_good": on_good, "on_bad": on_bad, "good": good})
+    return 1 / (1 + np.exp(-(odds + (v > 0) @ up + (v < 0) @ down)))
 
 
 def _base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -150,40 +171,46 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[k], pa.int64()) for k in STATISTICS), pa.array(_base_failed(s)), pa.array(code, pa.int64())], names=["doc_id", *STATISTICS, "base_failed", "votes"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(3 ** len(RULES), np.int64)
-    for _, data, starts in blocks(batches):
-        np.add.at(total, (votes(statistics(data, starts)) + 1) @ _POWERS, 1)
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["votes", "n"])
-
-
-def _model(counted: DataFrame) -> dict:
-    rows = counted.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()  # at most 3 ** len(RULES) rows
+def _model(votes_: DataFrame) -> dict:
+    rows = votes_.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()  # at most 3 ** len(RULES) rows
     codes = np.array([r["votes"] for r in rows], np.int64)
     return fitted(codes[:, None] // _POWERS % 3 - 1, np.array([r["n"] for r in rows], float))
 
 
+def _posterior(m: dict, votes_: Column) -> Column:
+    up, down, prior = weights(m)
+    odds = F.lit(prior)
+    for k in range(len(RULES)):
+        vote = F.floor(votes_ / int(3**k)) % 3
+        odds = odds + F.when(vote == 2, float(up[k])).when(vote == 0, float(down[k])).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
+
+
 def scored(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the statistics, base_failed, posterior and kept for every row of `docs`."""
     kind = dict(docs.dtypes)["doc_id"]
     columns = ", ".join(f"{k} bigint" for k in STATISTICS)
     s = stored(docs.select("doc_id", "text").mapInArrow(_described, f"doc_id {kind}, {columns}, base_failed boolean, votes bigint"), "statistics")
-    m = _model(s.groupBy("votes").agg(F.count("*").alias("n")))
-    odds = F.lit(float(np.log(m["good"] / (1 - m["good"]))))
-    for k, a in enumerate(m["accuracy"]):
-        odds = odds + (F.floor(F.col("votes") / int(3**k)) % 3 - 1) * float(np.log(a / (1 - a)))
-    s = s.withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    s = s.withColumn("posterior", _posterior(_model(s), F.col("votes")))
     return s.select("doc_id", *STATISTICS, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all their columns, that the base rule and the posterior keep."""
-    m = _model(docs.select("text").mapInArrow(_counted, "votes bigint, n bigint"))
+    """The rows of `docs`, with all their columns, that the base rule and the posterior keep.
+
+    Rows are written with their votes, so that texts are read by the rules once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in blocks(batches):
             s = statistics(data, starts)
-            yield batch.filter(pa.array(~_base_failed(s) & (posterior(votes(s), m["accuracy"], m["good"]) >= threshold)))
-
-    return docs.mapInArrow(run, docs.schema)
+            code = (votes(s) + 1) @ _POWERS
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_base_failed(s)), pa.array(code, pa.int64())], names=[*places, "base_failed", "votes"])
+
+    # columns go by number, whatever their names
+    places = [f"c{i}" if c != "text" else "text" for i, c in enumerate(docs.columns)]
+    numbered = docs.toDF(*places)
+    schema = ", ".join(f"{c} {t}" for c, t in numbered.dtypes)
+    voted = stored(numbered.mapInArrow(run, f"{schema}, base_failed boolean, votes bigint"), "voted")
+    kept = voted.where(~F.col("base_failed") & (_posterior(_model(voted), F.col("votes")) >= threshold))
+    return kept.select(*places).toDF(*docs.columns)
