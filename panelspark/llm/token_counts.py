@@ -204,13 +204,15 @@ class CountTransducer:
         return self._state(key), count
 
     def count(self, text: bytes) -> int:
-        if len(self.states) > self.most:
-            self._clear()
-        state, total, moves = 0, 0, self.moves
+        state, total = 0, 0
         for b in text:
-            move = moves[state].get(b)
+            move = self.moves[state].get(b)
             if move is None:
-                move = moves[state][b] = self._move(state, b)
+                if len(self.states) > self.most:  # within a long cut as well
+                    key = self.states[state]
+                    self._clear()
+                    state = self._state(key)
+                move = self.moves[state][b] = self._move(state, b)
             state = move[0]
             total += move[1]
         return total

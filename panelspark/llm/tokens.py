@@ -14,7 +14,7 @@ from itertools import chain
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from .blocks import LOWER, span_hashes, spans
 
@@ -35,9 +35,9 @@ def cuts_at_space(path: str) -> bool:
 
 
 class Store:
-    """Id lists of the words seen so far, as flat arrays under the words' 64-bit hashes; emptied when it holds too many.
+    """Id lists of the words seen so far, as flat arrays, found by the words' 64-bit hashes and compared byte by byte.
 
-    Two of `most` words share a hash with a probability under most ** 2 / 2 ** 65 (5e-7 for the default).
+    A word whose hash an other one has is encoded each time it is met. The store is emptied when it holds too many words.
     """
 
     def __init__(self, encode, most: int = _MOST_WORDS):
@@ -46,41 +46,72 @@ class Store:
 
     def clear(self) -> None:
         self.keys, self.places, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
-        self.ids, self.used, self.starts = np.zeros(1 << 16, np.int32), 0, np.zeros(1 << 12, np.int64)
-
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        lists = self.encode(words)
+        self.ids, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
+        self.raw, self.edges = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64)
+
+    @staticmethod
+    def _appended(values: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+        while len(values) < at + len(more):
+            values = np.concatenate([values, np.zeros_like(values)])
+        values[at : at + len(more)] = more
+        return values
+
+    def _add(self, keys: np.ndarray, words: list[bytes], decode, index: np.ndarray) -> np.ndarray:
+        """Encode `words` and keep them; those of `index` are found by their keys from now on."""
+        lists = self.encode([decode(w) for w in words])
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
         n, to = self.words, self.words + len(words)
-        while len(self.ids) < self.used + len(flat):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.starts) <= to:
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[n + 1 : to + 1] = self.used + np.cumsum(sizes)
-        self.used, self.words = self.used + len(flat), to
-        order = np.argsort(keys)
+        self.ids = self._appended(self.ids, int(self.starts[n]), np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())))
+        self.starts = self._appended(self.starts, n + 1, self.starts[n] + np.cumsum(sizes))
+        self.raw = self._appended(self.raw, int(self.edges[n]), np.frombuffer(b"".join(words), np.uint8))
+        self.edges = self._appended(self.edges, n + 1, self.edges[n] + np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+        self.words, places = to, np.arange(n, to, dtype=np.int32)
+        order = index[np.argsort(keys[index])]
         at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.places = np.insert(self.keys, at, keys[order]), np.insert(self.places, at, np.arange(n, to, dtype=np.int32)[order])
-
-    def of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.ndarray | None = None, decode=bytes.decode) -> np.ndarray:
-        """The place of each span of bytes (under its hash, or `key`), after the new ones have been encoded."""
+        self.keys, self.places = np.insert(self.keys, at, keys[order]), np.insert(self.places, at, places[order])
+        return places
+
+    def _same(self, places: np.ndarray, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the words at `places` are these spans of `data`."""
+        same = self.edges[places + 1] - self.edges[places] == sizes
+        sizes = np.where(same, sizes, 0)
+        first = np.cumsum(sizes) - sizes
+        step = np.arange(int(sizes.sum()))
+        other = data[np.repeat(begin - first, sizes) + step] != self.raw[np.repeat(self.edges[places] - first, sizes) + step]
+        wrong = np.concatenate([[0], np.cumsum(other)])
+        return same & (wrong[first + sizes] == wrong[first])
+
+    def of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, decode=bytes.decode) -> np.ndarray:
+        """The place of each span of bytes (in order, apart), after the new ones have been encoded."""
         if not len(begin):
             return np.zeros(0, np.int64)
         if self.words > self.most:
             self.clear()
-        codes, keys = pd.factorize(span_hashes(data, begin, end) if key is None else key)
+        sizes = end - begin
+        if int(sizes.sum()) < len(data):
+            inside = np.zeros(len(data) + 1, np.int8)
+            inside[begin] += 1
+            inside[end] -= 1
+            data = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        spans_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        both = spans_.dictionary_encode()
+        codes, words = both.indices.to_numpy(), both.dictionary
+        edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        own = np.frombuffer(words.buffers()[2], np.uint8)
+        keys = span_hashes(own, edges[:-1], edges[1:])
+        places = np.full(len(keys), -1, np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            one = np.empty(len(keys), np.int64)
-            one[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            one = one[new]
-            raw = data.tobytes()
-            self._add(keys[new], [decode(raw[a:b]) for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        return self.places[at].astype(np.int64)[codes]
+        hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        met = np.flatnonzero(hit)
+        found = self.places[at[met]].astype(np.int64) if len(met) else np.zeros(0, np.int64)
+        good = self._same(found, own, edges[:-1][met], np.diff(edges)[met])
+        places[met[good]] = found[good]
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            _, first = np.unique(keys[new], return_index=True)
+            places[new] = self._add(keys[new], words.take(pa.array(new)).to_pylist(), decode, first[~hit[new][first]])
+        return places[codes]
 
     def lists(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words in a row, and where each word's begin."""
