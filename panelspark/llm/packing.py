@@ -1,14 +1,15 @@
 """Operator 9: best-fit packing with exact-complement hashing.
 
 Pieces differ, for packing, by length alone, so the plan works on the counts of each length (at most `limit` of them).
-Single lengths that fill a sequence are taken first, then pairs and triples whose sums, looked up by the exact
-complement, fill the gap, as long as their counts last; what is left goes longest first into the open sequence with the
-least room that holds it. Plans that stop at pairs, or at single lengths, are tried too, and the one of fewest sequences
-is taken. The plan is a list of runs: the pieces of one length, numbered, from one number on, go to
+The longest piece leaves a gap, whose exact complements are looked up among the sums of one, two and three lengths at
+hand and taken as long as their counts last; what is left goes longest first into the open sequence with the least room
+that holds it. Plans whose complements stop at two lengths, or at one, are made too, and the one of fewest sequences is
+taken. The plan is a list of runs: the pieces of one length, numbered, from one number on, go to
 these sequences at this offset. Each task numbers the pieces of each length that it makes; adding the counts of the
 tasks before it gives numbers over the whole table, and each piece reads its place from the plan.
 
-Only counts by (task, length) are shuffled and only counts by length reach the driver. The plan's size is bounded by
+Only counts by (task, length) are shuffled and only counts by length reach the driver; the counts of the tasks before
+meet the pieces by a join of (task, length), which shuffles pieces (no texts) where the counts are too many to broadcast. The plan's size is bounded by
 the lengths, not by the documents.
 
 Defined results: null text is empty (the end id alone); repeated rows are packed as so many documents; an empty table
@@ -37,40 +38,77 @@ _PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, task int, n
 
 
 def planned(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[tuple[int, int]], int]]:
-    """The plan of fewest sequences among exact fillings by up to three, two and one pieces, each with best fit for the rest."""
+    """Patterns and how many sequences follow each; a pattern is a list of (length, how many of it).
+
+    The plan of fewest sequences among fillings of gaps by up to three, two and one lengths.
+    """
     return min((_filled(counts, limit, most) for most in (3, 2, 1)), key=lambda plan: sum(n for _, n in plan))
 
 
+class Sums:
+    """Single, pair and triple sums of the lengths at hand; a gap's exact complements are looked up by sum."""
+
+    def __init__(self, left: np.ndarray):
+        self.left, self.size = left, 1 << (2 * len(left)).bit_length()
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Index again which sums two lengths at hand have: the products of the lengths' generating function with itself."""
+        self.single = self.left > 0
+        self.single[0] = False
+        wave = np.fft.rfft(self.single.astype(float), self.size)
+        self.pair = np.fft.irfft(wave * wave, self.size)[: len(self.left)] > 0.5
+
+    def complements(self, gap: int, most: int) -> Iterator[list[int]]:
+        """Lists of one length, then two, then up to `most` that sum to `gap`, longest first."""
+        if self.single[gap]:
+            yield [gap]
+        if most > 1:
+            yield from self._pairs(gap, gap)
+        if most > 2:
+            low = np.arange(1, gap)
+            for b in low[self.single[1:gap] & self.pair[gap - low]][::-1].tolist():
+                for rest in self._pairs(gap - b, b):
+                    yield [b, *rest]
+                    if not self.left[b]:
+                        break
+
+    def _pairs(self, total: int, longest: int) -> Iterator[list[int]]:
+        if total < 2 or not self.pair[total]:
+            return
+        b = np.arange((total + 1) // 2, min(total - 1, longest) + 1)
+        for x in b[self.single[b] & self.single[total - b]][::-1].tolist():
+            yield [x, total - x]
+
+
 def _filled(counts: dict[int, int], limit: int, most: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns and how many sequences follow each; a pattern is a list of (length, how many of it)."""
     left = np.zeros(limit + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
     plan: list[tuple[list[tuple[int, int]], int]] = []
 
-    def take(parts: list[tuple[int, int]], n: int) -> None:
-        for length, m in parts:
-            left[length] -= n * m
-        plan.append((parts, n))
+    def take(parts: dict[int, int]) -> None:
+        n = int(min(left[x] // m for x, m in parts.items()))
+        if n:
+            for length, m in parts.items():
+                left[length] -= n * m
+            plan.append((list(parts.items()), n))
 
     if left[limit]:
-        take([(limit, 1)], int(left[limit]))
-    for a in range(limit - 1, (limit - 1) // 2 if most > 1 else limit, -1):
-        b = limit - a
-        if n := int(left[a] // 2 if a == b else min(left[a], left[b])):
-            take([(a, 2)] if a == b else [(a, 1), (b, 1)], n)
-    for a in range(limit - 2, (limit + 2) // 3 - 1 if most > 2 else limit, -1):
-        gap = limit - a
-        for b in range(min(a, gap - 1), (gap + 1) // 2 - 1, -1):
-            if not left[a]:
-                break
-            c = gap - b
-            if left[b] and left[c]:
+        take({limit: 1})
+    sums = Sums(left)
+    for a in range(limit - 1, 0, -1):
+        if not left[a]:
+            continue
+        for rest in sums.complements(limit - a, most):
+            if max(rest) <= a:
                 parts: dict[int, int] = {}
-                for x in (a, b, c):
+                for x in (a, *rest):
                     parts[x] = parts.get(x, 0) + 1
-                if n := int(min(left[x] // m for x, m in parts.items())):
-                    take(list(parts.items()), n)
+                take(parts)
+            if not left[a]:
+                break
+        sums.refresh()
     room: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     rooms: list[int] = []
 
