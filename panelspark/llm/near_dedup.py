@@ -115,8 +115,8 @@ def _described(id_type: pa.DataType, rows: int):
             for i, k, b in zip(filled, _band_keys(sig, rows), _sketches(some), strict=True):
                 bands[i], sketch[i] = k, b
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bands", "sketch"],
+                [batch.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "node", "bands", "sketch", *batch.schema.names[2:]],
             )
 
     return run
@@ -166,10 +166,42 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (columns doc_id and text); see the module's text."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    described, of_node = _joined_up(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), threshold, rows)
+    least = of_node.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = described.select("doc_id", "n_shingles", "node").join(of_node.join(least, "component").select("node", "component_id"), "node", "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: of each component the one of least (doc_id, text hash).
+
+    Rows are judged one by one: of rows that share a doc_id only the copies go, and of rows that share doc_id and text
+    one stays. Rows without words link with nothing and all stay.
+    """
+    text = F.coalesce("text", F.lit(""))
+    marks = [F.xxhash64(text).alias("left"), F.xxhash64(F.lit(7), text).alias("right")]
+    described, of_node = _joined_up(docs.select("doc_id", text.alias("text"), *marks), threshold, rows)
+    key = ["doc_id", "left", "right"]
+    worded = described.where("node is not null").join(of_node.select("node", "component"), "node")
+    counted = stored(worded.groupBy("component", *key).agg(F.count("*").alias("n")), "counted")
+    least = counted.groupBy("component").agg(F.min(F.struct(*key)).alias("least"))
+    stays = F.struct(*key).eqNullSafe(F.col("least"))
+    acted = stored(counted.join(least, "component").where(~stays | (F.col("n") > 1)).select(*key, stays.alias("stays")), "acted").alias("a")
+    kind = dict(described.dtypes)["doc_id"]
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast(kind).alias("doc_id"), *marks).alias("o")
+    met = own.join(acted, F.col("o.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("o.left") == F.col("a.left")) & (F.col("o.right") == F.col("a.right")), "left")
+    alone = met.where("a.stays is null").select("o.row")
+    repeated = met.where("a.stays").select("o.*").dropDuplicates(key).select("row")
+    return alone.union(repeated).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _joined_up(docs: DataFrame, threshold: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The described rows (other columns of `docs` follow), and node, rep, component of each distinct shingle set."""
     kind = pa.int64() if dict(docs.dtypes)["doc_id"] in ("bigint", "int") else pa.string()
     id_sql = "bigint" if kind == pa.int64() else "string"
-    described = stored(docs.mapInArrow(_described(kind, rows), f"doc_id {id_sql}, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>"), "described")
+    more = "".join(f", {c} {t}" for c, t in docs.dtypes[2:])
+    described = stored(docs.mapInArrow(_described(kind, rows), f"doc_id {id_sql}, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>{more}"), "described")
     nodes = stored(described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
@@ -195,12 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> D
     checked = checked.union(more)
     if more.where("linked").limit(1).count():
         found = _found(checked)
-    named = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(least, "component").select("node", "component_id")
-    out = described.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    return described, nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:

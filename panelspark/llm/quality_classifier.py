@@ -178,7 +178,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([places[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "y", "aside", "places"])
 
     kind = dict(labels.dtypes)["doc_id"]
-    seen = rows.mapInArrow(described, f"id {kind}, y int, aside boolean, places binary").dropDuplicates(["id"])
+    # of rows that repeat an id, the least counts
+    seen = rows.mapInArrow(described, f"id {kind}, y int, aside boolean, places binary").groupBy("id", "y", "aside").agg(F.min("places").alias("places"))
 
     def learnt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.concat([pd.DataFrame({"id": [], "y": [], "aside": [], "places": []}), *frames]).sort_values("id")
