@@ -54,3 +54,111 @@ def rule_counts(text):
         at.setdefault(tuple(w[i : i + 3]), []).append(i)
     covered = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(3)}
     return sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), len(w)
+
+
+def longest_earlier(docs):
+    """docs: [(doc_id, text)] with distinct ids -> {doc_id: [(line number, line, longest run from it that stands before)]}"""
+    lines = {d: [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\f\v")] for d, t in docs}
+    order = [(d, k) for d in sorted(lines) for k in range(len(lines[d]))]
+    out = {d: [] for d in lines}
+    for n, (d, k) in enumerate(order):
+        best = 0
+        for e, j in order[:n]:
+            m = 0
+            while k + m < len(lines[d]) and j + m < len(lines[e]) and lines[d][k + m][1] == lines[e][j + m][1]:
+                m += 1
+            best = max(best, m)
+        out[d].append((*lines[d][k], best))
+    return out
+
+
+def without_copies(docs, min_lines=2, min_chars=100):
+    """{doc_id: (text, lines removed, longest run)} by the lengths above"""
+    found, out = longest_earlier(docs), {}
+    for d, text in docs:
+        gone, run, reach = set(), 0, -1
+        for k, (i, x, n) in enumerate(found[d]):
+            if n >= min_lines:
+                reach = max(reach, k + n)
+            if reach > k or n and len(x) >= min_chars:
+                gone.add(i)
+            if n >= min_lines or n and len(x) >= min_chars:
+                run = max(run, n)
+        out[d] = (None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), len(gone), run)
+    return out
+
+
+def tree_importance(pages):
+    """pages: [(host, nodes_of(html))] -> {(host, path): importance}, one node at a time"""
+    import math
+    import re
+    from collections import Counter
+
+    from panelspark.llm import main_text as m
+
+    def entropy(counts, n):
+        return -sum(c / n * math.log(c / n) for c in counts) if n else 0.0
+
+    def tree(found):
+        out = {}
+        for path, nodes in found.items():
+            n = len(nodes)
+            texts = Counter(t for x in nodes for t in {y["text"] for y in x["texts"]})
+            occurrences = sum(texts.values())
+            mean = sum(c * math.log(c) for c in texts.values()) / occurrences if occurrences else None
+            out[path] = (n, sum(x["share"] for x in nodes) / n, None if n < 2 or mean is None else 1 - mean / math.log(n), None if n < 2 else entropy(Counter(x["style"] for x in nodes).values(), n) / math.log(n))
+        return out
+
+    def drawn(n, value, to):
+        return ((n - 1) * (value or 0.0) + m.DRAWN * to) / (n - 1 + m.DRAWN)
+
+    by_host, all_ = {}, {}
+    for host, nodes in pages:
+        for x in nodes:
+            by_host.setdefault(host, {}).setdefault(x["path"], []).append(x)
+            all_.setdefault(x["path"], []).append(x)
+    wide = {p: (drawn(n, c, m.NEUTRAL_CONTENT), drawn(n, s, m.NEUTRAL_STYLE)) for p, (n, _, c, s) in tree(all_).items()}
+    out = {}
+    for host, found in by_host.items():
+        own = {p: (n, share, wide[p][0] if c is None and n > 1 else drawn(n, c, wide[p][0]), drawn(n, s, wide[p][1])) for p, (n, share, c, s) in tree(found).items()}
+        for path, (n, share, content, _) in own.items():
+            if not share:
+                continue
+            steps, looks = path.split("/"), 0.0
+            for k in range(2, len(steps) + 1):
+                if not re.match(r"(html|body)(\.|$)", steps[k - 1]):
+                    looks = max(looks, own["/".join(steps[:k])][3] * m.FADE ** (len(steps) - k))
+            out[host, path] = m.CONTENT * content + (1 - m.CONTENT) * (1 - (1 - looks) * (1 - share))
+    return out
+
+
+def em(rows, rounds=500):
+    """rows: vote lists -> posterior of each document, one document and one rule at a time"""
+    k = len(rows[0])
+    good, on_good, on_bad, p = 0.8, [0.95] * k, [0.5] * k, []
+    for _ in range(rounds):
+        p = []
+        for v in rows:
+            a, b = good, 1 - good
+            for x, g, w in zip(v, on_good, on_bad):
+                if x:
+                    a, b = a * (g if x > 0 else 1 - g), b * (1 - w if x > 0 else w)
+            p.append(a / (a + b))
+        before = [*on_good, *on_bad, good]
+        clip = lambda x: min(max(x, 0.01), 0.99)
+        for j in range(k):
+            up = [q for q, v in zip(p, rows) if v[j] > 0]
+            down = [q for q, v in zip(p, rows) if v[j] < 0]
+            on_good[j] = clip((sum(up) + 19) / (sum(up) + sum(down) + 20))
+            on_bad[j] = clip((len(down) - sum(down) + 2) / (len(up) - sum(up) + len(down) - sum(down) + 4))
+        good = clip((sum(p) + 8) / (len(p) + 10))
+        if max(abs(a - b) for a, b in zip(before, [*on_good, *on_bad, good])) < 1e-9:
+            break
+    a = {}
+    for v in {tuple(v) for v in rows}:
+        x, y = good, 1 - good
+        for z, g, w in zip(v, on_good, on_bad):
+            if z:
+                x, y = x * (g if z > 0 else 1 - g), y * (1 - w if z > 0 else w)
+        a[v] = x / (x + y)
+    return [a[tuple(v)] for v in rows]

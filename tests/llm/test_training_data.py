@@ -144,6 +144,31 @@ def test_line_dedup_edges(spark, edge):
     assert not [n for n in ("Python", "Pandas", "Arrow") if n in line_dedup.deduplicated(edge)._jdf.queryExecution().executedPlan().toString()]
 
 
+def test_line_dedup_against_all_pairs_of_suffixes(spark):
+    """Runs of any length and overlap: few different lines, so that most repeat."""
+    g = random.Random(7)
+    docs = [(d, "\n".join(g.choice(["a", "b", "c", " ", "long " * 30]) for _ in range(g.randint(0, 25)))) for d in range(40)]
+    docs += [(40, None), (41, ""), (42, docs[3][1]), (43, docs[3][1] + "\nz"), (44, "z\n" + docs[5][1])]
+    for min_lines in (2, 3):
+        got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string"), min_lines)
+        assert {r.doc_id: (r.text, r.n_removed, r.longest_run) for r in got.collect()} == brute.without_copies(docs, min_lines)
+
+
+def test_line_dedup_of_long_runs(spark):
+    """Lengths are exact, and text is put together in time linear in the lines."""
+    lines = [f"line {i}" for i in range(5000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["x", *lines[100:103], "y"])), (3, "\n".join([*lines, "end"])), (4, "\n".join(lines[::2]))]
+    got = {r.doc_id: r for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[d].longest_run for d in (1, 2, 3, 4)] == [0, 3, 5000, 0] and got[2].text == "x\ny" and got[3].text == "end" and got[4].text == rows[3][1]
+
+
+def test_line_dedup_with_clashing_names(spark):
+    rows = [("a", "x\ny", 1, 2, 3, "r"), ("b", "x\ny\nz", 4, 5, 6, "s"), ("b", "x\ny\nz", 7, 8, 9, "t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, d int, e int, lines int, row string")
+    got = line_dedup.without_repeated_lines(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], ("b", "z", 4, 5, 6, "s"), ("b", "z", 7, 8, 9, "t")]
+
+
 def test_rule_counts(spark, edge, docs):
     for frame in (edge, docs):
         want = sorted(brute.rule_counts(r.text) for r in frame.collect())
@@ -155,6 +180,29 @@ def test_rule_counts(spark, edge, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_rules.scored(docs).where("kept").collect()}
 
 
+def test_posterior_is_that_of_em_by_document(spark, docs):
+    import pyarrow as pa
+
+    from panelspark.llm.blocks import blocks
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r.doc_id for r in docs.collect()], "text": [r.text for r in docs.collect()]})
+    rows = [v for _, data, starts in blocks(iter([batch])) for v in quality_rules.votes(quality_rules.statistics(data, starts)).tolist()]
+    want = dict(zip(batch.column(0).to_pylist(), brute.em(rows), strict=True))
+    got = {r.doc_id: r for r in quality_rules.scored(docs).collect()}
+    assert all(abs(got[d].posterior - p) < 1e-6 and got[d].kept == (not got[d].base_failed and p >= 0.5) for d, p in want.items())
+
+
+def test_one_bad_vote_is_not_a_verdict(spark):
+    """The posterior keeps documents that an all-must-pass filter rejects: here many repeated lines, and nothing else."""
+    got = quality_rules.scored(table(spark, DATA, "documents")).where("not base_failed and n_dup_lines > 0.3 * n_lines and n_symbols = 0")
+    assert got.count() > 0 and got.where("not kept").count() == 0
+
+
+def test_rules_take_any_column_names(spark, edge):
+    odd = edge.select("*", F.lit(1).alias("votes"), F.lit(2).alias("base_failed"), F.lit(3).alias("c0"))
+    assert quality_rules.kept_documents(odd).columns == odd.columns and quality_rules.kept_documents(odd.limit(0)).count() == 0
+
+
 def test_rules_agree_with_labels(spark):
     got = quality_rules.scored(table(spark, DATA, "documents")).where("not base_failed").join(table(spark, DATA, "labels"), "doc_id")
     good, bad = got.where("quality = 1"), got.where("quality = 0")
@@ -172,6 +220,46 @@ def test_classifier(spark, edge):
     assert quality_classifier.scored(edge.limit(0), labels).count() == 0
 
 
+def test_scores_one_document_at_a_time(spark, docs):
+    """Scores, and what the pipeline's stage keeps, by the fitted model's weights on each text alone."""
+    labels = table(spark, SMALL, "labels")
+    m = quality_classifier.trained(docs, labels)
+    want = {}
+    for d, text in [(r.doc_id, r.text) for r in docs.collect()]:
+        raw = (text or "").encode()
+        places, _ = quality_classifier.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        x = [float(m["scale"][p]) for p in sorted(set(places.tolist()))]
+        norm = max(sum(v * v for v in x) ** 0.5, 1e-9)
+        margin = sum(v / norm * float(m["weight"][p]) for v, p in zip(x, sorted(set(places.tolist())), strict=True)) + float(m["weight"][-1])
+        want[d] = 1 / (1 + np.exp(-(m["slope"] * margin + m["shift"])))
+    assert all(abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == (want[r.doc_id] >= 0.3) for r in quality_classifier.scored(docs, labels).collect())
+    assert {r.doc_id for r in quality_classifier.kept_documents(docs, labels).collect()} == {d for d, p in want.items() if p >= 0.3}
+
+
+def test_classifier_learns_from_the_least_of_repeated_rows(spark, docs):
+    labels = table(spark, SMALL, "labels")
+    twice = docs.union(docs.withColumn("text", F.lit("another text"))).repartition(7)
+    a, b = (quality_classifier.trained(x, labels) for x in (twice, twice.repartition(3)))
+    assert (a["weight"] == b["weight"]).all() and a["shift"] == b["shift"]
+
+
+def test_descent_reaches_the_least_hinge_loss():
+    """The dual steps end where slow subgradient steps on the primal do."""
+    g = np.random.default_rng(3)
+    x = g.normal(size=(60, 5))
+    y = np.where(x @ [1, -2, 0.5, 0, 0] + g.normal(size=60) > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 0.7, 1.3)
+    loss = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w[:5] + w[5]))).sum()
+    full = quality_classifier.descent([np.arange(5)] * 60, list(x), y, cost, epochs=3000)
+    got = np.append(full[:5], full[-1])
+    w, best = np.zeros(6), np.inf
+    for k in range(20_000):
+        active = (y * (x @ w[:5] + w[5]) < 1) * cost * y
+        w = w - (w - np.append(active @ x, active.sum())) / (k + 20)
+        best = min(best, loss(w))
+    assert abs(loss(got) - best) < 0.01 * best
+
+
 def test_descent_separates():
     rows = [np.array([i % 2, 2 + i]) for i in range(40)]
     y = np.array([1.0 if i % 2 else -1.0 for i in range(40)])
@@ -233,6 +321,51 @@ def test_id_files(spark, edge, docs):
     assert id_files.written_and_read(edge, WORDS).count() == len(EDGE) and id_files.written_and_read(edge.limit(0), WORDS).count() == 0
 
 
+def test_id_files_keyed_by_text_and_across_shards(spark):
+    """Keys that are text; a key that fills several shards gives its first row; the least whole number is a key as any."""
+    lib = tokens.library(WORDS)
+    for kind, keys in (("string", ["b", "a", None, "c", "日本"]), ("bigint", [-(1 << 63), 5, None, 7, 9])):
+        rows = [(keys[k % 5] if k < 200 else keys[3], f"text number {k} " * 2000, k) for k in range(400)]
+        frame = spark.createDataFrame(rows, f"doc_id {kind}, text string, path int").coalesce(1)
+        shards = id_files.write_ids(frame, WORDS, shard_bytes=1 << 20)
+        assert shards.count() > 5
+        first = {}
+        for d, t, _ in rows:
+            first.setdefault(d, [*lib.encode(t, add_special_tokens=False).ids, 1])
+        asked = spark.createDataFrame([(k,) for k in keys] + [("zz" if kind == "string" else 6,)], f"doc_id {kind}")
+        got = {r.doc_id: r.ids for r in id_files.ids_of(spark, shards, asked).collect()}
+        assert got == {k: first[k] for k in keys if k is not None} | {"zz" if kind == "string" else 6: None}
+        assert id_files.written_and_read(frame, WORDS).groupBy("doc_id").count().count() == 5
+
+
+def test_keyed_access_reads_a_few_bytes():
+    import pyarrow as pa
+
+    for n in (10, 200_000):
+        raw = id_files._index_bytes(pa.array(range(n), pa.int64()), np.full(n, 7), 2)
+        took = []
+        index = id_files.Lookup(lambda at, size: took.append(size) or raw[at : at + size])
+        head = len(took)
+        assert [index.find(k) for k in (0, n - 1, n)] == [(0, 7), (7 * (n - 1), 7), (-1, -1)]
+        assert sum(took[head:]) < 3 * 12 * 72
+
+
+def test_words_that_share_a_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, begin, end: np.zeros(len(begin), np.uint64))
+    store = tokens.Store(lambda words: [[len(w), ord(w[0])] for w in words])
+    for text in (b"aa b cc b aa", b"cc dd aa", b"b"):
+        data = np.frombuffer(text, np.uint8)
+        words = text.split()
+        begin = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        ids, at = store.lists(store.of(data, begin, begin + [len(w) for w in words]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[len(w), w[0]] for w in words]
+
+
+def test_empty_tables(spark, edge):
+    none = edge.limit(0)
+    assert token_counts.token_counts(none, BYTES).count() == sentence_pieces.piece_digests(none, PIECES).count() == sentence_pieces.encoded_pieces(none, PIECES).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_minimal_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
@@ -335,6 +468,53 @@ def test_style_tree_cuts_repeated_neutral_branches(spark):
     assert all(r.text == f"Text number {r.page_id} is its own {r.page_id * 7}." for r in got)
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<body class="home has-sidebar"><article>', "</article></body>"), ('<article class="post comments-open">', "</article>"), ('<main class="social-science">', "</main>"),
+    ('<div class="share-story"><article>', "</article></div>"), ('<form id="aspnetForm"><article>', "</article></form>"),
+])
+def test_names_around_an_article_do_not_cut_it(spark, before, after):
+    for n in (1, 30):
+        rows = [(i, f"http://h.example/{i}", f"<html>{before}<h1>Title</h1><p>Text {i}, and more of it.</p><section class='comments'><p>Nice {i}!</p></section>{after}<div class='ad'>Buy {i}</div></html>") for i in range(n)]
+        got = main_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert len(got) == n and all(r.text == f"Title\n\nText {r.page_id}, and more of it." for r in got)
+
+
+def test_articles_that_every_page_repeats_stay(spark):
+    rows = [(i, f"http://h.example/{i % 2}", "<body><nav><ul><li>Home<li>News</ul></nav><article><h1>A</h1><div><p>One and the same text.</p></div></article><footer>Us</footer>") for i in range(40)]
+    got = main_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.text for r in got} == {"A\n\nOne and the same text."}
+
+
+def test_style_tree_against_one_node_at_a_time(spark):
+    g = random.Random(9)
+    pages = []
+    for i in range(120):
+        parts = "".join(f"<p>{g.choice(['a b', 'c', str(i) * 9])}</p>" for _ in range(g.randint(1, 4)))
+        pages.append((i, f"http://{g.choice('xyz')}.example/{i}", f"<html><body><ul>{'<li>m' * g.randint(1, 3)}</ul><div class='{g.choice(['s', 't'])}'>{parts}</div></body></html>"))
+    read = main_text.read_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    rows = read.select("host", F.explode("nodes").alias("x")).select("host", "x.path", "x.style", "x.share", "x.texts")
+    got = {(r.host, r.path): r.importance for r in main_text.importance(rows).collect()}
+    want = brute.tree_importance([(main_text._host(u), main_text.nodes_of(h)) for _, u, h in pages])
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_main_text_edges(spark):
+    long = "<article>" + "".join(f"<p>word {i}</p>" for i in range(60_000)) + "</article>"
+    docs = spark.createDataFrame([("p", "http://h.example/", long, 1, 2, "x"), ("p", "http://h.example/", long, 1, 2, "x"), (None, None, None, 3, 4, "y")], "page_id string, url string, html string, row int, host int, nodes string")
+    got = main_text.main_text(docs).collect()
+    want = "\n\n".join(f"word {i}" for i in range(60_000))
+    assert sorted((r.page_id or "", r.text) for r in got) == [("", ""), ("p", want), ("p", want)]
+    assert main_text.main_text(docs.limit(0)).count() == 0
+
+
+def test_the_tree_alone_gives_the_verdict_on_the_given_pages(spark):
+    """What elements are called decides no block of the given pages that the entropies do not decide alike."""
+    rows = main_text.read_pages(table(spark, DATA, "pages")).select("host", F.explode("nodes").alias("x")).select("host", "x.path", "x.style", "x.share", "x.texts")
+    blocks = rows.select("host", "path", F.explode("texts").alias("t")).join(main_text.importance(rows), ["host", "path"])
+    alone, final = F.col("importance") >= main_text.LOW, F.col("importance") + main_text.NAMED * F.col("t.worth") >= main_text.LOW
+    assert blocks.where(alone == final).count() >= 0.9 * blocks.count() > 0
+
+
 def test_pages(spark):
     got = registry.op7_main_text(spark, SMALL).collect()
     assert len(got) == table(spark, SMALL, "pages").count() and all(r.text and "<p>" not in r.text for r in got)
@@ -356,3 +536,52 @@ def test_pipeline(spark):
         docs = after
     want = sum(len(x) for x in ([*tokens.library(WORDS).encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()))
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).agg(F.sum("length")).first()[0] == want
+
+
+def _stage_rows(spark, frame):
+    """What each stage must keep of `frame`, by brute force: rows as tuples of (doc_id, text, other)."""
+    import pyarrow as pa
+
+    from panelspark.llm.blocks import blocks
+
+    rows = [tuple(r) for r in frame.collect()]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([r[1] for r in rows], pa.string())})
+    votes = [v for _, data, starts in blocks(iter([batch])) for v in quality_rules.votes(quality_rules.statistics(data, starts)).tolist()]
+    counts = [brute.rule_counts(r[1]) for r in rows]
+    base = [c[4] >= 50 and 100 * c[3] <= 50 * c[4] for c in counts]
+    kept = [r for r, ok, p in zip(rows, base, brute.em(votes) if rows else [], strict=True) if ok and p >= 0.5]
+    return rows, kept
+
+
+EDGE_ROWS = [
+    (5, "A " * 3 + "the same text of some words and more", "x"), (5, "A " * 3 + "the same text of some words and more", "y"), (7, "A " * 3 + "the same text of some words and more", "x"),
+    (7, "quite another text that no other row has here", "z"), (8, None, "n"), (9, "", "e"), (9, "", "e"), (10, " \n ", "w"), (None, "a text without any id of its own at all", "i"),
+    (11, "l1\nl2\nl3", "l"), (12, "l0\nl1\nl2\nl3", "l"), (13, LONG, "v"), (14, LONG + " tail", "v"),
+]
+
+
+def test_pipeline_stages_row_by_row(spark):
+    """The stages over edge rows, against brute force."""
+    from collections import Counter
+
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    frame = spark.createDataFrame(EDGE_ROWS, "doc_id bigint, text string, node string")
+    rows, want = _stage_rows(spark, frame)
+    assert sorted(map(repr, stages["quality_rules"](spark, frame, SMALL).collect())) == sorted(repr(r) for r in frame.collect() if tuple(r) in want)
+    # near duplicates: of each group of linked rows the one of least doc_id stays, once; rows without words all stay
+    got = Counter((r.doc_id, r.text) for r in stages["minhash_near_dedup"](spark, frame, SMALL).collect())
+    texts = sorted({t for _, t, _ in rows if t and t.split()})
+    group = brute.components(list(enumerate(texts)))
+    least = {}
+    for d, t, _ in rows:
+        if t and t.split():
+            k = group[texts.index(t)][1]
+            key = (d is not None, d or 0, t)
+            least[k] = min(least.get(k, key), key)
+    want = Counter((d if some else None, t) for some, d, t in least.values()) + Counter((d, t) for d, t, _ in rows if not (t and t.split()))
+    assert {k: n for k, n in got.items() if k[0] not in (13, 14)} == {k: n for k, n in want.items() if k[0] not in (13, 14)} and sum(got.values()) == sum(want.values())
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, frame.limit(0), SMALL)
+        assert empty.count() == 0 and (name == "best_fit_packing" or empty.columns == frame.columns)
