@@ -1,13 +1,17 @@
 """Corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input.
 
-Rows with n_words under 50 or repeated windows, and rows that the rules or the classifier reject, go; repeated line runs
-go from later copies; one document of each near-duplicate group stays; the rest is packed into sequences.
+Rows that the base rule, the rules' posterior or the classifier reject go; repeated line runs go from later copies; of
+each near-duplicate group one row stays; the rest is packed into sequences.
+
+Defined results: rows are judged one by one, whatever they share. Null and empty texts fail the base rule and go in the
+first stage; a stage that is given them alone keeps them, but for the classifier, which scores them as any text. Of rows
+that repeat doc_id and text one stays. Very long texts are taken whole. An empty table gives an empty table. All but the
+last stage return the columns of their input in order, whatever their names; n_chars, where it is there, follows the text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelspark.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules
 from panelspark.llm.registry import tokenizer
@@ -27,8 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.one_of_each(docs)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 def asof_by_key(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, values: Sequence[str], exact: bool = True, forward: bool = False) -> DataFrame:
     """`left` with the `values` of the last row of `right` at or before `left_on` for the same keys (`forward`: the first at or after).
 
-    One shuffle by key: both sides in one stream, the right rows first at equal times, and the last value seen so far.
+    One shuffle by key: both sides in one stream, the right rows first at equal times, and the last value seen so far. Of
+    right rows at one time the one with the greatest values (in their order) counts. Left rows with null keys or times get
+    nulls unless the right side has such keys; repeated left rows stay; an empty right side gives nulls.
     """
     packed = F.struct(F.col(right_on).alias("_at"), *[F.col(v) for v in values])
     order_right = 0 if exact else 1
@@ -20,7 +22,7 @@ def asof_by_key(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: s
     other = right.where(F.col(right_on).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col(right_on).alias("_t"), F.lit(order_right).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_left"), packed.alias("_right"))
     keys = [f"_k{i}" for i in range(len(by))]
     time = F.col("_t").desc() if forward else F.col("_t").asc()
-    w = W.partitionBy(*keys).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*keys).orderBy(time, "_side", "_right").rowsBetween(W.unboundedPreceding, 0)
     seen = rows.unionByName(other).withColumn("_seen", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
     return seen.select("_left.*", *[F.col(f"_seen.{v}").alias(v if v not in left.columns else f"{v}_right") for v in values], F.col("_seen._at").alias(f"{right_on}_asof"))
 
@@ -28,7 +30,8 @@ def asof_by_key(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: s
 def asof_calendar(dates: DataFrame, on: str, calendar: DataFrame, day: str, out: str, forward: bool = False, shift: int = 0) -> DataFrame:
     """`dates` with the last calendar day at or before `on` + `shift` days (`forward`: the first at or after).
 
-    The distinct dates are few, so they meet the distinct calendar days of the same or the neighbouring months.
+    One task sorts the distinct dates and calendar days: some 365 a year, whatever the size of the tables. Null dates get
+    null; repeated rows stay; an empty calendar gives nulls.
     """
     target = F.date_add(F.col(on), shift)
     asked = dates.select(F.col(on)).where(F.col(on).isNotNull()).distinct().withColumn("_target", target)

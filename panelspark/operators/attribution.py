@@ -71,10 +71,16 @@ def ols_report(rows: DataFrame, least: int = 30) -> DataFrame:
 
 
 def rolling_moments(rows: DataFrame, window: int, keys: Sequence[str] = ("model", "series"), factors: Sequence[str] = FACTORS) -> DataFrame:
-    """The same sums over the last `window` rows of each series, where there are as many."""
-    w = W.partitionBy(*keys).orderBy("DATE").rowsBetween(1 - window, 0)
-    sums = rows.select(*keys, "DATE", F.count("*").over(w).alias("N"), *[F.sum(e).over(w).alias(n) for n, e in _terms(factors)])
-    return sums.where(F.col("N") == window)
+    """The same sums over the last `window` rows of each series, where there are as many.
+
+    Each sum is the difference of two running sums, so that a row costs the same for any window. A series is one task: its
+    days, some 250 a year.
+    """
+    w = W.partitionBy(*keys).orderBy("DATE")
+    terms = _terms(factors)
+    running = rows.select(*keys, "DATE", F.row_number().over(w).alias("_row"), *[F.sum(e).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(n) for n, e in terms])
+    sums = running.select(*keys, "DATE", "_row", *[(F.col(n) - F.coalesce(F.lag(n, window).over(w), F.lit(0.0))).alias(n) for n, _ in terms])
+    return sums.where(F.col("_row") >= window).select(*keys, "DATE", F.lit(window).cast("bigint").alias("N"), *[n for n, _ in terms])
 
 
 def rolling_alpha(rows: DataFrame, window: int = 1260) -> DataFrame:

@@ -26,14 +26,14 @@ def window_days(years: float) -> int:
     return round(365.2425 * years)
 
 
-def anchor_windows(features: DataFrame, train_years: float = 3.0) -> DataFrame:
+def anchor_windows(features: DataFrame, train_years: float = 3.0, least_anchors: int = 12) -> DataFrame:
     """dt, date: every anchor with enough history behind it, and the dates of its training window (F13, W14, ML7).
 
-    A few hundred anchors: the range join is over distinct dates only.
+    A panel of fewer than `least_anchors` dates has none. A few hundred anchors: the range join is over distinct dates only.
     """
     days = window_days(train_years)
-    dates = features.select("date").distinct()
-    first = dates.agg(F.min("date").alias("first"))
+    dates = features.select("date").where("date is not null").distinct()
+    first = dates.agg(F.min("date").alias("first"), F.count("*").alias("anchors")).where(F.col("anchors") >= least_anchors)  # one row at most
     legal = dates.crossJoin(F.broadcast(first)).where(F.datediff("date", "first") >= days + 365).select(F.col("date").alias("dt"))
     span = legal.withColumn("_m", F.explode(F.expr(f"sequence(trunc(date_sub(dt, {days}), 'month'), trunc(dt, 'month'), interval 1 month)")))
     keyed = dates.withColumn("_m", F.trunc("date", "month"))
@@ -121,12 +121,19 @@ def _ranked(predictions: DataFrame) -> DataFrame:
     return ranked(predictions, ["date"], "pred_12m").select("date", "permno", "pred_12m", "rank")
 
 
-def tree_ranking(features: DataFrame, labels: DataFrame, columns: Sequence[str], train_years: float = 3.0, half_life: float = 1.5, rounds: int = 60, depth: int = 5, last_anchors: int | None = None) -> DataFrame:
+def tree_ranking(
+    features: DataFrame, labels: DataFrame, columns: Sequence[str], path: str, train_years: float = 3.0, half_life: float = 1.5,
+    rounds: int = 300, depth: int = 6, least_leaf: int = 200, fraction: float = 0.7, at_once: int = 4,
+) -> DataFrame:
     """The same ranking by boosted trees, a distributed fit for each anchor and horizon (ML3-ML8).
 
-    The last 180 days of a window stop the boosting early. Anchors are refitted, not warm-started: no numeric parity with
-    another booster is claimed. The driver holds the list of anchors (a few hundred) and no rows.
+    Training rows and predictions are tables under `path`, by anchor and horizon, so that each fit reads its partition alone;
+    `at_once` fits are under way at a time. The last 180 days of a window stop the boosting early. Anchors are refitted,
+    not warm-started: no numeric parity with another booster is claimed. The driver holds the list of fits (three a
+    date) and no rows. A panel without a legal anchor gives no rows.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -134,20 +141,25 @@ def tree_ranking(features: DataFrame, labels: DataFrame, columns: Sequence[str],
     rows = window_rows(features, columns, train_years)
     medians = impute_values(rows, columns)
     every = [*columns, *[f"miss_{c}" for c in columns]]
+    weighted = imputed(_matured(rows, labels), medians, columns).select("dt", "horizon", *every, "y", decay_weight("date", "dt", half_life).alias("w"), (F.datediff("dt", "date") <= 180).alias("late"))
+    weighted.repartition("dt", "horizon").write.partitionBy("dt", "horizon").parquet(f"{path}/train")
+    now = imputed(features.select(F.col("date").alias("dt"), "permno", *[finite(F.col(c).cast("double")).alias(c) for c in columns]), medians, columns)
+    now.repartition("dt").write.partitionBy("dt").parquet(f"{path}/now")
+    schema = ", ".join(f"{c} double" for c in every)
+    train = spark.read.schema(f"{schema}, y double, w double, late boolean, dt date, horizon string").parquet(f"{path}/train")
+    now = spark.read.schema(f"permno bigint, {schema}, dt date").parquet(f"{path}/now")
+    fits = train.groupBy("dt", "horizon").agg(F.count_if(~F.col("late")).alias("early"), F.count_if("late").alias("late")).orderBy("dt", "horizon").collect()
     vector = VectorAssembler(inputCols=every, outputCol="x")
-    train = vector.transform(imputed(_matured(rows, labels), medians, columns)).select("dt", "date", "horizon", "x", F.col("y").alias("label"), decay_weight("date", "dt", half_life).alias("w"), (F.datediff("dt", "date") <= 180).alias("late")).cache()
-    now = vector.transform(imputed(features.select(F.col("date").alias("dt"), "permno", *[finite(F.col(c).cast("double")).alias(c) for c in columns]), medians, columns))
-    fits = [(r["dt"], r["horizon"], r["early"], r["late"]) for r in train.groupBy("dt", "horizon").agg(F.count_if(~F.col("late")).alias("early"), F.count_if("late").alias("late")).orderBy("dt", "horizon").collect()]
-    if last_anchors:
-        chosen = sorted({f[0] for f in fits})[-last_anchors:]
-        fits = [f for f in fits if f[0] in chosen]
-    out = None
-    for dt, horizon, early, late in fits:
-        part = train.where((F.col("dt") == F.lit(dt)) & (F.col("horizon") == horizon))
-        stop = {"validationIndicatorCol": "late"} if early and late else {}
-        model = GBTRegressor(featuresCol="x", labelCol="label", weightCol="w", maxIter=rounds, stepSize=0.05, maxDepth=depth, minInstancesPerNode=5, subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=42, **stop).fit(part)
-        scored = model.transform(now.where(F.col("dt") == F.lit(dt))).select(F.col("dt").alias("date"), "permno", F.lit(horizon).alias("horizon"), F.col("prediction").alias("pred"))
-        out = scored if out is None else out.union(scored)
-    if out is None:
+
+    def one(fit) -> None:
+        part = vector.transform(train.where((F.col("dt") == F.lit(fit["dt"])) & (F.col("horizon") == fit["horizon"]))).select("x", "y", "w", "late")
+        stop = {"validationIndicatorCol": "late", "validationTol": 0.0} if fit["early"] and fit["late"] else {}
+        model = GBTRegressor(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, stepSize=0.05, maxDepth=depth, minInstancesPerNode=least_leaf, subsamplingRate=fraction, featureSubsetStrategy=str(fraction), checkpointInterval=-1, seed=42, **stop).fit(part)
+        scored = model.transform(vector.transform(now.where(F.col("dt") == F.lit(fit["dt"]))))
+        scored.select("permno", F.col("prediction").alias("pred")).write.parquet(f"{path}/pred/date={fit['dt']}/horizon={fit['horizon']}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(one, fits))
+    if not fits:
         return spark.createDataFrame([], "date date, permno bigint, pred_12m double, rank int")
-    return _ranked(blended(out))
+    return _ranked(blended(spark.read.schema("permno bigint, pred double, date date, horizon string").parquet(f"{path}/pred")))

@@ -15,8 +15,8 @@ YEAR = math.sqrt(252)
 
 
 def legs(daily: DataFrame) -> DataFrame:
-    """model, series (LS, LONG, SHORT), DATE, r in long form."""
-    rows = F.array(*[F.struct(F.lit(n).alias("series"), F.col(c).alias("r")) for n, c in (("LS", "ls_ret"), ("LONG", "long_ret"), ("SHORT", "short_ret"))])
+    """model, series (LS, LONG, SHORT), DATE, r in long form; the short leg's r is its profit, the negative of its return."""
+    rows = F.array(*[F.struct(F.lit(n).alias("series"), F.expr(c).alias("r")) for n, c in (("LS", "ls_ret"), ("LONG", "long_ret"), ("SHORT", "-short_ret"))])
     return daily.select("model", "DATE", F.explode(rows).alias("_x")).select("model", "_x.series", "DATE", "_x.r").where("r is not null")
 
 
@@ -31,7 +31,7 @@ def performance_stats(series: DataFrame, market: DataFrame | None = None) -> Dat
     `market` (DATE, mkt): days without it go, and the information ratio is against it.
     """
     if market is not None:
-        series = series.join(F.broadcast(market.select("DATE", "mkt")) if market.limit(100_001).count() <= 100_000 else market.select("DATE", "mkt"), "DATE").where("mkt is not null")
+        series = series.join(market.select("DATE", "mkt"), "DATE").where("mkt is not null")
     else:
         series = series.withColumn("mkt", F.lit(None).cast("double"))
     r = F.col("r")
@@ -41,6 +41,18 @@ def performance_stats(series: DataFrame, market: DataFrame | None = None) -> Dat
     )
 
 
+def performance_report(daily: DataFrame, market: DataFrame) -> DataFrame:
+    """One row a model and series (LS, LONG, SHORT and Mkt, all on the model's days with a market return): statistics and drawdown (PF12).
+
+    The market's information ratio is null: it is its own benchmark. A model without such days has no rows.
+    """
+    own = legs(daily)
+    days = daily.select("model", "DATE").distinct().join(market.select("DATE", F.col("mkt").alias("r")), "DATE").where("r is not null")
+    series = own.join(market.where("mkt is not null").select("DATE"), "DATE", "left_semi").select("model", "series", "DATE", "r")
+    series = series.union(days.select("model", F.lit("Mkt").alias("series"), "DATE", "r"))
+    return performance_stats(series, market).join(max_drawdown(series), ["model", "series"])
+
+
 def wealth(series: DataFrame, base: float = 100.0) -> DataFrame:
     """Wealth of each series from `base` on (PF13, W7)."""
     return series.withColumn("vami", base * running_product(1 + F.col("r"), along(["model", "series"], ["DATE"])))

@@ -59,9 +59,8 @@ def score_dynamics(scores: DataFrame, window: int = WINDOW, keys: Sequence[str]
     z = robust_z(scores.where("score is not null"), ["asof_date"], "score", "score_z", winsor=None)
     dates = scores.select("asof_date").distinct()
     order = dates.withColumn("index", F.row_number().over(W.orderBy("asof_date")) - 1)  # a row an anchor
-    index = F.broadcast(order)
     last = order.agg(F.max("index").alias("last"))
-    rows = sliding_members(z.join(index, "asof_date").crossJoin(F.broadcast(last)), "index", F.col("last"), window)
+    rows = sliding_members(z.join(order, "asof_date").crossJoin(F.broadcast(last)), "index", F.col("last"), window)
     rows = rows.withColumn("t", (F.col("index") - F.col("window_end") + (window - 1)).cast("double"))
     group = ["window_end", *keys]
     rows = rows.withColumn("change", F.col("score_z") - F.lag("score_z").over(along(group, ["t"])))
@@ -69,7 +68,7 @@ def score_dynamics(scores: DataFrame, window: int = WINDOW, keys: Sequence[str]
     sums = rows.groupBy(*group).agg(F.count("*").alias("k"), F.sum(t).alias("st"), F.sum(t * t).alias("stt"), F.sum(s).alias("ss"), F.sum(s * t).alias("sst"), F.avg(s).alias("mean"), F.stddev_samp("change").alias("vol"), F.count("change").alias("nd"))
     spread = F.col("k") * F.col("stt") - F.col("st") * F.col("st")
     slope = F.when((spread > 0) & (F.col("k") >= least), (F.col("k") * F.col("sst") - F.col("st") * F.col("ss")) / spread)
-    out = sums.join(F.broadcast(order.withColumnRenamed("index", "window_end")), "window_end")
+    out = sums.join(order.withColumnRenamed("index", "window_end"), "window_end")
     return out.select("asof_date", *keys, F.col("k").alias("n_obs"), slope.alias("slope_score"), F.when(F.col("k") >= least, F.col("mean")).alias("avg_score"), F.when(F.col("nd") >= least - 1, F.col("vol")).alias("vol_dscore"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,14 @@ from ..operators import asof, attribution, labels, learning, performance, portfo
 from ..sources import adapters as A
 from ..sources import tables as S
 from .sql import YEARS, labels as labels_sql, query, robust as robust_sql
-from .stages import stage
+from .stages import shared_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-_NEW_MODELS = {"train_years": 1.0}
+#: Years of history: the first score window ends in late 1998, and three more years would leave no anchor.
+RATIO_YEARS, SCORE_YEARS = 3.0, 1.0
+ROLLING = 1260
 
 
 def registered(sql: str | None = None) -> Callable[[Query], Query]:
@@ -45,10 +48,10 @@ class Panels:
     """The panels of one session and folder, and what the operators make of them; each is a stage that is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.source, self.lines = spark, sf_dir, A.table(spark, sf_dir, "lineitem")
+        self.spark, self.source, self.lines = spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", A.table(spark, sf_dir, "lineitem")
 
-    def _stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return stage(self.spark, self.source, name, build)
+    def _stage(self, name: str, build: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+        return stage(self.spark, self.source, name, build, write)
 
     anchors = property(lambda self: ratios.anchor_calendar(self.spark, *YEARS))
     asof = property(lambda self: ratios.asof_days(self.anchors, self.returns_m))
@@ -61,14 +64,31 @@ class Panels:
     ranking = property(lambda self: scores.ranked(self.composite))
     invest = property(lambda self: self._stage("invest", lambda: scores.investment_ranking(self.ranking)))
     features = property(lambda self: self.ratios.withColumnRenamed("asof_date", "date"))
-    labels = property(lambda self: self._stage("labels", lambda: labels.forward_labels(self.features, self.returns_m)))
+    labels = property(lambda self: self._stage("labels", lambda: labels.forward_labels(self.features, self.returns_d)))
+    score_features = property(lambda self: self._stage("score_features", lambda: scores.score_features(self.ranking)))
+    score_labels = property(lambda self: self._stage("score_labels", lambda: labels.forward_labels(self.score_features, self.returns_d)))
+    ridge_ratios = property(lambda self: self._stage("ridge_ratios", lambda: learning.ridge_ranking(self.features, self.labels, learning.RATIO_FEATURES, RATIO_YEARS)))
+    ridge_scores = property(lambda self: self._stage("ridge_scores", lambda: learning.ridge_ranking(self.score_features, self.score_labels, learning.SCORE_FEATURES, SCORE_YEARS)))
+    trees_ratios = property(lambda self: self._stage("trees_ratios", lambda: learning.tree_ranking(self.features, self.labels, learning.RATIO_FEATURES, self._folder("trees"), RATIO_YEARS)))
+    trees_scores = property(lambda self: self._stage("trees_scores", lambda: learning.tree_ranking(self.score_features, self.score_labels, learning.SCORE_FEATURES, self._folder("trees"), SCORE_YEARS)))
     selection = property(lambda self: self._stage("selection", self._select))
+    tree_selection = property(lambda self: self._stage("tree_selection", lambda: portfolio.decile_selection(self._learnt("trees", self.trees_ratios).union(self._learnt("trees_scores", self.trees_scores)))))
     daily = property(lambda self: self._stage("daily", lambda: portfolio.daily_long_short(self.selection, self.returns_d)))
     series = property(lambda self: performance.legs(self.daily))
+    market = property(lambda self: self.factors.select("DATE", F.col("Mkt_RF").alias("mkt")))
+
+    def _folder(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+
+    @staticmethod
+    def _learnt(model: str, ranking: DataFrame) -> DataFrame:
+        return ranking.select(F.lit(model).alias("model"), F.col("date").alias("asof_date"), "permno", F.col("pred_12m").alias("score"))
 
     def _select(self) -> DataFrame:
-        both = [d.select(F.lit(m).alias("model"), "asof_date", "permno", "score") for m, d in (("composite", self.ranking), ("investment", self.invest))]
-        return portfolio.decile_selection(both[0].union(both[1]))
+        """Deciles of the rankings that SQL can check; those of the trees are in `tree_selection`."""
+        rule = [d.select(F.lit(m).alias("model"), "asof_date", "permno", "score") for m, d in (("composite", self.ranking), ("investment", self.invest))]
+        learnt = [self._learnt("ridge", self.ridge_ratios), self._learnt("ridge_scores", self.ridge_scores)]
+        return portfolio.decile_selection(rule[0].union(rule[1]).union(learnt[0]).union(learnt[1]))
 
 
 @registered("SELECT PERMNO, DATE, year(DATE)::INT AS year, CAST(count(*) OVER (PARTITION BY year(DATE)) AS BIGINT) AS year_rows FROM returns_d")
@@ -82,9 +102,11 @@ def ingest_year_derivation(spark, d):
 
 @registered(f"SELECT PERMNO, DATE, {r('RET')} FROM returns_d WHERE year(DATE) BETWEEN 1996 AND 1997 AND DATE <= DATE '1997-06-30'")
 def partition_pruned_scan(spark, d):
-    """The scan reads only rows of the asked dates: the filter is on the source's own column."""
-    lines = A.table(spark, d, "lineitem").where((F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit("1997-07-01").cast("timestamp")))
-    return rounded(A.returns_d(lines).select("PERMNO", "DATE", "RET"))
+    """The daily panel written by year and read again: years reach the scan as partitions, columns and dates too."""
+    p = Panels(spark, d)
+    p._stage("returns_by_year", lambda: p.returns_d, lambda df, path: S.ingest(df, "DATE", path))
+    path = p._stage("returns_by_year", lambda: p.returns_d).inputFiles()[0].split("/year=")[0]
+    return rounded(S.scan_years(spark, path, 1996, 1997, ["PERMNO", "DATE", "RET"]).where(F.col("DATE") <= F.lit("1997-06-30").cast("date")))
 
 
 @registered(f"SELECT DATE, {r('Mkt_RF', 'SMB', 'HML', 'RMW', 'CMA', 'RF', 'Mom', digits=8)} FROM factors_d")
@@ -162,11 +184,11 @@ def asof_calendar(spark, d):
     return asof.asof_calendar(p.fundamentals.select("DATADATE").distinct(), "DATADATE", p.returns_d, "DATE", "day")
 
 
-@registered(f"SELECT f.GVKEY, f.DATADATE, x.DATE AS price_date, {r('PRC')} FROM fundamentals_q f ASOF LEFT JOIN returns_m x ON x.PERMNO = f.LPERMNO AND x.DATE <= f.DATADATE")
+@registered(f"SELECT f.GVKEY, f.DATADATE, x.DATE AS return_date, {r('RET')} FROM fundamentals_q f ASOF LEFT JOIN returns_d x ON x.PERMNO = f.LPERMNO AND x.DATE <= f.DATADATE")
 def asof_by_key(spark, d):
     p = Panels(spark, d)
-    out = asof.asof_by_key(p.fundamentals.select("GVKEY", "DATADATE", F.col("LPERMNO").alias("PERMNO")), p.returns_m, ["PERMNO"], "DATADATE", "DATE", ["PRC"])
-    return rounded(out.select("GVKEY", "DATADATE", F.col("DATE_asof").alias("price_date"), "PRC"))
+    out = asof.asof_by_key(p.fundamentals.select("GVKEY", "DATADATE", F.col("LPERMNO").alias("PERMNO")), p.returns_d, ["PERMNO"], "DATADATE", "DATE", ["RET"])
+    return rounded(out.select("GVKEY", "DATADATE", F.col("DATE_asof").alias("return_date"), "RET"))
 
 
 @registered(f"SELECT model, rebal, asof_date, {r('w_long', 'w_short')} FROM live")
@@ -197,13 +219,13 @@ def lag_differences(spark, d):
 
 @registered(f"SELECT PERMNO, DATE, {r('cumlog')} FROM cum")
 def cum_log_return(spark, d):
-    p = Panels(spark, d).returns_m
+    p = Panels(spark, d).returns_d
     return rounded(p.select("PERMNO", "DATE", running_log_return(F.col("RET"), along(["PERMNO"], ["DATE"])).alias("cumlog")))
 
 
-@registered(f"SELECT PERMNO, DATE, {r('gross')} FROM (SELECT PERMNO, DATE, product((1 + coalesce(RET, 0)) * (1 + coalesce(DLRET, 0))) OVER (PARTITION BY PERMNO ORDER BY DATE) AS gross FROM returns_m)")
+@registered(f"SELECT PERMNO, DATE, {r('gross')} FROM (SELECT PERMNO, DATE, product((1 + coalesce(RET, 0)) * (1 + coalesce(DLRET, 0))) OVER (PARTITION BY PERMNO ORDER BY DATE) AS gross FROM returns_d)")
 def cum_product_gross(spark, d):
-    p = Panels(spark, d).returns_m
+    p = Panels(spark, d).returns_d
     return rounded(p.select("PERMNO", "DATE", running_product(1 + X.total_return("RET", "DLRET"), along(["PERMNO"], ["DATE"])).alias("gross")))
 
 
@@ -252,13 +274,13 @@ def score_features(spark, d):
 @registered(f"SELECT date, permno, horizon, {r('y')} FROM labels")
 def forward_labels(spark, d):
     p = Panels(spark, d)
-    return rounded(labels.forward_labels(p.features, p.returns_m))
+    return rounded(labels.forward_labels(p.features, p.returns_d))
 
 
 @registered(f"SELECT date, permno, horizon, {r('y')} FROM ({labels_sql(True)})")
 def forward_labels_truncated(spark, d):
     p = Panels(spark, d)
-    return rounded(labels.forward_labels(p.features, p.returns_m, truncated=True))
+    return rounded(labels.forward_labels(p.features, p.returns_d, truncated=True))
 
 
 _IMPUTE = ("GP_AT", "PE", "MB")
@@ -268,7 +290,7 @@ _IMPUTE = ("GP_AT", "PE", "MB")
 SELECT w.dt, w.date, permno, {', '.join(f'{c}, coalesce(median({c}) OVER (PARTITION BY w.dt), 0) AS m_{c}' for c in _IMPUTE)} FROM ratios JOIN windows w ON w.date = ratios.asof_date)""")
 def impute_with_flags(spark, d):
     p = Panels(spark, d)
-    rows = learning.window_rows(p.features, _IMPUTE, 1.0)
+    rows = learning.window_rows(p.features, _IMPUTE, RATIO_YEARS)
     return rounded(learning.imputed(rows, learning.impute_values(rows, _IMPUTE), _IMPUTE))
 
 
@@ -278,37 +300,44 @@ SELECT v.dt, l.horizon, q.GP_AT AS x, l.y, greatest(1e-8::DOUBLE, exp(-ln(2.0::D
 WHERE q.GP_AT IS NOT NULL AND CAST(v.date + to_months(CASE l.horizon WHEN '3mo' THEN 3 WHEN '6mo' THEN 6 ELSE 12 END) AS DATE) <= v.dt) WINDOW g AS (PARTITION BY dt, horizon)) GROUP BY dt, horizon)""")
 def ridge_moments(spark, d):
     p = Panels(spark, d)
-    rows = learning.window_rows(p.features.where("GP_AT is not null"), ["GP_AT"], 1.0)
-    full = learning.anchor_windows(p.features, 1.0)
-    rows = rows.select("date", "permno", "GP_AT").distinct().join(full, "date")
+    rows = p.features.select("date", "permno", "GP_AT").where("GP_AT is not null").join(learning.anchor_windows(p.features, RATIO_YEARS), "date")
     sums = learning.ridge_moments(learning._matured(rows, p.labels), ["GP_AT"])
     return rounded(sums.select("dt", "horizon", "w_sum", F.col("mean_GP_AT").alias("mean_x"), "mean_y", F.col("s_0_0").alias("sxx"), F.col("t_0").alias("sxy")))
 
 
-@registered()
+@registered(f"SELECT date, permno, rank, {r('pred_12m', digits=7)} FROM ridge_ratios")
 def ridge_ranking_ratios(spark, d):
     p = Panels(spark, d)
-    return learning.ridge_ranking(p.features, p.labels, learning.RATIO_FEATURES, **_NEW_MODELS)
+    return rounded(learning.ridge_ranking(p.features, p.labels, learning.RATIO_FEATURES, RATIO_YEARS), 7)
 
 
-@registered()
+@registered(f"SELECT date, permno, rank, {r('pred_12m', digits=7)} FROM ridge_scores")
 def ridge_ranking_scores(spark, d):
     p = Panels(spark, d)
-    features = scores.score_features(p.ranking)
-    return learning.ridge_ranking(features, labels.forward_labels(features, p.returns_m), learning.SCORE_FEATURES, **_NEW_MODELS)
+    return rounded(learning.ridge_ranking(p.score_features, p.score_labels, learning.SCORE_FEATURES, SCORE_YEARS), 7)
 
 
 @registered()
 def gbt_ranking_ratios(spark, d):
-    p = Panels(spark, d)
-    return learning.tree_ranking(p.features, p.labels, learning.RATIO_FEATURES, rounds=10, depth=3, last_anchors=1, **_NEW_MODELS)
+    return Panels(spark, d).trees_ratios
 
 
 @registered()
 def gbt_ranking_scores(spark, d):
+    return Panels(spark, d).trees_scores
+
+
+@registered()
+def tree_performance(spark, d):
+    """The trees' deciles, cohorts, daily series and report, as for the models that SQL can check (PF2, PF12)."""
+    p = Panels(spark, d)
+    return performance.performance_report(portfolio.daily_long_short(p.tree_selection, p.returns_d), p.market)
+
+
+@registered()
+def tree_hit_rates(spark, d):
     p = Panels(spark, d)
-    features = scores.score_features(p.ranking)
-    return learning.tree_ranking(features, labels.forward_labels(features, p.returns_m), learning.SCORE_FEATURES, rounds=10, depth=3, last_anchors=1, **_NEW_MODELS)
+    return performance.hit_rates(p.tree_selection, p.returns_d)
 
 
 @registered(f"SELECT date, permno, {r('pred_12m')} FROM (SELECT date, permno, sum(y * w) / sum(w) AS pred_12m FROM (SELECT *, CASE horizon WHEN '3mo' THEN 0.2::DOUBLE WHEN '6mo' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS w FROM labels) GROUP BY 1, 2)")
@@ -346,7 +375,16 @@ _RATIO = lambda x, below: f"CASE WHEN stddev_samp({below}) > 0 THEN avg({x}) / s
 avg(r) AS avg_daily, stddev_samp(r) AS daily_vol, min(DATE) AS start_date, max(DATE) AS end_date, count(*) AS n_days FROM aligned GROUP BY 1, 2)""")
 def performance_stats(spark, d):
     p = Panels(spark, d)
-    return rounded(performance.performance_stats(p.series, p.factors.select("DATE", F.col("Mkt_RF").alias("mkt"))))
+    return rounded(performance.performance_stats(p.series, p.market))
+
+
+@registered(f"""SELECT s.model, s.series, {', '.join(f'round(s.{c}, 9) + 0.0 AS {c}' for c in ('ann_sharpe', 'sortino', 'info_ratio', 'avg_daily', 'daily_vol'))}, start_date, end_date, n_days, round(max_drawdown, 9) + 0.0 AS max_drawdown,
+CASE WHEN max_drawdown < 0 THEN (SELECT min(q.DATE) FROM report_wealth q WHERE q.model = y.model AND q.series = y.series AND q.DATE <= y.trough AND q.v = y.peak) ELSE first END AS dd_start, CASE WHEN max_drawdown < 0 THEN trough ELSE first END AS dd_end
+FROM (SELECT model, series, {_RATIO('r', 'r')} AS ann_sharpe, {_RATIO('r', 'least(r, 0)')} AS sortino, {_RATIO('(r - m)', '(r - m)')} AS info_ratio, avg(r) AS avg_daily, stddev_samp(r) AS daily_vol, min(DATE) AS start_date, max(DATE) AS end_date, count(*) AS n_days FROM report_rows GROUP BY 1, 2) s
+JOIN report_fall y ON y.model = s.model AND y.series = s.series""")
+def performance_report(spark, d):
+    p = Panels(spark, d)
+    return rounded(performance.performance_report(p.daily, p.market))
 
 
 @registered(f"""SELECT model, series, {r('max_drawdown')}, CASE WHEN max_drawdown < 0 THEN (SELECT min(q.DATE) FROM wealth q WHERE q.model = y.model AND q.series = y.series AND q.DATE <= y.trough AND q.v = y.peak) ELSE first END AS dd_start, CASE WHEN max_drawdown < 0 THEN trough ELSE first END AS dd_end FROM (
@@ -384,19 +422,24 @@ def ols_single_factor(spark, d):
     return rounded(attribution.single_factor(_factor_rows(Panels(spark, d))))
 
 
-@registered()
+_OLS = ["alpha", "t_alpha", *[f"{p}_{n}" for n in attribution.NAMES for p in ("beta", "t")]]
+_COEFFICIENTS = ", ".join(f"(SELECT {c} FROM ols_t t WHERE t.model = s.model AND t.series = s.series AND t.i = {i}) AS {n}" for i, (b, t) in enumerate(zip(_OLS[::2], _OLS[1::2], strict=True)) for n, c in ((b, "beta"), (t, "t")))
+
+
+@registered(f"""SELECT model, series, sample_start, sample_end, N, {r(*_OLS, digits=6)}, round(1 - rss / tss, 6) + 0.0 AS R2, round(1 - (rss / tss) * (N - 1) / (N - 7), 6) + 0.0 AS Adj_R2, 'ok' AS status
+FROM (SELECT s.model, s.series, s.sample_start, s.sample_end, s.N, f.rss, f.tss, {_COEFFICIENTS} FROM ols_sample s JOIN ols_fit f ON f.model = s.model AND f.series = s.series)""")
 def ols_factor_report(spark, d):
-    return attribution.ols_report(_factor_rows(Panels(spark, d)))
+    return rounded(attribution.ols_report(_factor_rows(Panels(spark, d))), 6)
 
 
-@registered(f"SELECT model, series, DATE, N, {r('g_0_1', 'g_1_1', 'y_1')} FROM (SELECT model, series, DATE, count(*) OVER w AS N, sum(Mkt_RF) OVER w AS g_0_1, sum(Mkt_RF * Mkt_RF) OVER w AS g_1_1, sum(Mkt_RF * r) OVER w AS y_1 FROM aligned WINDOW w AS (PARTITION BY model, series ORDER BY DATE ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE N = 252")
+@registered(f"SELECT model, series, DATE, N, {r('g_0_1', 'g_1_1', 'y_1')} FROM (SELECT model, series, DATE, count(*) OVER w AS N, sum(Mkt_RF) OVER w AS g_0_1, sum(Mkt_RF * Mkt_RF) OVER w AS g_1_1, sum(Mkt_RF * r) OVER w AS y_1 FROM aligned WINDOW w AS (PARTITION BY model, series ORDER BY DATE ROWS BETWEEN 1259 PRECEDING AND CURRENT ROW)) WHERE N = 1260")
 def rolling_moments(spark, d):
-    return rounded(attribution.rolling_moments(_factor_rows(Panels(spark, d)), 252).select("model", "series", "DATE", "N", "g_0_1", "g_1_1", "y_1"))
+    return rounded(attribution.rolling_moments(_factor_rows(Panels(spark, d)), ROLLING).select("model", "series", "DATE", "N", "g_0_1", "g_1_1", "y_1"))
 
 
-@registered()
+@registered("SELECT model, series, DATE, round(252 * v, 7) + 0.0 AS alpha FROM rolling_solved WHERE k = 7 AND i = 0 AND j = 7")
 def rolling_alpha(spark, d):
-    return attribution.rolling_alpha(_factor_rows(Panels(spark, d)), 252)
+    return rounded(attribution.rolling_alpha(_factor_rows(Panels(spark, d)), ROLLING), 7)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.learning import RATIO_FEATURES, SCORE_FEATURES, window_days
 from ..operators.ratios import ANCHOR_DAYS, CORE
 from ..operators.scores import HIGH_IS_BAD, PILLARS, USE
 from ..sources.adapters import HOLES, STOCKS
@@ -97,7 +98,6 @@ CTES["indexed"] = "SELECT asof_date, row_number() OVER (ORDER BY asof_date) - 1
 
 
 def dynamics(keys: str) -> str:
-    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", ")) if keys else ""
     return f"""SELECT w.asof_date, {keys}, CAST(k AS BIGINT) AS n_obs, CASE WHEN k * stt - st * st > 0 AND k >= 8 THEN (k * sst - st * ss) / (k * stt - st * st) END AS slope_score, CASE WHEN k >= 8 THEN mean END AS avg_score, CASE WHEN nd >= 7 THEN vol END AS vol_dscore FROM (
 SELECT window_end, {keys}, count(*) AS k, sum(t) AS st, sum(t * t) AS stt, sum(score_z) AS ss, sum(score_z * t) AS sst, avg(score_z) AS mean, stddev_samp(change) AS vol, count(change) AS nd FROM (
 SELECT *, score_z - lag(score_z) OVER (PARTITION BY window_end, {keys} ORDER BY t) AS change FROM (
@@ -109,21 +109,71 @@ CTES["dyn_long"] = " UNION ALL ".join(f"SELECT asof_date, gvkey, permno, '{c}' A
 CTES["dyn_z"] = robust("dyn_long", "asof_date, feature", "x", "z", invert="feature = 'vol_dscore'")
 CTES["invest"] = "SELECT asof_date, CAST(row_number() OVER (PARTITION BY asof_date ORDER BY score DESC, permno) AS INTEGER) AS rank, gvkey, permno, score FROM (SELECT asof_date, gvkey, permno, avg(z) AS score FROM dyn_z GROUP BY 1, 2, 3) WHERE score IS NOT NULL"
 CTES["features"] = "SELECT asof_date AS date, permno FROM ratios"
-CTES["cum"] = "SELECT PERMNO, DATE, sum(CASE WHEN RET > -1 THEN ln(1 + RET) ELSE 0.0 END) OVER (PARTITION BY PERMNO ORDER BY DATE) AS cumlog FROM returns_m"
-CTES["month_days"] = "SELECT DISTINCT DATE FROM returns_m"
-
-
-def labels(truncated: bool) -> str:
-    keep = "" if truncated else "WHERE target <= (SELECT max(DATE) FROM returns_m)"
-    return f"""SELECT t.date, t.permno, t.horizon, exp(e.cumlog - s.cumlog) - 1 AS y FROM (SELECT *, (SELECT max(DATE) FROM month_days d WHERE d.DATE <= target) AS end_date FROM (
-SELECT DISTINCT date, permno, horizon, CAST(date + to_months(m) AS DATE) AS target FROM features, (VALUES ('3mo', 3), ('6mo', 6), ('1y', 12)) h(horizon, m)) {keep}) t
-ASOF JOIN cum s ON s.PERMNO = t.permno AND s.DATE <= t.date ASOF JOIN cum e ON e.PERMNO = t.permno AND e.DATE <= t.end_date"""
+CTES["cum"] = "SELECT PERMNO, DATE, sum(CASE WHEN RET > -1 THEN ln(1 + RET) ELSE 0.0 END) OVER (PARTITION BY PERMNO ORDER BY DATE) AS cumlog FROM returns_d"
+CTES["trading_days"] = "SELECT DISTINCT DATE FROM returns_d"
+
+
+def labels(truncated: bool, features: str = "features") -> str:
+    keep = "" if truncated else "WHERE target <= (SELECT max(DATE) FROM returns_d)"
+    return f"""SELECT t.date, t.permno, t.horizon, exp(e.cumlog - s.cumlog) - 1 AS y
+FROM (SELECT *, (SELECT max(DATE) FROM trading_days d WHERE d.DATE <= target) AS end_date
+      FROM (SELECT DISTINCT date, permno, horizon, CAST(date + to_months(m) AS DATE) AS target
+            FROM {features}, (VALUES ('3mo', 3), ('6mo', 6), ('1y', 12)) h(horizon, m)) {keep}) t
+ASOF JOIN cum s ON s.PERMNO = t.permno AND s.DATE <= t.date
+ASOF JOIN cum e ON e.PERMNO = t.permno AND e.DATE <= t.end_date"""
+
+
+def windows(features: str, days: int) -> str:
+    """Anchors with `days` and a year of history on a panel of 12 dates or more, and the dates of their windows."""
+    return f"""SELECT a.date AS dt, b.date FROM (SELECT DISTINCT date FROM {features}) a, (SELECT DISTINCT date FROM {features}) b
+WHERE (SELECT count(DISTINCT date) FROM {features}) >= 12 AND a.date - (SELECT min(date) FROM {features}) >= {days} + 365 AND b.date >= a.date - {days} AND b.date < a.date"""
+
+
+def solved(name: str, source: str, keys: str, n: int) -> None:
+    """Add CTE `name`: Gauss-Jordan elimination, a pivot a round, of the n rows i of each key of `source` (keys, i, j, v)."""
+    on = lambda *more: f"OVER (PARTITION BY {', '.join([keys, *more])})"
+    CTES[name] = f"""SELECT 0 AS k, {keys}, i, j, v FROM {source} UNION ALL
+SELECT k + 1, {keys}, i, j, CASE WHEN i = k THEN v / piv ELSE v - of_column * of_row / piv END
+FROM (SELECT *, max(CASE WHEN i = k AND j = k THEN v END) {on()} AS piv, max(CASE WHEN i = k THEN v END) {on('j')} AS of_row,
+      max(CASE WHEN j = k THEN v END) {on('i')} AS of_column FROM {name}) WHERE k < {n}"""
+
+
+def ridge(name: str, features: str, labels: str, windows: str, columns: tuple[str, ...], alpha: float = 10.0, half_life: float = 1.5) -> None:
+    """Add CTEs of the walk-forward ridge ranking: `name` has date, permno, pred_12m, rank."""
+    n = len(columns)
+    every = [*columns, *[f"miss_{c}" for c in columns]]
+    months = "to_months(CASE l.horizon WHEN '3mo' THEN 3 WHEN '6mo' THEN 6 ELSE 12 END)"
+    filled = ", ".join(f"coalesce(q.{c}, m.{c})" for c in columns) + ", " + ", ".join(f"CASE WHEN q.{c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for c in columns)
+    CTES[f"{name}_median"] = f"SELECT w.dt, {', '.join(f'coalesce(median({c}), 0.0) AS {c}' for c in columns)} FROM {features} q JOIN {windows} w ON w.date = q.date GROUP BY w.dt"
+    CTES[f"{name}_train"] = f"""SELECT w.dt, l.horizon, q.date, q.permno, l.y, [{filled}] AS x, greatest(1e-8::DOUBLE, exp(-ln(2.0::DOUBLE) * (w.dt - q.date) / 365.2425::DOUBLE / {half_life}::DOUBLE)) AS w
+FROM {features} q JOIN {windows} w ON w.date = q.date JOIN {labels} l ON l.date = q.date AND l.permno = q.permno JOIN {name}_median m ON m.dt = w.dt WHERE CAST(q.date + {months} AS DATE) <= w.dt"""
+    CTES[f"{name}_long"] = f"SELECT dt, horizon, date, permno, y, w, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS i FROM {name}_train"
+    CTES[f"{name}_mean"] = f"SELECT dt, horizon, i, sum(w) AS ws, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM {name}_long GROUP BY 1, 2, 3"
+    CTES[f"{name}_centred"] = f"SELECT l.dt, l.horizon, l.date, l.permno, l.i, l.w, l.x - m.mx AS x, l.y - m.my AS y FROM {name}_long l JOIN {name}_mean m ON m.dt = l.dt AND m.horizon = l.horizon AND m.i = l.i"
+    CTES[f"{name}_sums"] = f"""SELECT a.dt, a.horizon, a.i, b.i AS j, sum(a.w * a.x * b.x) AS s FROM {name}_centred a JOIN {name}_centred b ON b.dt = a.dt AND b.horizon = a.horizon AND b.date = a.date AND b.permno = a.permno GROUP BY 1, 2, 3, 4
+UNION ALL SELECT dt, horizon, i, {2 * n}, sum(w * x * y) FROM {name}_centred GROUP BY 1, 2, 3"""
+    CTES[f"{name}_scale"] = f"SELECT s.dt, s.horizon, s.i, s.s / m.ws > 0 AS used, sqrt(greatest(s.s / m.ws, 1e-12::DOUBLE)) AS scale, m.mx, m.my FROM {name}_sums s JOIN {name}_mean m ON m.dt = s.dt AND m.horizon = s.horizon AND m.i = s.i WHERE s.i = s.j"
+    CTES[f"{name}_system"] = f"""SELECT s.dt, s.horizon, s.i, s.j, s.s / a.scale / coalesce(b.scale, 1) + CASE WHEN s.i = s.j THEN {alpha}::DOUBLE ELSE 0 END AS v
+FROM {name}_sums s JOIN {name}_scale a ON a.dt = s.dt AND a.horizon = s.horizon AND a.i = s.i LEFT JOIN {name}_scale b ON b.dt = s.dt AND b.horizon = s.horizon AND b.i = s.j"""
+    solved(f"{name}_solved", f"{name}_system", "dt, horizon", 2 * n)
+    CTES[f"{name}_beta"] = f"SELECT v.dt, v.horizon, v.i, CASE WHEN s.used THEN v.v / s.scale ELSE 0 END AS beta, s.mx, s.my FROM {name}_solved v JOIN {name}_scale s ON s.dt = v.dt AND s.horizon = v.horizon AND s.i = v.i WHERE v.k = {2 * n} AND v.j = {2 * n}"
+    CTES[f"{name}_now"] = f"SELECT dt, permno, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS i FROM (SELECT q.date AS dt, q.permno, [{filled}] AS x FROM {features} q JOIN {name}_median m ON m.dt = q.date)"
+    CTES[f"{name}_pred"] = f"SELECT x.dt AS date, x.permno, b.horizon, any_value(b.my) + sum((x.x - b.mx) * b.beta) AS pred, CASE b.horizon WHEN '3mo' THEN 0.2::DOUBLE WHEN '6mo' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS w FROM {name}_now x JOIN {name}_beta b ON b.dt = x.dt AND b.i = x.i GROUP BY 1, 2, 3"
+    CTES[name] = f"SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY pred_12m DESC, permno) AS INTEGER) AS rank FROM (SELECT date, permno, sum(pred * w) / sum(w) AS pred_12m FROM {name}_pred GROUP BY 1, 2)"
 
 
 CTES["labels"] = labels(False)
+CTES["windows"] = windows("features", window_days(3.0))
+CTES["ratio_features"] = "SELECT asof_date AS date, * EXCLUDE (asof_date) FROM ratios"
+CTES["score_features"] = "SELECT asof_date AS date, permno, avg_score, slope_score, vol_dscore FROM dynamics WHERE avg_score IS NOT NULL OR slope_score IS NOT NULL OR vol_dscore IS NOT NULL"
+CTES["score_labels"] = labels(False, "score_features")
+CTES["score_windows"] = windows("score_features", window_days(1.0))
+ridge("ridge_ratios", "ratio_features", "labels", "windows", RATIO_FEATURES)
+ridge("ridge_scores", "score_features", "score_labels", "score_windows", SCORE_FEATURES)
 CTES["selection"] = """SELECT model, asof_date, permno, CAST(CASE WHEN top <= n THEN 1 WHEN low <= n THEN -1 END AS INTEGER) AS signal FROM (SELECT *, row_number() OVER (PARTITION BY model, asof_date, top > n ORDER BY score, permno) AS low FROM (
 SELECT *, row_number() OVER (PARTITION BY model, asof_date ORDER BY score DESC, permno) AS top, greatest(1, floor(0.1::DOUBLE * count(*) OVER (PARTITION BY model, asof_date))) AS n FROM (
-SELECT 'composite' AS model, asof_date, permno, score FROM ranking UNION ALL SELECT 'investment', asof_date, permno, score FROM invest))) WHERE top <= n OR low <= n"""
+SELECT 'composite' AS model, asof_date, permno, score FROM ranking UNION ALL SELECT 'investment', asof_date, permno, score FROM invest
+UNION ALL SELECT 'ridge', date, permno, pred_12m FROM ridge_ratios UNION ALL SELECT 'ridge_scores', date, permno, pred_12m FROM ridge_scores))) WHERE top <= n OR low <= n"""
 CTES["cohorts"] = """SELECT c.model, c.asof_date, coalesce(max(l.asof_date), make_date(year(c.asof_date) + 1, month(c.asof_date), least(day(c.asof_date), 28))) AS end_date, any_value(n_long) AS n_long, any_value(n_short) AS n_short FROM (
 SELECT model, asof_date, count(*) FILTER (signal = 1) AS n_long, count(*) FILTER (signal = -1) AS n_short FROM selection GROUP BY 1, 2) c
 LEFT JOIN (SELECT DISTINCT model, asof_date FROM selection) l ON l.model = c.model AND year(l.asof_date) = year(c.asof_date) + 1 AND month(l.asof_date) = month(c.asof_date) GROUP BY 1, 2"""
@@ -135,11 +185,36 @@ CTES["live"] = """SELECT model, rebal, asof_date, coalesce(n_long / nullif(sum(n
 SELECT c.model, r.rebal, c.asof_date, CAST(c.n_long AS DOUBLE) AS n_long, CAST(c.n_short AS DOUBLE) AS n_short FROM (SELECT DISTINCT model, asof_date AS rebal FROM selection) r JOIN cohorts c ON c.model = r.model AND c.asof_date < r.rebal AND r.rebal < c.end_date) WINDOW w AS (PARTITION BY model, rebal)"""
 CTES["daily"] = """SELECT model, DATE, long_ret, short_ret, long_ret - short_ret AS ls_ret FROM (SELECT s.model, s.DATE, sum(s.long_ret * coalesce(l.w_long, 0)) AS long_ret, sum(s.short_ret * coalesce(l.w_short, 0)) AS short_ret FROM (
 SELECT *, (SELECT max(asof_date) FROM selection x WHERE x.asof_date <= sleeves.DATE) AS rebal FROM sleeves) s LEFT JOIN live l ON l.model = s.model AND l.rebal = s.rebal AND l.asof_date = s.asof_date WHERE s.rebal IS NOT NULL GROUP BY 1, 2)"""
-CTES["series"] = "SELECT model, 'LS' AS series, DATE, ls_ret AS r FROM daily UNION ALL SELECT model, 'LONG', DATE, long_ret FROM daily UNION ALL SELECT model, 'SHORT', DATE, short_ret FROM daily"
+CTES["series"] = "SELECT model, 'LS' AS series, DATE, ls_ret AS r FROM daily UNION ALL SELECT model, 'LONG', DATE, long_ret FROM daily UNION ALL SELECT model, 'SHORT', DATE, -short_ret FROM daily"
 CTES["aligned"] = "SELECT s.*, f.Mkt_RF, f.SMB, f.HML, f.RMW, f.CMA, f.Mom FROM series s JOIN factors_d f ON f.DATE = s.DATE WHERE s.r IS NOT NULL"
+CTES["report_rows"] = """SELECT model, series, DATE, r, Mkt_RF AS m FROM aligned
+UNION ALL SELECT d.model, 'Mkt', d.DATE, f.Mkt_RF, f.Mkt_RF FROM (SELECT DISTINCT model, DATE FROM daily) d JOIN factors_d f ON f.DATE = d.DATE"""
+CTES["report_wealth"] = "SELECT *, product(1 + r) OVER (PARTITION BY model, series ORDER BY DATE) AS v FROM report_rows"
+CTES["report_fall"] = """SELECT model, series, min(dd) AS max_drawdown, min(DATE) AS first, arg_min(DATE, (dd, DATE)) AS trough, arg_min(peak, (dd, DATE)) AS peak
+FROM (SELECT *, v / peak - 1 AS dd FROM (SELECT *, max(v) OVER (PARTITION BY model, series ORDER BY DATE) AS peak FROM report_wealth)) GROUP BY 1, 2"""
 CTES["wealth"] = "SELECT *, product(1 + r) OVER (PARTITION BY model, series ORDER BY DATE) AS v FROM series"
-CTES["impute"] = "SELECT w.dt, w.date, r.permno FROM ratios r JOIN windows w ON w.date = r.asof_date"
-CTES["windows"] = "SELECT a.date AS dt, b.date FROM (SELECT DISTINCT date FROM features) a, (SELECT DISTINCT date FROM features) b WHERE a.date - (SELECT min(date) FROM features) >= 365 + 365 AND b.date >= a.date - 365 AND b.date < a.date"
+_FACTORS = ("1.0::DOUBLE", "Mkt_RF", "SMB", "HML", "RMW", "CMA", "Mom")
+CTES["ols_x"] = f"SELECT model, series, DATE, r, unnest([{', '.join(_FACTORS)}]) AS x, generate_subscripts([{', '.join(_FACTORS)}], 1) - 1 AS i FROM aligned"
+CTES["ols_system"] = """SELECT a.model, a.series, a.i, b.i AS j, sum(a.x * b.x) AS v FROM ols_x a JOIN ols_x b ON b.model = a.model AND b.series = a.series AND b.DATE = a.DATE GROUP BY 1, 2, 3, 4
+UNION ALL SELECT model, series, i, 7, sum(x * r) FROM ols_x GROUP BY 1, 2, 3
+UNION ALL SELECT model, series, a.i, b.i + 8, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM (SELECT DISTINCT model, series, i FROM ols_x) a, range(7) b(i)"""
+solved("ols_solved", "ols_system", "model, series", 7)
+CTES["ols_sample"] = "SELECT model, series, count(*) AS N, min(DATE) AS sample_start, max(DATE) AS sample_end, sum(r) AS sr, sum(r * r) AS yy FROM aligned GROUP BY 1, 2"
+CTES["ols_fit"] = """SELECT s.model, s.series, any_value(s.N) AS N, any_value(s.yy) - sum(b.v * y.v) AS rss, any_value(s.yy) - any_value(s.sr) ^ 2 / any_value(s.N) AS tss
+FROM ols_sample s JOIN ols_solved b ON b.model = s.model AND b.series = s.series AND b.k = 7 AND b.j = 7 JOIN ols_system y ON y.model = s.model AND y.series = s.series AND y.i = b.i AND y.j = 7 GROUP BY 1, 2"""
+CTES["ols_t"] = """SELECT b.model, b.series, b.i, b.v AS beta, b.v / sqrt(f.rss / (f.N - 7) * d.v) AS t FROM ols_solved b JOIN ols_solved d ON d.model = b.model AND d.series = b.series AND d.i = b.i AND d.k = 7 AND d.j = b.i + 8
+JOIN ols_fit f ON f.model = b.model AND f.series = b.series WHERE b.k = 7 AND b.j = 7"""
+
+
+def rolling_system(window: int) -> str:
+    """The normal equations of each day's last `window` rows, in long form."""
+    sums = [f"sum({a} * {b}) OVER w" for a in _FACTORS for b in (*_FACTORS, "r")]
+    return f"""SELECT model, series, DATE, (k - 1) // 8 AS i, (k - 1) % 8 AS j, v FROM (SELECT model, series, DATE, unnest(sums) AS v, generate_subscripts(sums, 1) AS k FROM (
+SELECT model, series, DATE, count(*) OVER w AS n, [{', '.join(sums)}] AS sums FROM aligned WINDOW w AS (PARTITION BY model, series ORDER BY DATE ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)) WHERE n = {window})"""
+
+
+CTES["rolling_system"] = rolling_system(1260)
+solved("rolling_solved", "rolling_system", "model, series, DATE", 7)
 
 _ORDER = list(CTES)
 
@@ -170,4 +245,4 @@ def query(body: str) -> str:
     for n in _ORDER:
         if n in need:
             place(n)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in done) + "\n" + body if done else body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in done) + "\n" + body if done else body

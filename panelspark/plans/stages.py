@@ -8,13 +8,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,11 +27,25 @@ def _there(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table `name` made from the folder `source`: written by the first caller of this application, then read."""
-    key = (spark.sparkContext.applicationId, source, name)
+def state_of(spark: SparkSession, table: str) -> tuple:
+    """Names, sizes and times of a table's files: another state makes its stages anew."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+    """The table `name` made from the table `source`: written by the first caller of this application, then read.
+
+    The tables of one application stay until the shared folder is cleared, as later queries of it may read them.
+    """
+    key = (spark.sparkContext.applicationId, source, name, state_of(spark, source))
     if key not in _WRITTEN or not _there(spark, _WRITTEN[key]):
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
+        (write or (lambda df, to: df.write.parquet(to)))(build(), path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])

@@ -33,11 +33,14 @@ def with_year(df: DataFrame, date: str, out: str = "year") -> DataFrame:
     return df.withColumn(date, parse_any_date(date)).where(F.col(date).isNotNull()).withColumn(out, F.year(date))
 
 
-def ingest(df: DataFrame, date: str, path: str, mode: str = "overwrite", rows_per_file: int = 900_000) -> None:
-    """Write a raw table as Parquet by year, one shuffle by year and a hash within it, so that no year is one task."""
+def ingest(df: DataFrame, date: str, path: str, mode: str = "overwrite", rows_per_file: int = 900_000, rows_per_group: int = 220_000) -> None:
+    """Write a raw table as Parquet by year, one shuffle by year and a hash within it, so that no year is one task.
+
+    Rows without a date go, repeated rows stay, an empty table writes no partition.
+    """
     rows = with_year(df, date)
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(64))
-    rows.repartition("year", salt).write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("year").parquet(path)
+    rows.repartition("year", salt).write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("parquet.block.row.count.limit", rows_per_group).partitionBy("year").parquet(path)
 
 
 def scan_years(spark: SparkSession, path: str, first: int, last: int, columns: Sequence[str] | None = None) -> DataFrame:
@@ -46,6 +49,14 @@ def scan_years(spark: SparkSession, path: str, first: int, last: int, columns: S
     return df.select(*columns) if columns else df
 
 
+def snapshots(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """All snapshots of a panel written by year, or those of some years; the years reach the scan as partitions."""
+    df = spark.read.parquet(path)
+    if first is not None:
+        df = df.where(F.col("year") >= first)
+    return df if last is None else df.where(F.col("year") <= last)
+
+
 def tagged(df: DataFrame, out: str = "asof_date") -> DataFrame:
     """Rows of files whose name holds a yyyymmdd tag, with the tag as a date."""
     return df.withColumn(out, F.try_to_date(F.regexp_extract(F.input_file_name(), r"(\d{8})[^/]*$", 1), "yyyyMMdd"))
@@ -91,6 +102,11 @@ def write_new(df: DataFrame, path: str, key: str = "asof_date") -> None:
     write_panel(df, path, key, "append")
 
 
+def write_series(series: DataFrame, path: str) -> None:
+    """Daily series (model, series, DATE, r) as one table by model and leg."""
+    series.withColumnRenamed("series", "leg").repartition("model", "leg").sortWithinPartitions("DATE").write.mode("overwrite").partitionBy("model", "leg").parquet(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A small report as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

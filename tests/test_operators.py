@@ -203,3 +203,130 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     level = spark.createDataFrame([("2020-01-01", 1.0), ("2020-01-02", 2.0)], "DATE string, level double")
     assert rows(S.return_series(level), "DATE") == [(D(2020, 1, 2), 1.0)]
+
+
+def test_asof_ties_and_empty_tables(spark):
+    left = spark.createDataFrame([(1, D(2020, 1, 5)), (1, D(2020, 1, 5))], "k int, d date")
+    right = spark.createDataFrame([(1, D(2020, 1, 5), 2.0), (1, D(2020, 1, 5), 9.0), (1, D(2020, 1, 5), 5.0), (1, D(2020, 1, 9), 1.0), (1, D(2020, 1, 9), 3.0)], "k int, t date, v double").repartition(5)
+    assert [r.v for r in asof_by_key(left, right, ["k"], "d", "t", ["v"]).collect()] == [9.0, 9.0]
+    assert [r.v for r in asof_by_key(left, right, ["k"], "d", "t", ["v"], exact=False, forward=True).collect()] == [3.0, 3.0]
+    assert [r.v for r in asof_by_key(left, right.limit(0), ["k"], "d", "t", ["v"]).collect()] == [None, None]
+    assert asof_by_key(left.limit(0), right, ["k"], "d", "t", ["v"]).count() == 0
+    assert [r.out for r in asof_calendar(left, "d", right.limit(0), "t", "out").collect()] == [None, None]
+
+
+def test_operators_of_empty_tables(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    panel = none("model string, asof_date date, permno bigint, score double")
+    picks, returns = portfolio.decile_selection(panel), none("PERMNO bigint, DATE date, RET double, DLRET double")
+    daily = portfolio.daily_long_short(picks, returns)
+    market = none("DATE date, mkt double")
+    for df in (picks, portfolio.cohorts(picks), portfolio.cohort_nav(picks, returns), portfolio.live_weights(picks), daily, performance.performance_report(daily, market), performance.hit_rates(picks, returns), performance.max_drawdown(performance.legs(daily))):
+        assert df.count() == 0
+    features = none("date date, permno bigint, a double")
+    found = labels.forward_labels(features, returns)
+    assert found.count() == learning.ridge_ranking(features, found, ["a"]).count() == 0
+    rated = none("asof_date date, gvkey string, permno bigint, score double")
+    assert scores.investment_ranking(rated).count() == scores.score_features(rated).count() == 0
+
+
+def test_repeated_rows_of_a_ranking_are_one_name(spark):
+    """A name that a ranking repeats counts once, with its best score; repeated daily rows of a name compound as they stand."""
+    data = [("m", D(2020, 1, 1), p, float(p)) for p in range(10)] + [("m", D(2020, 1, 1), 0, 99.0)]
+    got = {(r.permno, r.signal) for r in portfolio.decile_selection(spark.createDataFrame(data, "model string, asof_date date, permno bigint, score double")).collect()}
+    assert got == {(0, 1), (1, -1)}
+
+
+def test_performance_report_has_the_market_on_the_same_days(spark):
+    daily = spark.createDataFrame([("m", D(2020, 1, d), x, 0.0, x) for d, x in ((1, 0.1), (2, -0.2), (3, 0.3), (4, 0.1))], "model string, DATE date, long_ret double, short_ret double, ls_ret double")
+    market = spark.createDataFrame([(D(2020, 1, d), x) for d, x in ((1, 0.01), (2, 0.02), (3, None), (4, -0.05), (9, 0.5))], "DATE date, mkt double")
+    got = {r.series: r for r in performance.performance_report(daily, market).collect()}
+    assert set(got) == {"LS", "LONG", "SHORT", "Mkt"} and {r.n_days for r in got.values()} == {3} and {r.end_date for r in got.values()} == {D(2020, 1, 4)}
+    assert got["Mkt"].info_ratio is None and got["LS"].info_ratio is not None
+    assert (got["Mkt"].dd_start, got["Mkt"].dd_end, round(got["Mkt"].max_drawdown, 9)) == (D(2020, 1, 2), D(2020, 1, 4), -0.05)
+
+
+def test_short_leg_is_its_profit(spark):
+    daily = spark.createDataFrame([("m", D(2020, 1, 1), 0.3, 0.1, 0.2)], "model string, DATE date, long_ret double, short_ret double, ls_ret double")
+    assert {r.series: r.r for r in performance.legs(daily).collect()} == {"LS": 0.2, "LONG": 0.3, "SHORT": -0.1}
+
+
+@pytest.mark.parametrize("n", [11, 12])
+def test_a_fit_needs_twelve_anchors(spark, n):
+    dates = [D(2010, 1, 1).fromordinal(D(2010, 1, 1).toordinal() + 150 * k) for k in range(n)]
+    features = spark.createDataFrame([(d, 1) for d in dates] + [(None, 1)], "date date, permno bigint")
+    got = {r.dt for r in learning.anchor_windows(features, 1.0).collect()}
+    assert got == (set() if n < 12 else {d for d in dates if (d - dates[0]).days >= 365 + 365})
+
+
+def test_tree_ranking_has_every_anchor(spark, tmp_path):
+    g = np.random.default_rng(2)
+    dates = [D(2010, 1, 1).fromordinal(D(2010, 1, 1).toordinal() + 91 * k) for k in range(13)]
+    data = [(d, p, float(p), None if p % 7 == 0 else float(g.normal())) for d in dates for p in range(40)]
+    features = spark.createDataFrame(data, "date date, permno bigint, a double, b double")
+    returns = spark.createDataFrame([(p, d.fromordinal(d.toordinal() + k), 0.001 * p) for d in dates for p in range(40) for k in (0, 45)], "PERMNO bigint, DATE date, RET double")
+    y = labels.forward_labels(features, returns)
+    got = learning.tree_ranking(features, y, ["a", "b"], str(tmp_path), 1.0, rounds=3, depth=2, least_leaf=5).collect()
+    legal = {r.dt for r in learning.anchor_windows(features, 1.0).collect()}
+    assert {r.date for r in got} == legal and len(got) == 40 * len(legal) > 0
+    best = [r.permno for r in got if r.rank <= 5]
+    assert np.mean(best) > 25
+    assert learning.tree_ranking(features.limit(0), y, ["a", "b"], str(tmp_path / "none"), 1.0).count() == 0
+
+
+def test_rolling_window_of_any_length(spark):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(1300, 6))
+    y = g.normal(size=1300)
+    day = D(2015, 1, 1).toordinal()
+    df = spark.createDataFrame([("m", "LS", D.fromordinal(day + i), *map(float, [y[i], *x[i]])) for i in range(1300)], "model string, series string, DATE date, r double, " + ", ".join(f"{f} double" for f in attribution.FACTORS))
+    a = np.column_stack([np.ones(1300), x])
+    got = attribution.rolling_alpha(df).orderBy("DATE").collect()
+    assert len(got) == 41 and got[7].alpha == pytest.approx(252 * np.linalg.lstsq(a[7:1267], y[7:1267], rcond=None)[0][0])
+    assert attribution.rolling_alpha(df.limit(1259)).count() == 0
+
+
+def test_fundamentals_ingest_and_file_sizes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    raw = spark.createDataFrame([(str(k % 9), f"20{k % 2:02d}-03-31" if k % 3 else f"20{k % 2:02d}0331", float(k)) for k in range(9000)], "GVKEY string, DATADATE string, SALEQ double")
+    S.ingest(raw, "DATADATE", str(tmp_path / "f"), rows_per_file=160, rows_per_group=50)
+    files = list((tmp_path / "f").glob("year=*/*.parquet"))
+    sizes = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in sizes) == 9000 and max(m.num_rows for m in sizes) <= 160
+    assert max(m.row_group(i).num_rows for m in sizes for i in range(m.num_row_groups)) <= 50
+    S.ingest(raw.limit(0), "DATADATE", str(tmp_path / "none"))
+
+
+def test_snapshots_by_year_and_by_tag(spark, tmp_path):
+    panel = spark.createDataFrame([(D(y, 3, 1), y) for y in range(2018, 2023)], "asof_date date, v int")
+    S.write_panel(panel, str(tmp_path / "p"))
+    both = lambda *years: sorted(r.v for r in S.snapshots(spark, str(tmp_path / "p"), *years).collect())
+    assert both() == [2018, 2019, 2020, 2021, 2022] and both(2020) == [2020, 2021, 2022] and both(2019, 2020) == [2019, 2020] and both(None, 2018) == [2018]
+    (tmp_path / "q").mkdir()
+    for tag in ("20200102", "20190331", "none"):
+        panel.limit(1).toPandas()[["v"]].to_parquet(tmp_path / "q" / f"ratios_{tag}.parquet")
+    assert sorted(str(r.asof_date) for r in S.tagged(spark.read.parquet(str(tmp_path / "q"))).collect()) == ["2019-03-31", "2020-01-02", "None"]
+
+
+def test_series_and_report_sinks(spark, tmp_path):
+    series = spark.createDataFrame([(m, s, D(2020, 1, d), 0.1) for m in "ab" for s in ("LS", "LONG", "SHORT") for d in (2, 1)], "model string, series string, DATE date, r double")
+    S.write_series(series, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.where("model = 'a' and leg = 'LONG'").count() == 2 and back.count() == 12
+    S.write_report(series.groupBy("model").count(), str(tmp_path / "r"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "r")).orderBy("model").collect()] == [("a", "6"), ("b", "6")]
+    assert len(list((tmp_path / "r").glob("*.csv"))) == 1
+    named = spark.createDataFrame([("2020-01-02", "0.5"), ("20200103", "x"), ("bad", "1"), (None, "2")], "DATE string, ret string")
+    assert rows(S.return_series(named, "ret"), "DATE") == [(D(2020, 1, 2), 0.5)]
+
+
+def test_stages_follow_their_tables(spark, tmp_path):
+    from panelspark.plans.stages import stage
+
+    path = str(tmp_path / "t")
+    read = lambda: stage(spark, path, "copy", lambda: spark.read.parquet(path)).count()
+    spark.range(3).write.parquet(path)
+    assert read() == read() == 3
+    spark.range(2).write.mode("append").parquet(path)
+    assert read() == 5
