@@ -225,7 +225,8 @@ def read_ids(shards: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.array(start + offset[at:to]), pa.array(np.diff(edge)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         at = to
 
-    return shards.select("path", "start").repartition("path").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # as many tasks as shards: by their number, since the rows are too small for Spark to see the work behind them
+    return shards.select("path", "start").repartition(max(shards.count(), 1), "path").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def ids_of(spark: SparkSession, shards: DataFrame, keys: DataFrame) -> DataFrame:
@@ -253,7 +254,7 @@ def ids_of(spark: SparkSession, shards: DataFrame, keys: DataFrame) -> DataFrame
                         ids.append(np.frombuffer(data.read_at(n * index.width, offset * index.width), f"<u{index.width}").astype(np.int32).tolist() if n >= 0 else None)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids})
 
-    return asked.mapInPandas(routed, f"doc_id {kind}, shard bigint").repartition("shard").mapInPandas(run, f"doc_id {kind}, ids array<int>")
+    return asked.mapInPandas(routed, f"doc_id {kind}, shard bigint").repartition(len(paths) + 1, "shard").mapInPandas(run, f"doc_id {kind}, ids array<int>")
 
 
 def written_and_read(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
