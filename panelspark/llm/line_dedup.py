@@ -14,8 +14,7 @@ its longest run of lines that stands somewhere before: a maximal repeated run, o
 
 A later copy counts if it has `min_lines` lines, or is one line of `min_chars` characters. All its lines are deleted.
 
-Ranks that more than one of HOT rows hold are at most HOT, and meet their rows by a broadcast; the rest is joined by
-hash, with keys of one HOT-th of the rows at most. Text is put together from the slices between deleted lines.
+Ranks that many rows hold are few, and meet their rows by a broadcast of bounded size (`shared.meet`). Text is put together from the slices between deleted lines.
 
 Defined results: null text stays null and has 0 lines; lines without a visible character are never deleted and do not
 break runs; rows with the same doc_id and text are one document, so repeated rows get the same result; null doc_ids
@@ -28,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import forget, stored
+from .shared import forget, meet, stored
 
-MIN_LINES, MIN_CHARS, HOT = 2, 100, 2000
+MIN_LINES, MIN_CHARS = 2, 100
 BLANK = " \t\r\f\v"
 AT = ("doc_id", "d", "e", "pos")
 
@@ -68,15 +67,7 @@ def _grouped(rows: DataFrame, keys: list[str], most_rows: int | None, in_order:
     """`rows` with rank, n and first of their key where two rows or more have it (else null); ranks tell keys apart, or follow their order too."""
     groups = _few(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*AT)).alias("first")).where("n > 1"), most_rows)
     groups = stored(_few((groups.orderBy(*keys) if in_order else groups).withColumn("rank", F.monotonically_increasing_id()), most_rows), "ranks")
-    most = (groups.agg(F.sum("n")).first()[0] or 0) / HOT
-    hot = groups.where(F.col("n") > most).select(*keys, F.struct("rank", "n", "first").alias("hot"))  # fewer than HOT rows
-    tagged = rows.join(F.broadcast(hot), keys, "left")
-    spread = [F.when(F.col("hot").isNull(), F.col(k)).otherwise(F.xxhash64(*AT)).alias(k) for k in keys]  # hot rows go anywhere
-    kept = [c for c in rows.columns if c not in keys]
-    own = tagged.select(*kept, *[F.col(k).alias(f"_{k}") for k in keys], "hot", *spread)
-    cold = groups.where(F.col("n") <= most).select(*keys, F.struct("rank", "n", "first").alias("cold"))
-    met = own.join(cold, keys, "left").withColumn("g", F.coalesce("hot", F.when(F.col("hot").isNull(), F.col("cold"))))
-    return _few(met.select(*kept, *[F.col(f"_{k}").alias(k) for k in keys], "g.rank", "g.n", "g.first"), most_rows)
+    return _few(meet(rows, groups, keys, list(AT)), most_rows)
 
 
 def _level(pairs: DataFrame, most_rows: int | None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, blocks, document_of, mixed, span_hashes, spans
-from .shared import forget, stored
+from .shared import HOT, forget, meet, stored
 
 WIDTH, BINS, ROWS, SKETCH = 5, 128, 4, 512
 _ODD = mixed(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | np.uint64(1)
@@ -204,20 +204,21 @@ def _joined_up(docs: DataFrame, threshold: int, rows: int) -> tuple[DataFrame, D
     described = stored(docs.mapInArrow(_described(kind, rows), f"doc_id {id_sql}, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>{more}"), "described")
     nodes = stored(described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = meet(members, sizes, ["bucket"], ["node"]).where("n is not null")
     central = shared.groupBy("node").agg(F.sum("n").alias("central"))
     crowd = stored(shared.join(central, "node"), "buckets")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * threshold
     first = F.struct("central", "node")
-    hubs = crowd.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), first).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
+    hubs = stored(crowd.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), first).alias("h"), F.count("*").alias("n")).select("bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "n"), "hubs")
     sets = _sets(docs, nodes.join(central.select("node"), "node", "left_semi"))
-    star = crowd.join(hubs, "bucket").where((F.col("node") != F.col("hub")) & fits("size", "hub_size"))
+    star = meet(crowd.drop("n"), hubs, ["bucket"], ["node"]).where((F.col("node") != F.col("hub")) & fits("size", "hub_size"))
     checked = _checked(sets, _pairs(star, "node", "hub").distinct(), threshold)
     found = _found(checked)
     # Buckets of three and more that still hold several components: a second hub from those that the first did not link.
     known, out = _open(crowd, hubs, found)
-    one = out.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "component"), first).alias("h")).select("bucket", F.col("h.node").alias("one"), F.col("h.size").alias("one_size"), F.col("h.component").alias("one_component"))
-    cross = one.join(known, "bucket").where((F.col("component") != F.col("one_component")) & fits("size", "one_size"))
+    one = stored(out.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "component"), first).alias("h"), F.max("n").alias("n")).select("bucket", F.col("h.node").alias("one"), F.col("h.size").alias("one_size"), F.col("h.component").alias("one_component"), "n"), "second")
+    cross = meet(known.drop("n"), one, ["bucket"], ["node"]).where((F.col("one").isNotNull()) & (F.col("component") != F.col("one_component")) & fits("size", "one_size"))
     more = _checked(sets, _fresh(cross, checked), threshold)
     checked = checked.union(more)
     if more.where("linked").limit(1).count():
@@ -245,8 +246,9 @@ def _fresh(cross: DataFrame, checked: DataFrame) -> DataFrame:
 def _open(crowd: DataFrame, hubs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members of buckets of three and more with their components, and those outside their hub's component."""
     known = crowd.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of_hub = hubs.join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left").select("bucket", "hub", F.coalesce("hub_component", "hub").alias("hub_component"))
-    return known, known.join(of_hub, "bucket").where("component <> hub_component").select(*known.columns)
+    of_hub = hubs.where("n > 2").join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+    of_hub = stored(of_hub.select("bucket", F.coalesce("hub_component", "hub").alias("hub_component"), F.col("n").alias("n")), "hubs")
+    return known, meet(known.drop("n"), of_hub, ["bucket"], ["node"]).where("component <> hub_component").select(*known.columns)
 
 
 def _beside(sets: DataFrame, nodes: DataFrame, known: DataFrame, out: DataFrame, hubs: DataFrame, threshold: int) -> DataFrame:
@@ -321,7 +323,15 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _checked(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """a, b, linked: each pair of nodes confirmed on their full sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    pairs = stored(pairs, "pairs")
+    both = _with_sets(_with_sets(pairs, pairs, sets, "a"), pairs, sets, "b").select("a", "b", "sa", "sb")
     return stored(both.mapInArrow(_linked(threshold), "a bigint, b bigint, linked boolean"), "checked")
+
+
+def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """`rows` with the sets of their `side`. A node in more than one HOT-th of the pairs has its rows dealt to parts of that size, each with a copy of the set."""
+    most = max(pairs.count() // HOT, 1000)
+    hot = stored(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col(side).alias("node"), F.ceil(F.col("n") / most).cast("int").alias("parts")).coalesce(1), "hot")  # fewer than HOT rows
+    dealt = rows.join(F.broadcast(hot.withColumnRenamed("node", side)), side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = sets.join(F.broadcast(hot), "node", "left").select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(copies, [side, "part"]).drop("part")

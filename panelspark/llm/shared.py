@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Keys that hold more than this share of all rows are handled apart; there are fewer than this many.
+HOT = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +35,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], apart: list[str]) -> DataFrame:
+    """`rows` with the columns of `groups` (a stored row a key, with n, how many rows have it), or nulls where there is none.
+
+    Keys (whole numbers) that more than one HOT-th of all n have are fewer than HOT, and meet their rows by a broadcast;
+    the other rows meet theirs by hash, so that no task gets more than a HOT-th of the rows for one key's sake. `apart`
+    names columns that tell the rows of a key apart.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    most = (groups.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = groups.where(F.col("n") > most).select(*keys, F.struct(*values).alias("_hot"))  # fewer than HOT rows
+    cold = groups.where(F.col("n") <= most).select(*keys, F.struct(*values).alias("_cold"))
+    tagged = rows.join(F.broadcast(hot), keys, "left")
+    spread = [F.when(F.col("_hot").isNull(), F.col(k)).otherwise(F.xxhash64(*apart)).alias(k) for k in keys]  # hot rows go anywhere
+    own = [c for c in rows.columns if c not in keys]
+    met = tagged.select(*own, *[F.col(k).alias(f"_{k}") for k in keys], "_hot", *spread).join(cold, keys, "left")
+    found = F.coalesce("_hot", F.when(F.col("_hot").isNull(), F.col("_cold")))
+    return met.select(*own, *[F.col(f"_{k}").alias(k) for k in keys], found.alias("_found")).select(*own, *keys, *[f"_found.{c}" for c in values])
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that `stored` wrote and that no later step reads."""
     spark = df.sparkSession
