@@ -2,8 +2,8 @@
 
 The model protobuf is parsed here, and normaliser, metaspace marker, scores (or merges, for a BPE model) and byte
 fallback are rebuilt for the tokenizers library. Texts are cut where no piece can cross, before a run of blanks and
-around line ends; the distinct parts of a block are encoded in one batch of the tokenizers library, on a task's cores,
-and decoded again. Its ids are the result; the sentencepiece library encodes each part too, and where it gives others,
+around line ends; the distinct parts of a block are encoded in one batch of the tokenizers library, by as many threads as
+a task has cores and two at least, and decoded again. Its ids are the result; the sentencepiece library encodes each part too, and where it gives others,
 the part counts as differing.
 
 Defined results: null text is empty and has no tokens; repeated rows are encoded alike; control strings in texts are
@@ -184,7 +184,7 @@ def piece_digests(docs: DataFrame, model: str, threads: int | None = None) -> Da
 
 def _encoded(docs: DataFrame, model: str, threads: int | None, digest: bool) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
-    threads = threads or int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
+    threads = threads or max(2, int(docs.sparkSession.conf.get("spark.task.cpus", "1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in blocks(batches, most=BLOCK):
@@ -199,8 +199,13 @@ def _encoded(docs: DataFrame, model: str, threads: int | None, digest: bool) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {'n_bytes bigint, n_tokens bigint, ids_crc32 bigint' if digest else 'ids array<int>'}, n_differing bigint, round_trip boolean")
 
 
+@cache
+def _decoder(path: str):
+    return backend(parsed(Path(path).read_bytes()))
+
+
 def decoded(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """The rows with column `ids` decoded into a column text."""
+    """The rows with column `ids` decoded into a column text; null lists give an empty text."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import StringType
 
@@ -208,7 +213,6 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def text(lists):
         import pandas as pd
 
-        own = backend(parsed(Path(model).read_bytes()))
-        return pd.Series(own.decode_batch([[] if x is None else list(map(int, x)) for x in lists], skip_special_tokens=False))
+        return pd.Series(_decoder(model).decode_batch([[] if x is None else list(map(int, x)) for x in lists], skip_special_tokens=False))
 
     return rows.withColumn("text", text(F.col(ids)))
