@@ -1,4 +1,7 @@
-"""Factor regressions from moment sums, whole-sample and rolling (RG1-RG5, W13)."""
+"""Factor regressions from moment sums, whole-sample and rolling (RG1-RG5, W13).
+
+Days that lack a return or a factor are left out; rows that repeat a date each count; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Forward-return labels through as-of joins (L1-L3)."""
+"""Forward-return labels through as-of joins (L1-L3).
+
+Repeated feature rows give one label; repeated return rows each compound; a name without a return before its date, or
+before the horizon's end, has no label; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

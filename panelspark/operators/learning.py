@@ -123,7 +123,7 @@ def _ranked(predictions: DataFrame) -> DataFrame:
 
 def tree_ranking(
     features: DataFrame, labels: DataFrame, columns: Sequence[str], path: str, train_years: float = 3.0, half_life: float = 1.5,
-    rounds: int = 300, depth: int = 6, least_leaf: int = 200, fraction: float = 0.7, at_once: int = 4,
+    rounds: int = 300, depth: int = 6, least_leaf: int = 200, fraction: float = 0.7, at_once: int = 8,
 ) -> DataFrame:
     """The same ranking by boosted trees, a distributed fit for each anchor and horizon (ML3-ML8).
 
@@ -150,11 +150,13 @@ def tree_ranking(
     now = spark.read.schema(f"permno bigint, {schema}, dt date").parquet(f"{path}/now")
     fits = train.groupBy("dt", "horizon").agg(F.count_if(~F.col("late")).alias("early"), F.count_if("late").alias("late")).orderBy("dt", "horizon").collect()
     vector = VectorAssembler(inputCols=every, outputCol="x")
+    if not spark.sparkContext.getCheckpointDir():  # boosting cuts its lineage there every ten rounds
+        spark.sparkContext.setCheckpointDir(f"{path}/checkpoint")
 
     def one(fit) -> None:
         part = vector.transform(train.where((F.col("dt") == F.lit(fit["dt"])) & (F.col("horizon") == fit["horizon"]))).select("x", "y", "w", "late")
         stop = {"validationIndicatorCol": "late", "validationTol": 0.0} if fit["early"] and fit["late"] else {}
-        model = GBTRegressor(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, stepSize=0.05, maxDepth=depth, minInstancesPerNode=least_leaf, subsamplingRate=fraction, featureSubsetStrategy=str(fraction), checkpointInterval=-1, seed=42, **stop).fit(part)
+        model = GBTRegressor(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, stepSize=0.05, maxDepth=depth, minInstancesPerNode=least_leaf, subsamplingRate=fraction, featureSubsetStrategy=str(fraction), checkpointInterval=10, seed=42, **stop).fit(part)
         scored = model.transform(vector.transform(now.where(F.col("dt") == F.lit(fit["dt"]))))
         scored.select("permno", F.col("prediction").alias("pred")).write.parquet(f"{path}/pred/date={fit['dt']}/horizon={fit['horizon']}")
 

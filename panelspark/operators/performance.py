@@ -1,4 +1,8 @@
-"""Performance statistics, drawdowns, wealth and hit rates (PF8-PF14). Each series is one key; all run in one job."""
+"""Performance statistics, drawdowns, wealth and hit rates (PF8-PF14). Each series is one key; all run in one job.
+
+Null returns are left out; rows that repeat a date each count; statistics of fewer than two days, or of no spread, are
+null; an empty table gives no rows. A series is some 250 rows a year, and so one task's window.
+"""
 
 from __future__ import annotations
 

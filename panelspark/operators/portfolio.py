@@ -1,4 +1,8 @@
-"""Decile selection, cohorts and the overlapping-cohort daily series (PF1-PF7)."""
+"""Decile selection, cohorts and the overlapping-cohort daily series (PF1-PF7).
+
+A name that a ranking repeats on a date counts once, with its best score; names or scores that are null are left out;
+tied scores go by the lower number. Daily rows that repeat a name and date each compound. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 

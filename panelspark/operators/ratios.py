@@ -1,4 +1,9 @@
-"""Point-in-time fundamentals and the ratios built on them."""
+"""Point-in-time fundamentals and the ratios built on them.
+
+Of rows of one firm, as-of date and period the order within the period is open, as nothing in the data tells them apart;
+the latest period counts. Nulls spread through sums and ratios but where a cascade names a substitute. Empty tables give
+no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Cross-sectional statistics: nearest-rank quantiles, medians, robust z-scores."""
+"""Cross-sectional statistics: nearest-rank quantiles, medians, robust z-scores.
+
+A cross-section is the names of one date and feature: some tens of thousands of rows, whatever the history's length, and
+so one task's window. Repeated rows count as often as they stand; an empty table gives no rows; other columns stay.
+"""
 
 from __future__ import annotations
 

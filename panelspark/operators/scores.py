@@ -1,4 +1,8 @@
-"""Composite scores, rankings and score dynamics."""
+"""Composite scores, rankings and score dynamics.
+
+Null scores are not ranked, and ties go by the lower security number; repeated rows of a name each take a rank; empty
+tables give no rows. The anchors of a history, a few hundred, are numbered in one task.
+"""
 
 from __future__ import annotations
 

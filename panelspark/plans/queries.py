@@ -104,11 +104,20 @@ def ingest_year_derivation(spark, d):
 def partition_pruned_scan(spark, d):
     """The daily panel written by year and read again: years reach the scan as partitions, columns and dates too."""
     p = Panels(spark, d)
-    p._stage("returns_by_year", lambda: p.returns_d, lambda df, path: S.ingest(df, "DATE", path))
-    path = p._stage("returns_by_year", lambda: p.returns_d).inputFiles()[0].split("/year=")[0]
+    path = p._stage("returns_by_year", lambda: p.returns_d, lambda df, to: S.ingest(df, "DATE", to)).inputFiles()[0].split("/year=")[0]
     return rounded(S.scan_years(spark, path, 1996, 1997, ["PERMNO", "DATE", "RET"]).where(F.col("DATE") <= F.lit("1997-06-30").cast("date")))
 
 
+@registered(f"SELECT GVKEY, DATADATE, year(DATADATE)::INT AS year, {r('SALEQ', digits=2)} FROM fundamentals_q WHERE year(DATADATE) BETWEEN 1997 AND 1999")
+def fundamentals_ingest(spark, d):
+    """Fundamentals whose dates arrive as text in two forms, written by year, and the snapshots of some years."""
+    f = Panels(spark, d).fundamentals
+    text = F.when(F.col("LPERMNO") % 2 == 0, F.col("DATADATE").cast("string")).otherwise(F.date_format("DATADATE", "yyyyMMdd"))
+    p = Panels(spark, d)
+    path = p._stage("fundamentals_by_year", lambda: f.withColumn("DATADATE", text), lambda df, to: S.ingest(df, "DATADATE", to, rows_per_file=800_000, rows_per_group=200_000)).inputFiles()[0].split("/year=")[0]
+    return rounded(S.snapshots(spark, path, 1997, 1999).select("GVKEY", "DATADATE", "year", "SALEQ"), 2)
+
+
 @registered(f"SELECT DATE, {r('Mkt_RF', 'SMB', 'HML', 'RMW', 'CMA', 'RF', 'Mom', digits=8)} FROM factors_d")
 def factor_table(spark, d):
     """Factors written as lines of text in percent, read again line by line (S8, RG1)."""
@@ -368,6 +377,13 @@ def daily_long_short(spark, d):
     return rounded(portfolio.daily_long_short(p.selection, p.returns_d))
 
 
+@registered(f"SELECT model, series AS leg, DATE, {r('r')} FROM series WHERE r IS NOT NULL")
+def series_sink(spark, d):
+    """The daily series written by model and leg, and read again."""
+    p = Panels(spark, d)
+    return rounded(p._stage("series_by_leg", lambda: p.series, S.write_series).select("model", "leg", "DATE", "r"))
+
+
 _RATIO = lambda x, below: f"CASE WHEN stddev_samp({below}) > 0 THEN avg({x}) / stddev_samp({below}) * sqrt(252.0::DOUBLE) END"
 
 
