@@ -212,6 +212,8 @@ def test_asof_ties_and_empty_tables(spark):
     assert [r.v for r in asof_by_key(left, right, ["k"], "d", "t", ["v"], exact=False, forward=True).collect()] == [3.0, 3.0]
     assert [r.v for r in asof_by_key(left, right.limit(0), ["k"], "d", "t", ["v"]).collect()] == [None, None]
     assert asof_by_key(left.limit(0), right, ["k"], "d", "t", ["v"]).count() == 0
+    timeless = spark.createDataFrame([(1, None), (None, D(2020, 1, 7))], left.schema)
+    assert [r.v for r in asof_by_key(timeless, right, ["k"], "d", "t", ["v"], forward=True).collect()] == [None, None]
     assert [r.out for r in asof_calendar(left, "d", right.limit(0), "t", "out").collect()] == [None, None]
 
 
