@@ -442,7 +442,11 @@ _OLS = ["alpha", "t_alpha", *[f"{p}_{n}" for n in attribution.NAMES for p in ("b
 _COEFFICIENTS = ", ".join(f"(SELECT {c} FROM ols_t t WHERE t.model = s.model AND t.series = s.series AND t.i = {i}) AS {n}" for i, (b, t) in enumerate(zip(_OLS[::2], _OLS[1::2], strict=True)) for n, c in ((b, "beta"), (t, "t")))
 
 
-@registered(f"""SELECT model, series, sample_start, sample_end, N, {r(*_OLS, digits=6)}, round(1 - rss / tss, 6) + 0.0 AS R2, round(1 - (rss / tss) * (N - 1) / (N - 7), 6) + 0.0 AS Adj_R2, 'ok' AS status
+_ENOUGH = lambda e, name: f"CASE WHEN N >= 30 THEN round({e}, 6) + 0.0 END AS {name}"
+
+
+@registered(f"""SELECT model, series, sample_start, sample_end, N, {', '.join(_ENOUGH(c, c) for c in _OLS)},
+{_ENOUGH('1 - rss / tss', 'R2')}, {_ENOUGH('1 - (rss / tss) * (N - 1) / (N - 7)', 'Adj_R2')}, CASE WHEN N >= 30 THEN 'ok' ELSE 'too few days' END AS status
 FROM (SELECT s.model, s.series, s.sample_start, s.sample_end, s.N, f.rss, f.tss, {_COEFFICIENTS} FROM ols_sample s JOIN ols_fit f ON f.model = s.model AND f.series = s.series)""")
 def ols_factor_report(spark, d):
     return rounded(attribution.ols_report(_factor_rows(Panels(spark, d))), 6)

@@ -202,7 +202,7 @@ solved("ols_solved", "ols_system", "model, series", 7)
 CTES["ols_sample"] = "SELECT model, series, count(*) AS N, min(DATE) AS sample_start, max(DATE) AS sample_end, sum(r) AS sr, sum(r * r) AS yy FROM aligned GROUP BY 1, 2"
 CTES["ols_fit"] = """SELECT s.model, s.series, any_value(s.N) AS N, any_value(s.yy) - sum(b.v * y.v) AS rss, any_value(s.yy) - any_value(s.sr) ^ 2 / any_value(s.N) AS tss
 FROM ols_sample s JOIN ols_solved b ON b.model = s.model AND b.series = s.series AND b.k = 7 AND b.j = 7 JOIN ols_system y ON y.model = s.model AND y.series = s.series AND y.i = b.i AND y.j = 7 GROUP BY 1, 2"""
-CTES["ols_t"] = """SELECT b.model, b.series, b.i, b.v AS beta, b.v / sqrt(f.rss / (f.N - 7) * d.v) AS t FROM ols_solved b JOIN ols_solved d ON d.model = b.model AND d.series = b.series AND d.i = b.i AND d.k = 7 AND d.j = b.i + 8
+CTES["ols_t"] = """SELECT b.model, b.series, b.i, b.v AS beta, b.v / sqrt(greatest(f.rss / (f.N - 7) * d.v, 0)) AS t FROM ols_solved b JOIN ols_solved d ON d.model = b.model AND d.series = b.series AND d.i = b.i AND d.k = 7 AND d.j = b.i + 8
 JOIN ols_fit f ON f.model = b.model AND f.series = b.series WHERE b.k = 7 AND b.j = 7"""
 
 
