@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, id_files, line_dedup, main_text, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, token_counts
+from . import audio, id_files, line_dedup, main_text, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_counts
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +58,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_telephony_audio, op2_token_counts, op3_line_dedup, op4_quality_rules, op5_sentence_pieces, op6_token_id_files, op7_main_text, op8_quality_classifier, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_telephony_audio, op2_token_counts, op3_line_dedup, op4_quality_rules, op5_sentence_pieces, op6_token_id_files, op7_main_text, op8_quality_classifier, op9_best_fit_packing, op10_minhash_near_dedup, op11_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.oracle()}
+    return {"op3_line_dedup": line_dedup.oracle(), "op11_suffix_dedup": suffix_dedup.oracle()}
