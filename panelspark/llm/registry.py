@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, id_files, line_dedup, main_text, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_counts
+from . import audio, filter_audit, id_files, line_dedup, main_text, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_counts, whitening
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +62,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_telephony_audio, op2_token_counts, op3_line_dedup, op4_quality_rules, op5_sentence_pieces, op6_token_id_files, op7_main_text, op8_quality_classifier, op9_best_fit_packing, op10_minhash_near_dedup, op11_suffix_dedup)}
+    return {f.__name__: f for f in (op1_telephony_audio, op2_token_counts, op3_line_dedup, op4_quality_rules, op5_sentence_pieces, op6_token_id_files, op7_main_text, op8_quality_classifier, op9_best_fit_packing, op10_minhash_near_dedup, op11_suffix_dedup, op12_filter_audit, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.oracle(), "op11_suffix_dedup": suffix_dedup.oracle()}
+    return {"op3_line_dedup": line_dedup.oracle(), "op11_suffix_dedup": suffix_dedup.oracle(), "op12_filter_audit": filter_audit.oracle()}
