@@ -2,7 +2,7 @@
 
 Walk-forward training windows are key columns: a row of the feature panel joins every anchor whose window holds it, so
 one job fits all anchors and horizons. Rows shrink to moment sums before any Python sees them; a Python task solves a
-k x k system for each (anchor, horizon). Boosted trees have no such sums: each fit is itself a distributed job.
+k x k system for each (anchor, horizon). Boosted trees shrink to histograms: see `boosting`.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import decay_weight, finite
+from .boosting import MODEL, Settings, best_trees, fitted, predicted
 from .labels import blended
 
 #: The two feature sets.
@@ -121,47 +122,45 @@ def _ranked(predictions: DataFrame) -> DataFrame:
     return ranked(predictions, ["date"], "pred_12m").select("date", "permno", "pred_12m", "rank")
 
 
-def tree_ranking(
-    features: DataFrame, labels: DataFrame, columns: Sequence[str], path: str, train_years: float = 3.0, half_life: float = 1.5,
-    rounds: int = 300, depth: int = 6, least_leaf: int = 200, fraction: float = 0.7, at_once: int = 8,
-) -> DataFrame:
-    """The same ranking by boosted trees, a distributed fit for each anchor and horizon (ML3-ML8).
+def tree_rows(features: DataFrame, labels: DataFrame, columns: Sequence[str], train_years: float = 3.0, half_life: float = 1.5) -> DataFrame:
+    """dt, horizon, key, features (nulls stay), y, w, late: the training rows of all fits; the last 180 days are the late fold (ML4)."""
+    train = _matured(window_rows(features, columns, train_years), labels)
+    return train.select("dt", "horizon", F.xxhash64("date", "permno").alias("key"), *columns, "y", decay_weight("date", "dt", half_life).alias("w"), (F.datediff("dt", "date") <= 180).alias("late"))
 
-    Training rows and predictions are tables under `path`, by anchor and horizon, so that each fit reads its partition alone;
-    `at_once` fits are under way at a time. The last 180 days of a window stop the boosting early. Anchors are refitted,
-    not warm-started: no numeric parity with another booster is claimed. The driver holds the list of fits (three a
-    date) and no rows. A panel without a legal anchor gives no rows.
-    """
-    from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def tree_models(features: DataFrame, labels: DataFrame, columns: Sequence[str], path: str, train_years: float = 3.0, half_life: float = 1.5, settings: Settings | None = None, warm: bool = False) -> DataFrame:
+    """The model table of boosted trees for every anchor and horizon (ML3-ML5, ML7), under `path`.
 
+    All anchors are fitted in one plan. With `warm`, each starts from the trees of the anchor before up to their best round, so
+    that anchors follow each other (a step a date, the horizons together) and models grow.
+    """
+    settings = settings or Settings()
     spark = features.sparkSession
-    rows = window_rows(features, columns, train_years)
-    medians = impute_values(rows, columns)
-    every = [*columns, *[f"miss_{c}" for c in columns]]
-    weighted = imputed(_matured(rows, labels), medians, columns).select("dt", "horizon", *every, "y", decay_weight("date", "dt", half_life).alias("w"), (F.datediff("dt", "date") <= 180).alias("late"))
-    weighted.repartition("dt", "horizon").write.partitionBy("dt", "horizon").parquet(f"{path}/train")
-    now = imputed(features.select(F.col("date").alias("dt"), "permno", *[finite(F.col(c).cast("double")).alias(c) for c in columns]), medians, columns)
-    now.repartition("dt").write.partitionBy("dt").parquet(f"{path}/now")
-    schema = ", ".join(f"{c} double" for c in every)
-    train = spark.read.schema(f"{schema}, y double, w double, late boolean, dt date, horizon string").parquet(f"{path}/train")
-    now = spark.read.schema(f"permno bigint, {schema}, dt date").parquet(f"{path}/now")
-    fits = train.groupBy("dt", "horizon").agg(F.count_if(~F.col("late")).alias("early"), F.count_if("late").alias("late")).orderBy("dt", "horizon").collect()
-    vector = VectorAssembler(inputCols=every, outputCol="x")
-    if not spark.sparkContext.getCheckpointDir():  # boosting cuts its lineage there every ten rounds
-        spark.sparkContext.setCheckpointDir(f"{path}/checkpoint")
-
-    def one(fit) -> None:
-        part = vector.transform(train.where((F.col("dt") == F.lit(fit["dt"])) & (F.col("horizon") == fit["horizon"]))).select("x", "y", "w", "late")
-        stop = {"validationIndicatorCol": "late", "validationTol": 0.0} if fit["early"] and fit["late"] else {}
-        model = GBTRegressor(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, stepSize=0.05, maxDepth=depth, minInstancesPerNode=least_leaf, subsamplingRate=fraction, featureSubsetStrategy=str(fraction), checkpointInterval=10, seed=42, **stop).fit(part)
-        scored = model.transform(vector.transform(now.where(F.col("dt") == F.lit(fit["dt"]))))
-        scored.select("permno", F.col("prediction").alias("pred")).write.parquet(f"{path}/pred/date={fit['dt']}/horizon={fit['horizon']}")
-
-    with ThreadPoolExecutor(at_once) as pool:
-        list(pool.map(one, fits))
-    if not fits:
-        return spark.createDataFrame([], "date date, permno bigint, pred_12m double, rank int")
-    return _ranked(blended(spark.read.schema("permno bigint, pred double, date date, horizon string").parquet(f"{path}/pred")))
+    tree_rows(features, labels, columns, train_years, half_life).write.parquet(f"{path}/train")
+    train = spark.read.parquet(f"{path}/train")
+    if not warm:
+        return fitted(train, columns, path, settings)
+    before = None
+    for k, (dt,) in enumerate(train.select("dt").distinct().orderBy("dt").collect()):  # some hundreds of dates
+        model = fitted(train.where(F.col("dt") == F.lit(dt)), columns, f"{path}/{k}", settings, before)
+        newest = best_trees(model, settings.patience)
+        kept = newest if before is None else newest.select("horizon", "trees").unionByName(before.join(newest, "horizon", "left_anti").select("horizon", "trees"))
+        kept.select("horizon", "trees").write.parquet(f"{path}/{k}/before")  # a horizon without rows keeps its older model
+        before = spark.read.parquet(f"{path}/{k}/before")
+    return spark.read.schema(MODEL).parquet(f"{path}/*/model") if before is not None else spark.createDataFrame([], MODEL)
+
+
+def tree_ranking(features: DataFrame, labels: DataFrame, columns: Sequence[str], path: str, train_years: float = 3.0, half_life: float = 1.5, settings: Settings | None = None, warm: bool = False) -> DataFrame:
+    """date, permno, pred_12m, rank by boosted trees up to the best round of each fit (ML3-ML8).
+
+    Features go in as they are, nulls included; see `boosting`. A panel without a legal anchor gives no rows.
+    """
+    settings = settings or Settings()
+    return tree_predictions(features, columns, tree_models(features, labels, columns, path, train_years, half_life, settings, warm), settings)
+
+
+def tree_predictions(features: DataFrame, columns: Sequence[str], model: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The ranking that a model table gives: trees up to the best rounds, horizons blended."""
+    now = features.select(F.col("date").alias("dt"), "permno", *[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    scored = predicted(now, columns, best_trees(model, (settings or Settings()).patience))
+    return _ranked(blended(scored.withColumnRenamed("dt", "date")))

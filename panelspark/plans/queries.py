@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.windows import along, change, full_mean, full_sum, period_return, running_log_return, running_product
-from ..operators import asof, attribution, labels, learning, performance, portfolio, ratios, robust, scores
+from ..operators import asof, attribution, boosting, labels, learning, performance, portfolio, ratios, robust, scores
 from ..sources import adapters as A
 from ..sources import tables as S
 from .sql import YEARS, labels as labels_sql, query, robust as robust_sql
@@ -69,8 +69,11 @@ class Panels:
     score_labels = property(lambda self: self._stage("score_labels", lambda: labels.forward_labels(self.score_features, self.returns_d)))
     ridge_ratios = property(lambda self: self._stage("ridge_ratios", lambda: learning.ridge_ranking(self.features, self.labels, learning.RATIO_FEATURES, RATIO_YEARS)))
     ridge_scores = property(lambda self: self._stage("ridge_scores", lambda: learning.ridge_ranking(self.score_features, self.score_labels, learning.SCORE_FEATURES, SCORE_YEARS)))
-    trees_ratios = property(lambda self: self._stage("trees_ratios", lambda: learning.tree_ranking(self.features, self.labels, learning.RATIO_FEATURES, self._folder("trees"), RATIO_YEARS)))
-    trees_scores = property(lambda self: self._stage("trees_scores", lambda: learning.tree_ranking(self.score_features, self.score_labels, learning.SCORE_FEATURES, self._folder("trees"), SCORE_YEARS)))
+    model_ratios = property(lambda self: self._models("model_ratios", self.features, self.labels, learning.RATIO_FEATURES, RATIO_YEARS))
+    model_scores = property(lambda self: self._models("model_scores", self.score_features, self.score_labels, learning.SCORE_FEATURES, SCORE_YEARS))
+    model_warm = property(lambda self: self._models("model_warm", self.features, self.labels, learning.RATIO_FEATURES, RATIO_YEARS, True))
+    trees_ratios = property(lambda self: self._stage("trees_ratios", lambda: learning.tree_predictions(self.features, learning.RATIO_FEATURES, self.model_ratios)))
+    trees_scores = property(lambda self: self._stage("trees_scores", lambda: learning.tree_predictions(self.score_features, learning.SCORE_FEATURES, self.model_scores)))
     selection = property(lambda self: self._stage("selection", self._select))
     tree_selection = property(lambda self: self._stage("tree_selection", lambda: portfolio.decile_selection(self._learnt("trees", self.trees_ratios).union(self._learnt("trees_scores", self.trees_scores)))))
     daily = property(lambda self: self._stage("daily", lambda: portfolio.daily_long_short(self.selection, self.returns_d)))
@@ -80,6 +83,10 @@ class Panels:
     def _folder(self, name: str) -> str:
         return f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
 
+    def _models(self, name: str, features: DataFrame, labels: DataFrame, columns: tuple[str, ...], years: float, warm: bool = False) -> DataFrame:
+        """The model table of all fits."""
+        return self._stage(name, lambda: learning.tree_models(features, labels, columns, self._folder(name), years, warm=warm))
+
     @staticmethod
     def _learnt(model: str, ranking: DataFrame) -> DataFrame:
         return ranking.select(F.lit(model).alias("model"), F.col("date").alias("asof_date"), "permno", F.col("pred_12m").alias("score"))
@@ -336,6 +343,25 @@ def gbt_ranking_scores(spark, d):
     return Panels(spark, d).trees_scores
 
 
+@registered()
+def gbt_fits(spark, d):
+    """Rows, rounds made, best round and its late loss, trees and leaves of every fit of the two tree rankings (ML3, ML4)."""
+    p = Panels(spark, d)
+    leaves = lambda m: F.size(F.filter("tree", lambda n: n["feature"] < 0))
+    out = []
+    for name, model in (("ratios", p.model_ratios), ("scores", p.model_scores)):
+        grown = model.groupBy("dt", "horizon").agg(F.count("*").alias("trees"), F.sum(leaves(model)).cast("bigint").alias("leaves"))
+        out.append(boosting.best_rounds(model).join(grown, ["dt", "horizon"]).select(F.lit(name).alias("features"), "*"))
+    return rounded(out[0].union(out[1]))
+
+
+@registered()
+def gbt_warm_start(spark, d):
+    """The ranking of ratios by trees that go on from those of the anchor before (ML5)."""
+    p = Panels(spark, d)
+    return learning.tree_predictions(p.features, learning.RATIO_FEATURES, p.model_warm)
+
+
 @registered()
 def tree_performance(spark, d):
     """The trees' deciles, cohorts, daily series and report, as for the models that SQL can check (PF2, PF12)."""

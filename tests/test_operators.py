@@ -261,21 +261,6 @@ def test_a_fit_needs_twelve_anchors(spark, n):
     assert got == (set() if n < 12 else {d for d in dates if (d - dates[0]).days >= 365 + 365})
 
 
-def test_tree_ranking_has_every_anchor(spark, tmp_path):
-    g = np.random.default_rng(2)
-    dates = [D(2010, 1, 1).fromordinal(D(2010, 1, 1).toordinal() + 91 * k) for k in range(13)]
-    data = [(d, p, float(p), None if p % 7 == 0 else float(g.normal())) for d in dates for p in range(40)]
-    features = spark.createDataFrame(data, "date date, permno bigint, a double, b double")
-    returns = spark.createDataFrame([(p, d.fromordinal(d.toordinal() + k), 0.001 * p) for d in dates for p in range(40) for k in (0, 45)], "PERMNO bigint, DATE date, RET double")
-    y = labels.forward_labels(features, returns)
-    got = learning.tree_ranking(features, y, ["a", "b"], str(tmp_path), 1.0, rounds=3, depth=2, least_leaf=5).collect()
-    legal = {r.dt for r in learning.anchor_windows(features, 1.0).collect()}
-    assert {r.date for r in got} == legal and len(got) == 40 * len(legal) > 0
-    best = [r.permno for r in got if r.rank <= 5]
-    assert np.mean(best) > 25
-    assert learning.tree_ranking(features.limit(0), y, ["a", "b"], str(tmp_path / "none"), 1.0).count() == 0
-
-
 def test_rolling_window_of_any_length(spark):
     g = np.random.default_rng(4)
     x = g.normal(size=(1300, 6))
@@ -332,41 +317,3 @@ def test_stages_follow_their_tables(spark, tmp_path):
     assert read() == read() == 3
     spark.range(2).write.mode("append").parquet(path)
     assert read() == 5
-
-
-def _boosted_stumps(x, y, w, rounds, rate=0.05):
-    """Least-squares boosting by depth-1 trees, trying every split; the first tree counts whole, residuals are doubled."""
-    pred, trees = np.zeros(len(y)), []
-    for k in range(rounds):
-        target = y if k == 0 else 2 * (y - pred)
-        mean = lambda m, t=target: (w[m] * t[m]).sum() / w[m].sum()
-        best = None
-        for j in range(x.shape[1]):
-            for a, b in zip(sorted(set(x[:, j]))[:-1], sorted(set(x[:, j]))[1:]):
-                left = x[:, j] <= (a + b) / 2
-                gain = w[left].sum() * mean(left) ** 2 + w[~left].sum() * mean(~left) ** 2
-                if best is None or gain > best[0] + 1e-12:
-                    best = (gain, j, (a + b) / 2, mean(left), mean(~left))
-        trees.append((1.0 if k == 0 else rate, *best[1:]))
-        pred = sum(t[0] * np.where(x[:, t[1]] <= t[2], t[3], t[4]) for t in trees)
-    return lambda z: sum(t[0] * np.where(z[:, t[1]] <= t[2], t[3], t[4]) for t in trees)
-
-
-def test_trees_against_boosting_by_hand(spark, tmp_path):
-    g = np.random.default_rng(6)
-    dates = [D(2010, 1, 1).fromordinal(D(2010, 1, 1).toordinal() + 91 * k) for k in range(12)]
-    data = [(d, p, float(p % 10), float((p * 7 + k) % 13)) for k, d in enumerate(dates) for p in range(30)]
-    y = {(d, p): 0.1 * a + 0.02 * b + float(g.normal()) * 0.1 for d, p, a, b in data}
-    features = spark.createDataFrame(data, "date date, permno bigint, a double, b double")
-    passed = spark.createDataFrame([(d, p, "1y", v) for (d, p), v in y.items()], "date date, permno bigint, horizon string, y double")
-    got = {(r.date, r.permno): r.pred_12m for r in learning.tree_ranking(features, passed, ["a", "b"], str(tmp_path), 1.5, rounds=4, depth=1, least_leaf=1, fraction=1.0).collect()}
-    want = {}
-    for dt in {r.dt for r in learning.anchor_windows(features, 1.5).collect()}:
-        train = [(d, p, a, b) for d, p, a, b in data if dt.toordinal() - learning.window_days(1.5) <= d.toordinal() and d.replace(year=d.year + 1) <= dt]
-        if not train:
-            continue
-        age = np.array([dt.toordinal() - d.toordinal() for d, *_ in train])
-        fit = _boosted_stumps(np.array([[a, b] for *_, a, b in train]), np.array([y[d, p] for d, p, *_ in train]), np.exp(-math.log(2) * age / 365.2425 / 1.5), 4)
-        now = [(p, a, b) for d, p, a, b in data if d == dt]
-        want |= {(dt, p): v for (p, *_), v in zip(now, fit(np.array([[a, b] for _, a, b in now])))}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want) and want
