@@ -44,7 +44,7 @@ from .shared import meet, stored, whole_text
 
 WIDTH, TRIGGER, SPARSE, DENSE, REACH = 200, 12, 64, 16, 150
 #: Extended phrases of one end that one task compares, rows of a block, and texts of a list that is broadcast.
-LARGE, BLOCK, LISTED = 20_000, 20_000, 2_000_000
+LARGE, BLOCK, LISTED = 2_000, 20_000, 2_000_000
 _FAR = 1 << 60
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict[int, list[np.ndarray]] = {}
