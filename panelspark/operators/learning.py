@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import decay_weight, finite
@@ -47,9 +48,36 @@ def window_rows(features: DataFrame, columns: Sequence[str], train_years: float
     return clean.join(anchor_windows(features, train_years), "date")
 
 
+def selected_medians(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """keys and the exact median `med_c` of each column (null where it has no value), in memory that does not grow with a group.
+
+    A mergeable quantile sketch brackets the middle within 4 / accuracy of the ranks; values below the bracket are counted, those
+    inside it are counted by value, and the two middle ranks are read from running counts of these few. Where a sketch misses
+    its bound the bracket does not hold the rank, and the whole column of that group is counted by value instead.
+    """
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")).select(*keys, "x.i", "x.v").where("v is not null")
+    slack = 4 / accuracy
+    sketch = F.percentile_approx("v", [max(0.0, 0.5 - slack), min(1.0, 0.5 + slack)], accuracy)
+    bracket = long.groupBy(*keys, "i").agg(sketch.alias("b"), F.count("*").alias("n")).select(*keys, "i", "n", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    side = long.join(bracket, [*keys, "i"])
+    counted = side.groupBy(*keys, "i").agg(F.first("n").alias("n"), F.count_if(F.col("v") < F.col("low")).alias("below"), F.count_if(F.col("v") <= F.col("high")).alias("upto"))
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1  # ranks from 1
+    holds = (F.col("below") < first) & (second <= F.col("upto"))
+    checked = counted.select(*keys, "i", "below", holds.alias("holds"))
+    inner = side.join(checked, [*keys, "i"]).where("not holds or (v >= low and v <= high)")
+    values = inner.groupBy(*keys, "i", "v").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first(F.when(F.col("holds"), F.col("below")).otherwise(0)).alias("below"))
+    run = F.col("below") + F.sum("m").over(W.partitionBy(*keys, "i").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = values.withColumn("to", run)
+    at = lambda rank: F.min(F.when(F.col("to") >= rank, F.col("v")))
+    middle = ranked.groupBy(*keys, "i").agg(at(first).alias("a"), at(second).alias("z"))
+    wide = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, (F.col("a") + F.col("z")) / 2)).alias(f"med_{c}") for i, c in enumerate(columns)])
+    return rows.select(*keys).distinct().join(wide, list(keys), "left")
+
+
 def impute_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """dt and each feature's median over the anchor's whole window, 0 where it has none (ML1, A20)."""
-    return rows.groupBy("dt").agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"med_{c}") for c in columns])
+    found = selected_medians(rows, ["dt"], columns)
+    return found.select("dt", *[F.coalesce(f"med_{c}", F.lit(0.0)).alias(f"med_{c}") for c in columns])
 
 
 def imputed(rows: DataFrame, medians: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -40,17 +40,38 @@ def cohorts(selection: DataFrame) -> DataFrame:
 def held_returns(selection: DataFrame, returns: DataFrame) -> DataFrame:
     """Every day of every position strictly inside its cohort, with its running gross return (PF4, F7, J5, W6).
 
-    An equi-join on the security with the dates as a further condition: selections are a fraction of the panel.
+    An equi-join on the security and the years that the cohort touches, with the dates as a further condition: a position does
+    not meet the rest of its name's history. A panel bucketed by security is not shuffled where the positions can be broadcast.
     """
     held = selection.join(cohorts(selection).select(*KEYS, "end_date"), KEYS)
-    daily = returns.select(F.col("PERMNO").alias("permno"), "DATE", total_return("RET", "DLRET").alias("r"))
-    rows = daily.join(held, "permno").where((F.col("DATE") > F.col("asof_date")) & (F.col("DATE") < F.col("end_date")))
+    held = held.withColumn("_year", F.explode(F.when(F.col("end_date") >= F.col("asof_date"), F.sequence(F.year("asof_date"), F.year("end_date")))))
+    daily = returns.select(F.col("PERMNO").alias("permno"), "DATE", total_return("RET", "DLRET").alias("r"), F.year("DATE").alias("_year"))
+    rows = daily.join(held, ["permno", "_year"]).where((F.col("DATE") > F.col("asof_date")) & (F.col("DATE") < F.col("end_date"))).drop("_year")
     return rows.withColumn("gross", running_product(1 + F.col("r"), along([*KEYS, "signal", "permno"], ["DATE"])))
 
 
-def cohort_nav(selection: DataFrame, returns: DataFrame) -> DataFrame:
-    """model, asof_date, end_date, DATE, nav_long, nav_short: mean gross of the names with a row that day."""
-    by = held_returns(selection, returns).groupBy(*KEYS, "end_date", "DATE")
+def carried_forward(held: DataFrame) -> DataFrame:
+    """`held` positions on all days of their cohort from their first on, the last gross return carried on after a name stops (Q18).
+
+    The days of a cohort are those on which one of its names has a row; each position meets them by an equi-join on the cohort.
+    Of a name's rows of one day the last gross return counts (the greatest, where they tie).
+    """
+    cohort = [*KEYS, "end_date"]
+    days = held.select(*cohort, "DATE").distinct()
+    own = held.groupBy(*cohort, "signal", "permno", "DATE").agg(F.max("gross").alias("gross"))
+    spans = own.groupBy(*cohort, "signal", "permno").agg(F.min("DATE").alias("_first"))
+    dense = spans.join(days, cohort).where("DATE >= _first").drop("_first").join(own, [*cohort, "signal", "permno", "DATE"], "left")
+    along_position = along([*cohort, "signal", "permno"], ["DATE"]).rowsBetween(W.unboundedPreceding, 0)
+    return dense.withColumn("gross", F.last("gross", ignorenulls=True).over(along_position))
+
+
+def cohort_nav(selection: DataFrame, returns: DataFrame, carry: bool = False) -> DataFrame:
+    """model, asof_date, end_date, DATE, nav_long, nav_short: mean gross of the names with a row that day.
+
+    With `carry`, names that have stopped count with their last gross return (PF4, Q18).
+    """
+    held = held_returns(selection, returns)
+    by = (carried_forward(held) if carry else held).groupBy(*KEYS, "end_date", "DATE")
     return by.agg(F.avg(F.when(F.col("signal") == 1, F.col("gross"))).alias("nav_long"), F.avg(F.when(F.col("signal") == -1, F.col("gross"))).alias("nav_short"))
 
 

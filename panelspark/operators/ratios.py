@@ -45,14 +45,18 @@ def available(fundamentals: DataFrame, asof: DataFrame, lookback_years: int = 3)
     """Every quarter that each asof_date can see: reported by then, linked then, of its last calendar years.
 
     `asof` holds a few hundred dates; each quarter meets the dates of its own and the next years by an equi-join on the
-    year, and the dates themselves decide.
+    year, and the dates themselves decide. Where the fundamentals are partitioned by `year`, the dates' years reach their
+    scan as a runtime filter, so that files of other years are not opened.
     """
     dates = asof.select("asof_date").where("asof_date is not null").distinct()
-    seen = dates.withColumn("_year", F.explode(F.sequence(F.year("asof_date") - (lookback_years - 1), F.year("asof_date"))))
+    name = "year" if "year" in fundamentals.columns else "_year"
+    seen = dates.withColumn(name, F.explode(F.sequence(F.year("asof_date") - (lookback_years - 1), F.year("asof_date"))))
+    seen = F.broadcast(seen.where(F.col(name) > F.year("asof_date") - lookback_years))  # a row a date and year
+    quarters = fundamentals if name == "year" else fundamentals.withColumn(name, F.year("DATADATE"))
     keep = F.coalesce("RDQ", F.date_add("DATADATE", 90)) <= F.col("asof_date")
     if {"LINKDT", "LINKENDDT"} <= set(fundamentals.columns):
         keep = keep & (F.col("LINKDT").isNull() | (F.col("LINKDT") <= F.col("asof_date"))) & (F.col("LINKENDDT").isNull() | (F.col("LINKENDDT") >= F.col("asof_date")))
-    return fundamentals.withColumn("_year", F.year("DATADATE")).join(seen, "_year").where(keep).drop("_year")
+    return quarters.join(seen, name).where(keep).drop(name)
 
 
 def quarterly_measures(panel: DataFrame, keys: Sequence[str] = ("asof_date", "GVKEY"), parity: bool = False) -> DataFrame:

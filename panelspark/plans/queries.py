@@ -15,7 +15,7 @@ from ..operators import asof, attribution, boosting, labels, learning, performan
 from ..sources import adapters as A
 from ..sources import tables as S
 from .sql import YEARS, labels as labels_sql, query, robust as robust_sql
-from .stages import shared_dir, stage
+from .stages import bucketed_stage, shared_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,9 +55,9 @@ class Panels:
 
     anchors = property(lambda self: ratios.anchor_calendar(self.spark, *YEARS))
     asof = property(lambda self: ratios.asof_days(self.anchors, self.returns_m))
-    returns_d = property(lambda self: self._stage("returns_d", lambda: A.returns_d(self.lines)))
+    returns_d = property(lambda self: bucketed_stage(self.spark, self.source, "returns_d", lambda: A.returns_d(self.lines), "PERMNO", "DATE"))
     returns_m = property(lambda self: self._stage("returns_m", lambda: A.returns_m(self.lines)))
-    fundamentals = property(lambda self: self._stage("fundamentals", lambda: A.fundamentals_q(self.lines)))
+    fundamentals = property(lambda self: self._stage("fundamentals", lambda: A.fundamentals_q(self.lines).withColumn("year", F.year("DATADATE")), lambda df, to: df.write.partitionBy("year").parquet(to)))
     factors = property(lambda self: self._stage("factors", lambda: A.factors_d(self.lines)))
     ratios = property(lambda self: self._stage("ratios", lambda: ratios.fundamental_ratios(self.fundamentals, self.returns_m, self.anchors)))
     composite = property(lambda self: self._stage("composite", lambda: scores.composite(self.ratios)))
@@ -118,7 +118,7 @@ def partition_pruned_scan(spark, d):
 @registered(f"SELECT GVKEY, DATADATE, year(DATADATE)::INT AS year, {r('SALEQ', digits=2)} FROM fundamentals_q WHERE year(DATADATE) BETWEEN 1997 AND 1999")
 def fundamentals_ingest(spark, d):
     """Fundamentals whose dates arrive as text in two forms, written by year, and the snapshots of some years."""
-    f = Panels(spark, d).fundamentals
+    f = Panels(spark, d).fundamentals.drop("year")
     text = F.when(F.col("LPERMNO") % 2 == 0, F.col("DATADATE").cast("string")).otherwise(F.date_format("DATADATE", "yyyyMMdd"))
     p = Panels(spark, d)
     path = p._stage("fundamentals_by_year", lambda: f.withColumn("DATADATE", text), lambda df, to: S.ingest(df, "DATADATE", to, rows_per_file=800_000, rows_per_group=200_000)).inputFiles()[0].split("/year=")[0]
@@ -135,6 +135,66 @@ def factor_table(spark, d):
     return rounded(S.factor_table(five, S.factor_file(text(S.MOM[1:]).union(banner), S.MOM)), 8)
 
 
+def _factor_files(p: Panels) -> str:
+    """The two factor files as a provider writes them: banner, header, days in percent, a table of years, footer."""
+    folder, f = p._folder("factor_files"), p.factors
+    single = lambda *texts: p.spark.createDataFrame([(t,) for t in texts], "value string")
+    years = f.groupBy(F.year("DATE").alias("year")).agg(F.avg("RF").alias("RF"))
+    years = years.select(F.concat_ws(",", F.format_string("  %d", "year"), F.format_string("%.4f", "RF")).alias("value"))
+    for name, columns in (("five", S.FF5), ("mom", S.MOM)):
+        percent = [F.format_string("%.8f", F.col(c) * 100) for c in columns[1:]]
+        days = f.select(F.concat_ws(",", F.date_format("DATE", " yyyyMMdd"), *percent).alias("value"))
+        head, foot = single("Made from daily returns", f",{','.join(columns[1:])}"), single(" Annual averages", "20011399,1,1,1,1,1,1", "Copyright")
+        head.union(days).union(years).union(foot).write.text(f"{folder}/{name}")
+    return folder
+
+
+@registered(f"SELECT DATE, {r('Mkt_RF', 'SMB', 'HML', 'RMW', 'CMA', 'RF', 'Mom', digits=8)} FROM factors_d")
+def factor_files(spark, d):
+    """Both factor files written as text with banners and annual tables, read from disk and joined (S8, RG1)."""
+    folder = _factor_files(Panels(spark, d))
+    five, momentum = (S.factor_lines(spark, f"{folder}/{name}", columns).where("rejected is null") for name, columns in (("five", S.FF5), ("mom", S.MOM)))
+    return rounded(S.factor_table(five.drop("rejected"), momentum), 8)
+
+
+@registered("""SELECT file, (SELECT count(*) FROM factors_d) AS days, 5 + (SELECT count(DISTINCT year(DATE)) FROM factors_d) AS rejected
+FROM (VALUES ('five'), ('mom')) AS f(file)""")
+def factor_file_rejects(spark, d):
+    """How many lines of each factor file are days, and how many are not."""
+    folder = _factor_files(Panels(spark, d))
+    counted = [S.factor_lines(spark, f"{folder}/{name}", columns).agg(F.count("DATE").alias("days"), F.count("rejected").alias("rejected")).select(F.lit(name).alias("file"), "days", "rejected") for name, columns in (("five", S.FF5), ("mom", S.MOM))]
+    return counted[0].union(counted[1])
+
+
+@registered(f"SELECT asof_date, permno, {r('MB')} FROM ratios WHERE year(asof_date) BETWEEN 1998 AND 1999")
+def snapshot_files(spark, d):
+    """A file a snapshot, named by its date; those of some years, pruned by their names."""
+    p = Panels(spark, d)
+    folder = p._folder("snapshot_files")
+    S.write_tagged(p.ratios.select("asof_date", "permno", "MB"), folder, "ratios")
+    return rounded(S.tagged_snapshots(spark, folder, 1998, 1999).select("asof_date", "permno", "MB"))
+
+
+@registered(f"SELECT asof_date, permno, {r('MB')} FROM ratios")
+def incremental_snapshots(spark, d):
+    """Snapshots to 1998, then a run that dies within 1999, then one over all years: each snapshot is there once and whole."""
+    p = Panels(spark, d)
+    rows, folder = p.ratios.select("asof_date", "permno", "MB"), p._folder("incremental")
+    S.write_new(rows.where(F.year("asof_date") <= 1998), folder)
+    half = rows.where((F.year("asof_date") == 1999) & (F.col("permno") % 2 == 0)).withColumn("_on", F.date_format("asof_date", "yyyy-MM-dd"))
+    half.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_on").parquet(f"{folder}/data")
+    S.write_new(rows, folder)
+    return rounded(S.read_new(spark, folder).select("asof_date", "permno", "MB"))
+
+
+@registered(f"""SELECT DATE, {r('r')} FROM (SELECT DATE, level / lag(level) OVER (ORDER BY DATE) - 1 AS r
+FROM (SELECT DATE, sum(1 + coalesce(RET, 0)) AS level FROM returns_d GROUP BY DATE)) WHERE r IS NOT NULL""")
+def long_series_return(spark, d):
+    """Changes of one series cut into parts by date."""
+    levels = Panels(spark, d).returns_d.groupBy("DATE").agg(F.sum(1 + F.coalesce("RET", F.lit(0.0))).alias("level"))
+    return rounded(S.long_series_return(levels))
+
+
 @registered(f"SELECT * FROM (SELECT PERMNO, DATE, {r('x')} FROM (SELECT PERMNO, DATE, PRC / lag(PRC) OVER (PARTITION BY PERMNO ORDER BY DATE) - 1 AS x FROM returns_m)) WHERE x IS NOT NULL")
 def level_to_return(spark, d):
     p = Panels(spark, d).returns_m
@@ -397,6 +457,16 @@ def cohort_nav(spark, d):
     return rounded(portfolio.cohort_nav(p.selection, p.returns_d))
 
 
+@registered(f"""SELECT model, asof_date, end_date, DATE, {r('nav_long', 'nav_short')} FROM (SELECT model, asof_date, end_date, DATE, avg(CASE WHEN signal = 1 THEN g END) AS nav_long, avg(CASE WHEN signal = -1 THEN g END) AS nav_short FROM (
+SELECT p.*, d.DATE, last_value(h.gross IGNORE NULLS) OVER (PARTITION BY p.model, p.asof_date, p.signal, p.permno ORDER BY d.DATE) AS g
+FROM (SELECT model, asof_date, end_date, signal, permno, min(DATE) AS first FROM held GROUP BY ALL) p JOIN (SELECT DISTINCT model, asof_date, DATE FROM held) d ON d.model = p.model AND d.asof_date = p.asof_date AND d.DATE >= p.first
+LEFT JOIN held h ON h.model = p.model AND h.asof_date = p.asof_date AND h.signal = p.signal AND h.permno = p.permno AND h.DATE = d.DATE) GROUP BY 1, 2, 3, 4)""")
+def cohort_nav_carried(spark, d):
+    """Cohorts whose names count with their last value after they stop (PF4, Q18)."""
+    p = Panels(spark, d)
+    return rounded(portfolio.cohort_nav(p.selection, p.returns_d, carry=True))
+
+
 @registered(f"SELECT model, DATE, {r('long_ret', 'short_ret', 'ls_ret')} FROM daily")
 def daily_long_short(spark, d):
     p = Panels(spark, d)

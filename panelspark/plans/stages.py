@@ -49,3 +49,18 @@ def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataF
         (write or (lambda df, to: df.write.parquet(to)))(build(), path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+def bucketed_stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], key: str, order: str) -> DataFrame:
+    """The same as a table bucketed by `key` and sorted by `key` and `order` in each bucket.
+
+    Windows and joins by the key read it without a shuffle. As many buckets as shuffle partitions, one file each.
+    """
+    made = (spark.sparkContext.applicationId, source, f"{name} by {key}", state_of(spark, source))
+    if made not in _WRITTEN or not spark.catalog.tableExists(_WRITTEN[made]):
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        known = f"{name}_{uuid.uuid4().hex}"
+        rows = build().repartition(buckets, key)
+        rows.write.format("parquet").bucketBy(buckets, key).sortBy(key, order).option("path", f"{shared_dir(spark)}/{known}").saveAsTable(known)
+        _WRITTEN[made] = known
+    return spark.table(_WRITTEN[made])
