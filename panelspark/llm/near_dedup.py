@@ -9,8 +9,11 @@ components are looked at again, first from a second hub, then by an exact search
 outside the hub's component, so that no link is lost because its hub was a bad match.
 
 Defined results: null or word-free text has an empty set, links to nothing and is its own component; documents of
-fewer than five words have one shingle, the whole sequence; equal sets are one node; rows that share a doc_id share a
-node's fate row by row; an empty table gives no rows. Other columns are ignored.
+fewer than five words have one shingle, the whole sequence; equal sets (by a 128-bit digest) are one node; rows are
+linked by their sets, one by one, whatever ids they share; doc_ids keep their type and its order, and a null one is the least of
+a component only where all are null; ties in size or centrality go by node; very long texts are taken whole, in one row; an empty bin
+whose 4,096 attempts all meet empty bins (odds under 1e-13) takes the first full one; an empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import LOWER, blocks, document_of, mixed, span_hashes, spans
 from .shared import HOT, forget, meet, stored
@@ -99,11 +103,15 @@ def _sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(np.array(odd, np.uint8).reshape(len(sets), SKETCH), axis=1).view(np.int64)
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> tuple[int | None, int | None]:
+    """128 bits of a set's hashes, as two whole numbers; nulls for the empty set."""
+    if not len(s):
+        return None, None
+    both = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
 
 
-def _described(id_type: pa.DataType, rows: int):
+def _described(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in blocks(batches):
             sets = shingle_sets(data, starts)
@@ -115,8 +123,8 @@ def _described(id_type: pa.DataType, rows: int):
             for i, k, b in zip(filled, _band_keys(sig, rows), _sketches(some), strict=True):
                 bands[i], sketch[i] = k, b
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), *batch.columns[2:]],
-                names=["doc_id", "n_shingles", "node", "bands", "sketch", *batch.schema.names[2:]],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*map(_digest, sets))), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "high", "low", "bands", "sketch", *batch.schema.names[2:]],
             )
 
     return run
@@ -124,8 +132,7 @@ def _described(id_type: pa.DataType, rows: int):
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, starts in blocks(batches):
-        found = [(n, s) for n, s in zip(batch.column(0).to_pylist(), shingle_sets(data, starts), strict=True) if len(s) and _node(s) == n]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(data, starts)], pa.binary())], names=["node", "shingles"])
 
 
 def _linked(threshold: int):
@@ -166,13 +173,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (columns doc_id and text); see the module's text."""
-    described, of_node = _joined_up(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), threshold, rows)
+    described, of_node = _joined_up(_marked(docs), threshold, rows)
     least = of_node.groupBy("component").agg(F.min("rep").alias("component_id"))
     out = described.select("doc_id", "n_shingles", "node").join(of_node.join(least, "component").select("node", "component_id"), "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text without nulls, and a 128-bit hash of it: these three tell rows apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("left"), F.xxhash64(F.lit(7), text).alias("right"))
+
+
 def one_of_each(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay: of each component the one of least (doc_id, text hash).
 
@@ -181,15 +194,14 @@ def one_of_each(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> DataF
     """
     text = F.coalesce("text", F.lit(""))
     marks = [F.xxhash64(text).alias("left"), F.xxhash64(F.lit(7), text).alias("right")]
-    described, of_node = _joined_up(docs.select("doc_id", text.alias("text"), *marks), threshold, rows)
+    described, of_node = _joined_up(_marked(docs), threshold, rows)
     key = ["doc_id", "left", "right"]
     worded = described.where("node is not null").join(of_node.select("node", "component"), "node")
     counted = stored(worded.groupBy("component", *key).agg(F.count("*").alias("n")), "counted")
     least = counted.groupBy("component").agg(F.min(F.struct(*key)).alias("least"))
     stays = F.struct(*key).eqNullSafe(F.col("least"))
     acted = stored(counted.join(least, "component").where(~stays | (F.col("n") > 1)).select(*key, stays.alias("stays")), "acted").alias("a")
-    kind = dict(described.dtypes)["doc_id"]
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast(kind).alias("doc_id"), *marks).alias("o")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", *marks).alias("o")
     met = own.join(acted, F.col("o.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("o.left") == F.col("a.left")) & (F.col("o.right") == F.col("a.right")), "left")
     alone = met.where("a.stays is null").select("o.row")
     repeated = met.where("a.stays").select("o.*").dropDuplicates(key).select("row")
@@ -197,12 +209,19 @@ def one_of_each(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> DataF
 
 
 def _joined_up(docs: DataFrame, threshold: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """The described rows (other columns of `docs` follow), and node, rep, component of each distinct shingle set."""
-    kind = pa.int64() if dict(docs.dtypes)["doc_id"] in ("bigint", "int") else pa.string()
-    id_sql = "bigint" if kind == pa.int64() else "string"
-    more = "".join(f", {c} {t}" for c, t in docs.dtypes[2:])
-    described = stored(docs.mapInArrow(_described(kind, rows), f"doc_id {id_sql}, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>{more}"), "described")
-    nodes = stored(described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    """doc_id, left, right, n_shingles, node of each row of `_marked` documents, and node, rep, component of each distinct set.
+
+    rep is the least doc_id of the rows with the set.
+    """
+    more = T._parse_datatype_string("n_shingles bigint, high bigint, low bigint, bands array<bigint>, sketch array<bigint>, left bigint, right bigint").fields
+    described = stored(docs.mapInArrow(_described(rows), T.StructType([docs.schema["doc_id"], *more])), "described")
+    text = F.struct("doc_id", "left", "right")  # nulls come last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), text.alias("of")))
+    nodes = described.where("high is not null").groupBy("high", "low").agg(F.count("*").alias("n"), first["of"].alias("text"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "*", F.col("text.doc_id").alias("rep")), "nodes")
+    own = described.drop("bands", "sketch")
+    worded = meet(own.where("high is not null"), nodes.select("high", "low", "n", "node"), ["high", "low"], ["doc_id", "left"])
+    described = stored(worded.drop("n", "high", "low").unionByName(own.where("high is null").drop("high", "low").withColumn("node", F.lit(None).cast("bigint"))), "described")
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = meet(members, sizes, ["bucket"], ["node"]).where("n is not null")
@@ -315,9 +334,10 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its full sorted shingle set, from one document of each node."""
-    chosen = nodes.select("node", F.col("rep").alias("doc_id"))
-    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
+    """node and its full sorted shingle set, from the node's one text; rows that repeat its id and text give it once."""
+    chosen = nodes.select("node", "text.*")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.left") == F.col("c.left")) & (F.col("d.right") == F.col("c.right"))
+    texts = docs.alias("d").join(chosen.alias("c"), same).select("node", "text")
     return stored(texts.mapInArrow(_sets_of, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
 
 

@@ -441,9 +441,9 @@ def test_pairs_beside_a_hub_of_short_texts(spark):
         w = [word() for _ in range(8 if k % 2 else 16)]
         rows += [(3 * k, " ".join(w[: 7 if k % 2 else 13])), (3 * k + 1, " ".join(w)), (3 * k + 2, " ".join(word() for _ in range(14)))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    import pyarrow as pa
-
-    nodes = docs.mapInArrow(near_dedup._described(pa.int64(), near_dedup.ROWS), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>").withColumnsRenamed({"doc_id": "rep", "n_shingles": "size"}).persist()
+    docs = near_dedup._marked(docs)
+    nodes = docs.mapInArrow(near_dedup._described(near_dedup.ROWS), "doc_id bigint, n_shingles bigint, high bigint, low bigint, bands array<bigint>, sketch array<bigint>, left bigint, right bigint")
+    nodes = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "sketch", F.struct("doc_id", "left", "right").alias("text")).persist()
     known = nodes.select(F.expr("rep div 3").alias("bucket"), "node", "size", F.col("node").alias("component"), "rep")
     hubs = known.where("rep % 3 = 2").select("bucket", F.col("node").alias("hub"), F.col("size").alias("hub_size"))
     known, out = known.drop("rep"), known.where("rep % 3 < 2").drop("rep")
@@ -453,6 +453,33 @@ def test_pairs_beside_a_hub_of_short_texts(spark):
     assert got == {(3 * k, 3 * k + 1) for k in range(400)}
 
 
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(12,2)", "string", "date"])
+def test_near_duplicates_keep_the_order_of_ids(spark, kind):
+    words = " ".join(f"word{i}" for i in range(30))
+    rows = [(9, words), (10, words), (100, words + " more"), (11, "quite another text of some seven words"), (None, words + " more"), (12, None)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string").withColumn("doc_id", F.expr("date_add(date'2020-01-01', doc_id)") if kind == "date" else F.col("doc_id").cast(kind))
+    got = near_dedup.near_duplicates(frame)
+    assert dict(got.dtypes)["doc_id"] == dict(got.dtypes)["component_id"] == kind
+    least = frame.agg(F.min(F.when(F.col("text").startswith("word0"), F.col("doc_id")))).first()[0]
+    of = {r.doc_id: r.component_id for r in got.collect()}
+    linked = [r.doc_id for r in frame.where("text like 'word0%'").collect()]
+    assert {of[d] for d in linked} == {least} and all(of[d] == d for d in of if d not in linked)
+    kept = near_dedup.one_of_each(frame)
+    assert kept.schema == frame.schema and kept.count() == 3
+
+
+def test_near_duplicates_of_null_ids_are_linear(spark):
+    """Thousands of rows without an id, and with one id: each meets its own node only."""
+    rows = [(None if k % 2 else 7, " ".join(f"a{k // 2}b{j % 9 if j < 20 else k}x{j}" for j in range(25))) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marked = near_dedup._marked(frame)
+    described, nodes = near_dedup._joined_up(marked, 75, near_dedup.ROWS)
+    assert described.count() == 4000 and nodes.count() == 4000
+    chosen = marked.mapInArrow(near_dedup._described(near_dedup.ROWS), "doc_id bigint, n_shingles bigint, high bigint, low bigint, bands array<bigint>, sketch array<bigint>, left bigint, right bigint")
+    chosen = chosen.select(F.monotonically_increasing_id().alias("node"), F.struct("doc_id", "left", "right").alias("text"))
+    assert near_dedup._sets(marked, chosen).count() == 4000
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li>Menu</ul></nav><div class='ad banner'>Buy</div><article><h1>A &amp; B</h1><p>One <b>two<br>three<p>Four&nbsp;&lt;x&gt;<section class=comments><p>Nice!</section></article><footer>F</footer>"
     rows = [(1, "http://h.example/a", page), (2, "http://h.example/b", None), (3, None, ""), (4, "http://h.example/c", page + "<p"), (1, "http://h.example/a", page), (5, "x", "plain < text\n more")]
