@@ -72,6 +72,41 @@ def test_resampled_pcm_is_stored(spark, edge):
     assert {r.doc_id: (r.pcm_bytes, r.pcm_sha256) for r in audio.digests(media.where("doc_id < 8")).collect()} == {k: (len(want[k]), hashlib.sha256(want[k]).hexdigest()) for k in (6, 7)}
 
 
+def test_packed_samples_come_back():
+    g = np.random.default_rng(9)
+    for n in (0, 1, 2, 3, 64, 641):
+        x = g.integers(-32768, 32768, n).astype(np.int16)
+        assert audio.unpacked(audio.packed(x)) == x.astype("<i2").tobytes()
+    y = audio.resampled(audio.EXPANDED[7][g.integers(0, 256, 640, dtype=np.uint8)], 8000, 16000)
+    assert not np.frombuffer(audio.packed(y), "<i2")[640:].any()  # the odd samples lie between their neighbours
+
+
+def test_tables_and_feature_by_the_standard(spark):
+    """G.711 by its bit fields, resampling sample by sample, and the feature from these."""
+
+    def mu(code):
+        code = 255 - code
+        size = ((2 * (code & 15) + 33) << (code >> 4 & 7)) - 33
+        return 4 * (-size if code & 128 else size)
+
+    def a_law(code):
+        code ^= 0x55
+        step, low = code >> 4 & 7, code & 15
+        size = 2 * low + 1 if step == 0 else (2 * low + 33) << (step - 1)
+        return 8 * (size if code & 128 else -size)
+
+    assert audio.EXPANDED[7].tolist() == [mu(c) for c in range(256)] and audio.EXPANDED[6].tolist() == [a_law(c) for c in range(256)]
+    x = [mu(c) for c in b"some words to hear, and then a few more of them in the same row!"]
+    want = [v for i, a in enumerate(x) for v in (a, (a + x[min(i + 1, len(x) - 1)]) // 2)]
+    assert audio.resampled(np.array(x, np.int16), 8000, 16000).tolist() == want
+    text = "some words to hear, and then a few more of them in the same row!"
+    frame = spark.createDataFrame([(1, text, "x", 5)], "doc_id bigint, text string, media string, planes int")
+    got = dict(p.split("=") for p in audio.digests(audio.stored_media(frame)).first().feature.split())
+    root = lambda v: int((sum(a * a for a in v) // len(v)) ** 0.5)
+    assert got["samples"] == "64" and got["peak"] == str(max(map(abs, x))) and got["rms"] == str(root(x)) and got["other_rms"] == str(root([a_law(c) for c in text.encode()]))
+    assert got["crossings"] == str(sum((p < 0) != (q < 0) for p, q in zip(x, x[1:])))
+
+
 def test_adpcm_one_block_at_a_time():
     data = np.random.default_rng(1).integers(0, 256, 640, dtype=np.uint8)
     assert (audio.adpcm(data) == np.concatenate([audio.adpcm(data[k : k + 64]) for k in range(0, 640, 64)])).all()
