@@ -2,12 +2,12 @@
 
 Each rule looks at one statistic of a whole text and votes good (+1), bad (-1) or, between its two bounds, abstains (0);
 no rule asks what another says. The votes of all documents are counted by pattern (at most 3 ** len(RULES) of them).
-Expectation-maximisation over these counts estimates, for each rule, how often its vote is right on good and on bad
-documents, and the share of good ones; a document's posterior probability of being good replaces an all-must-pass filter,
+Expectation-maximisation over these counts estimates, for each rule, how often its vote is right on good documents and on two
+kinds of bad ones, and their shares; a document's posterior probability of being good replaces an all-must-pass filter,
 so that one bad vote of a rule that the others seldom bear out rejects nothing. Only pattern counts reach the driver.
 
-Defined results: null or empty text has all counts 0 and fails the base rule (as all texts under 50 words do);
-repeated rows are scored row by row; an empty table gives no rows; other columns pass through `kept_documents`,
+Defined results: null or empty text has all counts 0 and fails the base rule (as all texts under 50 words do); very long
+texts are judged whole, in one row; a posterior equal to the threshold keeps; repeated rows are scored row by row; an empty table gives no rows; other columns pass through `kept_documents`,
 whatever their names.
 """
 
@@ -34,7 +34,7 @@ _K = mixed(np.arange(101, 105, dtype=np.uint64)) | np.uint64(1)
 
 _LETTER = _UPPER | _LOWER | (np.arange(256) >= 0xC0)  # of a character beyond ASCII the first byte
 
-STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_lower", "n_marks", "n_stops", "n_letters", "n_symbol_words"]
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_lower", "n_stops", "n_letters"]
 
 
 def _per_document(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -83,11 +83,7 @@ def statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     out["n_distinct_words"] = out["n_words"] - np.bincount(doc[later], minlength=n)
     for name, kind in (("n_upper", _UPPER), ("n_lower", _LOWER), ("n_stops", _STOP)):
         out[name] = _per_document(kind[data], starts)
-    out["n_marks"] = _per_document(data == 33, starts)
     out["n_letters"] = _per_document(_LETTER[data], starts)
-    symbols = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_SYMBOL[data], out=symbols[1:])
-    out["n_symbol_words"] = np.bincount(doc[symbols[end] > symbols[begin]], minlength=n)
     return out
 
 
@@ -95,13 +91,20 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
 
-RULES = ("symbols", "words with symbols", "letters", "capitals", "exclamations", "repeated windows", "distinct words", "repeated lines", "sentence ends", "word length", "length")
+RULES = ("symbols", "other characters", "capitals", "repeated windows", "distinct words", "repeated lines", "sentence ends", "word length", "line length")
 _POWERS = 3 ** np.arange(len(RULES))
+#: The bands are set so that at most one good document in 200 gets a bad vote of a rule; EM holds on to that.
+LEAST_RIGHT = 0.995
 
 
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
-    """One row a document, one column a rule: -1 bad, 0 abstain, 1 good."""
+    """One row a document, one column a rule: -1 bad, 0 abstain, 1 good.
+
+    No two rules look at the same characters' counts: symbols count in the first alone, so that a text full of them gets one bad
+    vote for it, and word length and other characters leave them out.
+    """
     w = s["n_words"]
+    plain = s["word_chars"] - s["n_symbols"]
 
     def below(x: np.ndarray, good: float, bad: float) -> np.ndarray:
         return np.where(x > bad, -1, np.where(x < good, 1, 0))
@@ -112,52 +115,65 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     variety = np.log(np.maximum(s["n_distinct_words"], 1)) / np.log(np.maximum(w, 2))  # hardly depends on the length
     return np.stack(
         [
-            below(_share(s["n_symbols"], w), 0.05, 0.25),
-            below(_share(s["n_symbol_words"], w), 0.03, 0.15),
-            below(1 - _share(s["n_letters"], s["word_chars"]), 0.08, 0.2),
-            below(_share(s["n_upper"], s["n_upper"] + s["n_lower"]), 0.2, 0.5),
-            below(_share(s["n_marks"], w), 0.05, 0.3),
-            below(_share(s["n_repeat_words"], w), 0.1, 0.3),
-            -below(variety, 0.55, 0.7),
-            below(_share(s["n_dup_lines"], s["n_lines"]), 0.05, 0.3),
-            within(_share(s["n_stops"], w), (0.01, 0.7), (0.03, 0.4)),
-            within(_share(s["word_chars"], w), (2.5, 9.0), (3.5, 6.5)),
-            -below(w, 30, 49),
+            below(_share(s["n_symbols"], w), 0.05, 0.3),
+            below(_share(plain - s["n_letters"], plain), 0.05, 0.1),
+            below(_share(s["n_upper"], s["n_upper"] + s["n_lower"]), 0.03, 0.05),
+            below(_share(s["n_repeat_words"], w), 0.03, 0.2),
+            -below(variety, 0.9, 0.94),
+            below(_share(s["n_dup_lines"], s["n_lines"]), 0.05, 0.32),
+            within(_share(s["n_stops"], w), (0.03, 0.2), (0.05, 0.15)),
+            within(_share(plain, w), (4.2, 6.4), (4.6, 5.7)),
+            within(_share(w, s["n_lines"]), (9, 200), (15, 120)),
         ],
         axis=1,
     ).astype(np.int8)
 
 
 def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> dict:
-    """How often each rule's vote is right on good and on bad documents, and the share of good ones, by EM over vote patterns.
-
-    An abstention says nothing. Right votes on good documents have a Beta(19, 1) prior and those on bad ones Beta(2, 2),
-    the share of good documents Beta(8, 2), and all stay within 0.01 to 0.99, so that few documents, or none, give a
-    usable model.
+    """How often each rule's vote is right on good documents and on either kind of bad ones, and the three shares, by EM over vote patterns.
+
+    Bad documents are of two kinds, each with accuracies of its own: those on which rules agree, and those that one rule alone speaks
+    against. EM starts from the filter that it replaces: two bad votes or more put a text with the first kind, one with the
+    second. A rule whose lone votes are few and scattered gains no kind by them, so that these reject nothing. An abstention
+    says nothing. Right votes on good documents have a Beta(19, 1) prior and those on bad ones Beta(2, 2), the shares
+    Dirichlet(8, 1, 1); on good documents votes are right at least LEAST_RIGHT of the time, and all stay within 0.001 to 0.999,
+    so that few documents, or none, give a usable model.
     """
     v = patterns.reshape(len(counts), len(RULES)).astype(float)
-    on_good, on_bad, good = np.full(len(RULES), 0.95), np.full(len(RULES), 0.5), 0.8
-    up, down = (v > 0) * counts[:, None], (v < 0) * counts[:, None]
+    up, down = v > 0, v < 0
+    n_bad = down.sum(1)
+    p = np.stack([np.where(n_bad == 0, 0.9, 0.1), np.where(n_bad > 1, 0.8, np.where(n_bad == 1, 0.1, 0.05)), np.where(n_bad == 1, 0.8, np.where(n_bad > 1, 0.1, 0.05))], axis=1)
+    before = None
     for _ in range(rounds):
-        p = posterior(v, on_good, on_bad, good)
-        before = np.concatenate([on_good, on_bad, [good]])
-        yes, no = p[:, None], 1 - p[:, None]
-        on_good = np.clip(((up * yes).sum(0) + 19) / (((up + down) * yes).sum(0) + 20), 0.01, 0.99)
-        on_bad = np.clip(((down * no).sum(0) + 2) / (((up + down) * no).sum(0) + 4), 0.01, 0.99)
-        good = float(np.clip(((p * counts).sum() + 8) / (counts.sum() + 10), 0.01, 0.99))
-        if np.abs(np.concatenate([on_good, on_bad, [good]]) - before).max() < 1e-9:
+        mass = p * counts[:, None]
+        yes, no = mass.T @ up, mass.T @ down
+        prior = np.array([[19.0, 1.0], [2.0, 2.0], [2.0, 2.0]])
+        right = np.concatenate([(yes[:1] + 19) / (yes[:1] + no[:1] + 20), (no[1:] + prior[1:, :1]) / (yes[1:] + no[1:] + 4)])
+        m = {"right": np.clip(right, np.array([[LEAST_RIGHT], [0.001], [0.001]]), 0.999), "share": np.clip((mass.sum(0) + [8, 1, 1]) / (counts.sum() + 10), 0.001, 0.999)}
+        p = kinds(v, m)
+        now = np.concatenate([m["right"].ravel(), m["share"]])
+        if before is not None and np.abs(now - before).max() < 1e-9:
             break
-    return {"on_good": on_good, "on_bad": on_bad, "good": good}
+        before = now
+    return m
+
+
+def weights(m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each kind of bad document, log odds of good against it: what a good and a bad vote of each rule add, and those before any vote."""
+    good, bad = m["right"][0], m["right"][1:]
+    return np.log(good / (1 - bad)), np.log((1 - good) / bad), np.log(m["share"][0] / m["share"][1:])
 
 
-def weights(m: dict) -> tuple[np.ndarray, np.ndarray, float]:
-    """Log odds of good that a good vote and a bad vote of each rule add, and those before any vote."""
-    return np.log(m["on_good"] / (1 - m["on_bad"])), np.log((1 - m["on_good"]) / m["on_bad"]), float(np.log(m["good"] / (1 - m["good"])))
+def kinds(v: np.ndarray, m: dict) -> np.ndarray:
+    """Probabilities of good and of the two kinds of bad, a row for each row of votes."""
+    up, down, odds = weights(m)
+    against = np.exp(-(odds + (v > 0) @ up.T + (v < 0) @ down.T))
+    good = 1 / (1 + against.sum(1))
+    return np.column_stack([good, against * good[:, None]])
 
 
-def posterior(v: np.ndarray, on_good: np.ndarray, on_bad: np.ndarray, good: float) -> np.ndarray:
-    up, down, odds = weights({"on_good": on_good, "on_bad": on_bad, "good": good})
-    return 1 / (1 + np.exp(-(odds + (v > 0) @ up + (v < 0) @ down)))
+def posterior(v: np.ndarray, m: dict) -> np.ndarray:
+    return kinds(v, m)[:, 0]
 
 
 def _base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -178,12 +194,14 @@ def _model(votes_: DataFrame) -> dict:
 
 
 def _posterior(m: dict, votes_: Column) -> Column:
-    up, down, prior = weights(m)
-    odds = F.lit(prior)
-    for k in range(len(RULES)):
-        vote = F.floor(votes_ / int(3**k)) % 3
-        odds = odds + F.when(vote == 2, float(up[k])).when(vote == 0, float(down[k])).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    against = F.lit(0.0)
+    for up, down, prior in zip(*weights(m)):
+        odds = F.lit(float(prior))
+        for k in range(len(RULES)):
+            vote = F.floor(votes_ / int(3**k)) % 3
+            odds = odds + F.when(vote == 2, float(up[k])).when(vote == 0, float(down[k])).otherwise(0.0)
+        against = against + F.exp(-odds)
+    return 1 / (1 + against)
 
 
 def scored(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

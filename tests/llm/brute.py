@@ -133,32 +133,32 @@ def tree_importance(pages):
 
 
 def em(rows, rounds=500):
-    """rows: vote lists -> posterior of each document, one document and one rule at a time"""
+    """rows: vote lists -> posterior of each document: good or one of two kinds of bad, one document and one rule at a time."""
     k = len(rows[0])
-    good, on_good, on_bad, p = 0.8, [0.95] * k, [0.5] * k, []
+    n_bad = [sum(x < 0 for x in v) for v in rows]
+    p = [[0.9, 0.05, 0.05] if n == 0 else [0.1, 0.1, 0.8] if n == 1 else [0.1, 0.8, 0.1] for n in n_bad]
+    clip = lambda x, low=0.001: min(max(x, low), 0.999)
+    before = None
     for _ in range(rounds):
+        right = [[0.0] * k for _ in range(3)]
+        for j in range(k):
+            for c in range(3):
+                up = sum(q[c] for q, v in zip(p, rows) if v[j] > 0)
+                down = sum(q[c] for q, v in zip(p, rows) if v[j] < 0)
+                right[c][j] = clip((up + 19) / (up + down + 20), 0.995) if c == 0 else clip((down + 2) / (up + down + 4))
+        share = [clip((sum(q[c] for q in p) + (8, 1, 1)[c]) / (len(p) + 10)) for c in range(3)]
         p = []
         for v in rows:
-            a, b = good, 1 - good
-            for x, g, w in zip(v, on_good, on_bad):
-                if x:
-                    a, b = a * (g if x > 0 else 1 - g), b * (1 - w if x > 0 else w)
-            p.append(a / (a + b))
-        before = [*on_good, *on_bad, good]
-        clip = lambda x: min(max(x, 0.01), 0.99)
-        for j in range(k):
-            up = [q for q, v in zip(p, rows) if v[j] > 0]
-            down = [q for q, v in zip(p, rows) if v[j] < 0]
-            on_good[j] = clip((sum(up) + 19) / (sum(up) + sum(down) + 20))
-            on_bad[j] = clip((len(down) - sum(down) + 2) / (len(up) - sum(up) + len(down) - sum(down) + 4))
-        good = clip((sum(p) + 8) / (len(p) + 10))
-        if max(abs(a - b) for a, b in zip(before, [*on_good, *on_bad, good])) < 1e-9:
+            odds = []
+            for c in range(3):
+                x = share[c]
+                for z, r in zip(v, right[c]):
+                    if z:
+                        x *= r if (z > 0) == (c == 0) else 1 - r
+                odds.append(x)
+            p.append([x / sum(odds) for x in odds])
+        now = [x for r in right for x in r] + share
+        if before and max(abs(a - b) for a, b in zip(before, now)) < 1e-9:
             break
-    a = {}
-    for v in {tuple(v) for v in rows}:
-        x, y = good, 1 - good
-        for z, g, w in zip(v, on_good, on_bad):
-            if z:
-                x, y = x * (g if z > 0 else 1 - g), y * (1 - w if z > 0 else w)
-        a[v] = x / (x + y)
-    return [a[tuple(v)] for v in rows]
+        before = now
+    return [q[0] for q in p]
