@@ -17,7 +17,8 @@ Only counts are shuffled for the trees; pages' paths meet the importance of thei
 page gets the list of its own paths to cut. No group is larger than a page. A host that holds a large share of all pages
 is one key of that join: its side of one row a path is small, and Spark splits the pages' side or broadcasts.
 
-Defined results: null or empty html gives an empty text; malformed and cut-off html is read as far as it goes; pages
+Defined results: null or empty html gives an empty text; very long pages are read whole, in one row; a block whose importance equals
+the bound stays; malformed and cut-off html is read as far as it goes; pages
 without a host form one site; repeated rows give one row each; other columns are ignored.
 """
 

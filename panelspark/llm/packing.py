@@ -12,7 +12,8 @@ Only counts by (task, length) are shuffled and only counts by length reach the d
 meet the pieces by a join of (task, length), which shuffles pieces (no texts) where the counts are too many to broadcast. The plan's size is bounded by
 the lengths, not by the documents.
 
-Defined results: null text is empty (the end id alone); repeated rows are packed as so many documents; an empty table
+Defined results: null text is empty (the end id alone); texts beyond the limit are cut into whole pieces and a last one; of sequences
+with equal room the first made is taken, and of plans with as few sequences the one of longest complements; repeated rows are packed as so many documents; an empty table
 gives no rows; other columns are ignored.
 """
 

@@ -8,7 +8,8 @@ dual coordinate descent; a logistic curve fitted on a fold kept aside turns marg
 The fit reads a bounded sample: the `sample` labelled documents with the least hash of doc_id (a parameter). Only rows
 whose crc32(doc_id as text) mod 5 is not 0 are ever learnt from. Scoring covers every whole text without a shuffle.
 
-Defined results: null and empty texts have no n-grams and get the score of an empty document; labels of null quality
+Defined results: very long texts are scored whole; a score equal to the threshold is predicted good; of equal hashes the sample
+takes the lower doc_id; null and empty texts have no n-grams and get the score of an empty document; labels of null quality
 are not learnt from; with no labels, or one class, every score is that class's share (0.5 without labels); repeated
 rows are scored alike; other columns pass through `kept_documents`.
 """

@@ -6,7 +6,8 @@ around line ends; the distinct parts of a block are encoded in one batch of the
 a task has cores and two at least, and decoded again. Its ids are the result; the sentencepiece library encodes each part too, and where it gives others,
 the part counts as differing.
 
-Defined results: null text is empty and has no tokens; repeated rows are encoded alike; control strings in texts are
+Defined results: null text is empty and has no tokens; very long texts are encoded whole, part by part; equal scores are the
+library's to decide, and checked; repeated rows are encoded alike; control strings in texts are
 plain text; an empty table gives no rows; other columns are ignored.
 """
 

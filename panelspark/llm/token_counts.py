@@ -12,7 +12,8 @@ a token may follow another exactly if merging the two strings together gives tho
 each place where a longer token may still have begun, the vocabulary node read since, the token before it and the count
 there relative to now.
 
-Defined results: null text is empty and has 0 tokens; added-token strings inside texts count as the library counts
+Defined results: null text is empty and has 0 tokens; very long texts are read whole, chunk by chunk in one row; a count equal to
+the limit is not over it; added-token strings inside texts count as the library counts
 them (one token); repeated rows are counted alike; an empty table gives no rows; other columns are ignored.
 """
 
