@@ -187,6 +187,25 @@ def incremental_snapshots(spark, d):
     return rounded(S.read_new(spark, folder).select("asof_date", "permno", "MB"))
 
 
+@registered(f"""SELECT DATE, {r('r')} FROM (SELECT DATE, avg(RET) AS r FROM returns_d GROUP BY DATE) WHERE r IS NOT NULL AND month(DATE) <> 2""")
+def return_series_reader(spark, d):
+    """A series whose dates and numbers arrive as text, some of them no numbers, read with a check of its columns."""
+    p = Panels(spark, d)
+    folder = p._folder("series_text")
+    daily = p.returns_d.groupBy("DATE").agg(F.avg("RET").alias("r"))
+    number = F.when(F.month("DATE") == 2, "n.a.").otherwise(F.col("r").cast("string"))
+    daily.select(F.col("DATE").cast("string").alias("DATE"), number.alias("ret")).write.option("header", True).csv(folder)
+    return rounded(S.return_series(spark.read.option("header", True).csv(folder), "ret"))
+
+
+@registered(f"""SELECT PERMNO, DATE, {r('total')} FROM (SELECT PERMNO, DATE, (1 + coalesce(RET, 0)) * (1 + CASE WHEN PERMNO % 14 = 0 THEN 0 ELSE coalesce(DLRET, 0) END) - 1 AS total FROM returns_d)""")
+def text_delisting_returns(spark, d):
+    """Delisting returns that arrive as text, with letters in place of some: those count as null."""
+    p = Panels(spark, d).returns_d
+    text = F.when(F.col("PERMNO") % 14 == 0, "A").otherwise(F.col("DLRET").cast("string"))
+    return rounded(p.withColumn("DLRET", text).select("PERMNO", "DATE", X.total_return("RET", "DLRET").alias("total")))
+
+
 @registered(f"""SELECT DATE, {r('r')} FROM (SELECT DATE, level / lag(level) OVER (ORDER BY DATE) - 1 AS r
 FROM (SELECT DATE, sum(1 + coalesce(RET, 0)) AS level FROM returns_d GROUP BY DATE)) WHERE r IS NOT NULL""")
 def long_series_return(spark, d):
@@ -359,6 +378,18 @@ def forward_labels_truncated(spark, d):
     return rounded(labels.forward_labels(p.features, p.returns_d, truncated=True))
 
 
+@registered(f"""SELECT q.asof_date AS date, q.permno, CAST(count(r.DATE) AS BIGINT) AS days, round(coalesce(sum(CASE WHEN r.RET > -1 THEN ln(1 + r.RET) END), 0), 9) + 0.0 AS growth
+FROM ratios q LEFT JOIN returns_d r ON r.PERMNO = q.permno AND r.DATE > q.asof_date - 365 AND r.DATE <= q.asof_date GROUP BY 1, 2""")
+def half_open_growth(spark, d):
+    """Returns after the day a year before a snapshot, up to and including its own: differences of running sums at both ends."""
+    p = Panels(spark, d)
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.date_sub("date", 365).alias("at")), F.struct(F.lit(1).alias("end"), F.col("date").alias("at"))))
+    probes = p.features.select("date", "permno", ends.alias("x")).select("date", "permno", "x.end", "x.at")
+    at = lambda c, end: F.max(F.when(F.col("end") == end, F.coalesce(c, F.lit(0))))
+    met = labels.probed_growth(probes, p.returns_d).groupBy("permno", "date")
+    return rounded(met.agg((at("days", 1) - at("days", 0)).cast("bigint").alias("days"), (at("cumlog", 1) - at("cumlog", 0)).alias("growth")).select("date", "permno", "days", "growth"))
+
+
 _IMPUTE = ("GP_AT", "PE", "MB")
 
 
@@ -499,6 +530,18 @@ def performance_report(spark, d):
     return rounded(performance.performance_report(p.daily, p.market))
 
 
+@registered(f"""SELECT model, series, n_days, start_date, {r('avg_daily', 'daily_vol', digits=7)} FROM (SELECT model, series, avg(r) AS avg_daily, stddev_samp(r) AS daily_vol, min(DATE) AS start_date, count(*) AS n_days FROM report_rows GROUP BY 1, 2)""")
+def report_sink(spark, d):
+    """The performance report written as a CSV file with a header, and read again."""
+    p = Panels(spark, d)
+    folder = p._folder("report")
+    S.write_report(performance.performance_report(p.daily, p.market), folder)
+    names = spark.read.option("header", True).csv(folder).columns
+    kinds = {"n_days": "bigint", "start_date": "date", "avg_daily": "double", "daily_vol": "double"}
+    typed = spark.read.option("header", True).schema(", ".join(f"{c} {kinds.get(c, 'string')}" for c in names)).csv(folder)
+    return rounded(typed.select("model", "series", "n_days", "start_date", "avg_daily", "daily_vol"), 7)
+
+
 @registered(f"""SELECT model, series, {r('max_drawdown')}, CASE WHEN max_drawdown < 0 THEN (SELECT min(q.DATE) FROM wealth q WHERE q.model = y.model AND q.series = y.series AND q.DATE <= y.trough AND q.v = y.peak) ELSE first END AS dd_start, CASE WHEN max_drawdown < 0 THEN trough ELSE first END AS dd_end FROM (
 SELECT model, series, min(dd) AS max_drawdown, min(DATE) AS first, arg_min(DATE, (dd, DATE)) AS trough, arg_min(peak, (dd, DATE)) AS peak FROM (SELECT *, v / peak - 1 AS dd FROM (SELECT *, max(v) OVER (PARTITION BY model, series ORDER BY DATE) AS peak FROM wealth)) GROUP BY 1, 2) y""")
 def max_drawdown(spark, d):

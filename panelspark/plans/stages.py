@@ -64,3 +64,14 @@ def bucketed_stage(spark: SparkSession, source: str, name: str, build: Callable[
         rows.write.format("parquet").bucketBy(buckets, key).sortBy(key, order).option("path", f"{shared_dir(spark)}/{known}").saveAsTable(known)
         _WRITTEN[made] = known
     return spark.table(_WRITTEN[made])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written as stages; a later query makes its stages anew."""
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
+        where = _WRITTEN.pop(key)
+        if "/" not in where:  # a table of the catalog
+            spark.sql(f"DROP TABLE IF EXISTS `{where}`")
+            where = f"{shared_dir(spark)}/{where}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

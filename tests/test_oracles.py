@@ -10,7 +10,7 @@ from panelspark.plans import queries as plans
 
 from .conftest import DATA
 
-NAMES = ["ingest_year_derivation", "factor_table", "next_prev_trading_day", "asof_by_key", "fundamental_ratios", "composite_score", "score_dynamics", "investment_ranking", "forward_labels", "decile_selection", "daily_long_short", "performance_stats", "performance_report", "max_drawdown", "hit_rates", "partition_pruned_scan", "cohort_nav", "cohort_nav_carried", "factor_files", "factor_file_rejects", "snapshot_files", "incremental_snapshots", "long_series_return", "impute_with_flags", "ridge_moments", "ridge_ranking_ratios", "ols_factor_report", "rolling_moments", "rolling_alpha"]
+NAMES = ["ingest_year_derivation", "factor_table", "next_prev_trading_day", "asof_by_key", "fundamental_ratios", "composite_score", "score_dynamics", "investment_ranking", "forward_labels", "decile_selection", "daily_long_short", "performance_stats", "performance_report", "max_drawdown", "hit_rates", "partition_pruned_scan", "cohort_nav", "cohort_nav_carried", "factor_files", "factor_file_rejects", "snapshot_files", "incremental_snapshots", "long_series_return", "half_open_growth", "return_series_reader", "text_delisting_returns", "report_sink", "impute_with_flags", "ridge_moments", "ridge_ranking_ratios", "ols_factor_report", "rolling_moments", "rolling_alpha"]
 
 
 @pytest.fixture(scope="module")

@@ -143,3 +143,23 @@ def test_exact_medians(spark):
     for accuracy in (10_000, 20):  # a coarse sketch too
         got = {r.g: (r.med_a, r.med_b) for r in learning.selected_medians(frame, ["g"], ["a", "b"], accuracy).collect()}
         assert got == want
+
+
+def test_released_stages_are_made_anew(spark, tmp_path):
+    from panelspark.plans import stages
+
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    known = dict(stages._WRITTEN)
+    try:
+        stages._WRITTEN.clear()
+        made = stages.stage(spark, path, "copy", lambda: spark.read.parquet(path))
+        bucketed = stages.bucketed_stage(spark, path, "by_id", lambda: spark.read.parquet(path).withColumn("k", F.col("id") % 2), "k", "id")
+        files = made.inputFiles() + bucketed.inputFiles()
+        assert made.count() == bucketed.count() == 5 and len(stages._WRITTEN) == 2
+        stages.release(spark)
+        where = spark._jvm.org.apache.hadoop.fs.Path
+        assert not stages._WRITTEN and not any(where(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(where(f)) for f in files)
+        assert stages.stage(spark, path, "copy", lambda: spark.read.parquet(path)).count() == 5
+    finally:
+        stages._WRITTEN.update(known)
