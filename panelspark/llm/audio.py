@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .blocks import blocks
 from .shared import stored
 
-UNIT, RATE, OUT_RATE, LEVEL = 64, 8000, 16000, 9
+UNIT, RATE, OUT_RATE = 64, 8000, 16000
+#: Of the stored files: zstd level, and bytes that a writer holds before it writes a row group.
+LEVEL, ROW_GROUP = 9, 32 << 20
 MU_LAW, A_LAW, IMA = 7, 6, 17
 #: IMA ADPCM step sizes and index changes.
 IMA_STEPS = np.array(
@@ -134,7 +136,7 @@ def stored_media(docs: DataFrame, law: int = MU_LAW, rate: int = RATE) -> DataFr
                 files.append(wav(raw[a:b] + bytes(max(UNIT, -(-(b - a) // UNIT) * UNIT) - (b - a)), law, rate))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary"), "media", LEVEL)
+    return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary"), "media", LEVEL, ROW_GROUP)
 
 
 def _expanded(law: int, data: np.ndarray) -> np.ndarray:
@@ -157,7 +159,7 @@ def pcm(media: DataFrame, rate: int = OUT_RATE) -> DataFrame:
         for batch, _, _ in blocks(batches, "planes"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unpacked(x.as_py()) for x in batch.column(1)], pa.binary())], names=["doc_id", "pcm"])
 
-    return stored(media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, planes binary"), "pcm", LEVEL).mapInArrow(back, f"doc_id {kind}, pcm binary")
+    return stored(media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, planes binary"), "pcm", LEVEL, ROW_GROUP).mapInArrow(back, f"doc_id {kind}, pcm binary")
 
 
 def _root_mean_square(x: np.ndarray) -> int:
@@ -194,5 +196,5 @@ def digests(media: DataFrame, rate: int = OUT_RATE) -> DataFrame:
 
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     columns = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    out = stored(media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{columns}, planes binary"), "pcm", LEVEL)
+    out = stored(media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{columns}, planes binary"), "pcm", LEVEL, ROW_GROUP)
     return out.mapInArrow(hashed, f"{columns}, pcm_bytes bigint, pcm_sha256 string")

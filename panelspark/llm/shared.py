@@ -28,10 +28,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+def stored(df: DataFrame, name: str, level: int = 3, row_group: int = 128 << 20) -> DataFrame:
     """Write `df` to the shared folder and read it back: this cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.block.size", row_group).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
