@@ -182,7 +182,7 @@ def incremental_snapshots(spark, d):
     rows, folder = p.ratios.select("asof_date", "permno", "MB"), p._folder("incremental")
     S.write_new(rows.where(F.year("asof_date") <= 1998), folder)
     half = rows.where((F.year("asof_date") == 1999) & (F.col("permno") % 2 == 0)).withColumn("_on", F.date_format("asof_date", "yyyy-MM-dd"))
-    half.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_on").parquet(f"{folder}/data")
+    half.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_on").parquet(folder)
     S.write_new(rows, folder)
     return rounded(S.read_new(spark, folder).select("asof_date", "permno", "MB"))
 

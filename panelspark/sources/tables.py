@@ -156,9 +156,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def finished(spark: SparkSession, path: str) -> DataFrame:
     """date, rows: the snapshots that a panel of `write_new` holds in full."""
-    if not _exists(spark, f"{path}/manifest"):
+    if not _exists(spark, f"{path}/_manifest"):
         return spark.createDataFrame([], "date date, rows bigint")
-    return spark.read.schema("date date, rows bigint").parquet(f"{path}/manifest").groupBy("date").agg(F.max("rows").alias("rows"))
+    return spark.read.schema("date date, rows bigint").parquet(f"{path}/_manifest").groupBy("date").agg(F.max("rows").alias("rows"))
 
 
 def write_new(df: DataFrame, path: str, key: str = "asof_date") -> None:
@@ -171,24 +171,24 @@ def write_new(df: DataFrame, path: str, key: str = "asof_date") -> None:
     spark = df.sparkSession
     known = F.broadcast(finished(spark, path).select(F.col("date").alias(key)))  # a row a date
     fresh = df.where(F.col(key).isNotNull()).join(known, key, "left_anti").withColumn("_on", F.date_format(key, "yyyy-MM-dd"))
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_on").parquet(f"{path}/data")
-    written = spark.read.parquet(f"{path}/data") if _any(spark, f"{path}/data") else None
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_on").parquet(path)
+    written = spark.read.parquet(path) if _any(spark, path) else None
     if written is not None:
-        done = written.groupBy(F.col(key).alias("date")).agg(F.count("*").alias("rows")).join(known.withColumnRenamed(key, "date"), "date", "left_anti")
+        done = written.join(known, key, "left_anti").groupBy(F.col(key).alias("date")).agg(F.count("*").alias("rows"))
         done = done.join(F.broadcast(df.select(F.col(key).alias("date")).distinct()), "date", "left_semi")  # not what another run has left half-way
-        done.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+        done.coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
 
 
 def _any(spark: SparkSession, path: str) -> bool:
     """Whether a partitioned table has a partition."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(where) and any(f.isDirectory() for f in files.listStatus(where))
+    return files.exists(where) and any("=" in f.getPath().getName() for f in files.listStatus(where))
 
 
 def read_new(spark: SparkSession, path: str, key: str = "asof_date") -> DataFrame:
     """The finished snapshots of `write_new`'s panel; dates that a run has left half-way do not show."""
-    return spark.read.parquet(f"{path}/data").drop("_on").join(F.broadcast(finished(spark, path).select(F.col("date").alias(key))), key, "left_semi")
+    return spark.read.parquet(path).drop("_on").join(F.broadcast(finished(spark, path).select(F.col("date").alias(key))), key, "left_semi")
 
 
 def write_series(series: DataFrame, path: str) -> None:

@@ -90,7 +90,7 @@ def test_incremental_write_mends_a_half_written_date(spark, tmp_path):
     rows = spark.createDataFrame([(D(2020, 1, d), k, 1.0) for d in (1, 2, 3) for k in range(4)] + [(None, 9, 1.0)], "asof_date date, permno bigint, v double")
     S.write_new(rows.where("asof_date = '2020-01-01'"), path)
     half = rows.where("asof_date = '2020-01-02' and permno < 2").withColumn("_on", F.lit("2020-01-02"))
-    half.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_on").parquet(f"{path}/data")
+    half.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_on").parquet(path)
     assert S.read_new(spark, path).count() == 4  # the half does not show
     S.write_new(rows.withColumn("v", F.col("v") * 2), path)
     got = sorted((r.asof_date.day, r.permno, r.v) for r in S.read_new(spark, path).collect())
