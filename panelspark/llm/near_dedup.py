@@ -221,7 +221,7 @@ def _joined_up(docs: DataFrame, threshold: int, rows: int) -> tuple[DataFrame, D
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "*", F.col("text.doc_id").alias("rep")), "nodes")
     own = described.drop("bands", "sketch")
     worded = meet(own.where("high is not null"), nodes.select("high", "low", "n", "node"), ["high", "low"], ["doc_id", "left"])
-    described = stored(worded.drop("n", "high", "low").unionByName(own.where("high is null").drop("high", "low").withColumn("node", F.lit(None).cast("bigint"))), "described")
+    described = worded.drop("n", "high", "low").unionByName(own.where("high is null").drop("high", "low").withColumn("node", F.lit(None).cast("bigint")))  # read once
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = meet(members, sizes, ["bucket"], ["node"]).where("n is not null")
