@@ -1,10 +1,10 @@
 """Operator 9: best-fit packing with exact-complement hashing.
 
 Pieces differ, for packing, by length alone, so the plan works on the counts of each length (at most `limit` of them).
-The longest piece leaves a gap, whose exact complements are looked up among the sums of one, two and three lengths at
-hand and taken as long as their counts last; what is left goes longest first into the open sequence with the least room
-that holds it. Plans whose complements stop at two lengths, or at one, are made too, and the one of fewest sequences is
-taken. The plan is a list of runs: the pieces of one length, numbered, from one number on, go to
+The longest piece at hand leaves a gap. Best fit fills it with the longest piece that it holds, and so on; where that leaves
+room, the gap's exact complements are looked up among the sums of one, two and three lengths at hand, longest parts first,
+and one is taken instead, as often as its counts last, if its longest part is shorter than best fit's by twice that room
+at most: a filling of many short pieces would spend what later gaps need. The plan is a list of runs: the pieces of one length, numbered, from one number on, go to
 these sequences at this offset. Each task numbers the pieces of each length that it makes; adding the counts of the
 tasks before it gives numbers over the whole table, and each piece reads its place from the plan.
 
@@ -12,8 +12,8 @@ Only counts by (task, length) are shuffled and only counts by length reach the d
 meet the pieces by a join of (task, length), which shuffles pieces (no texts) where the counts are too many to broadcast. The plan's size is bounded by
 the lengths, not by the documents.
 
-Defined results: null text is empty (the end id alone); texts beyond the limit are cut into whole pieces and a last one; of sequences
-with equal room the first made is taken, and of plans with as few sequences the one of longest complements; repeated rows are packed as so many documents; an empty table
+Defined results: null text is empty (the end id alone); texts beyond the limit are cut into whole pieces and a last one; of equal
+pieces the first numbered go first, and of exact complements the one of fewest parts, then of the longest; repeated rows are packed as so many documents; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,109 +39,75 @@ LIMIT = 4096
 _PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, task int, number bigint"
 
 
-def planned(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns and how many sequences follow each; a pattern is a list of (length, how many of it).
-
-    The plan of fewest sequences among fillings of gaps by up to three, two and one lengths.
-    """
-    return min((_filled(counts, limit, most) for most in (3, 2, 1)), key=lambda plan: sum(n for _, n in plan))
-
-
 class Sums:
     """Single, pair and triple sums of the lengths at hand; a gap's exact complements are looked up by sum."""
 
     def __init__(self, left: np.ndarray):
         self.left, self.size = left, 1 << (2 * len(left)).bit_length()
-        self.refresh()
 
     def refresh(self) -> None:
         """Index again which sums two lengths at hand have: the products of the lengths' generating function with itself."""
         self.single = self.left > 0
-        self.single[0] = False
         wave = np.fft.rfft(self.single.astype(float), self.size)
         self.pair = np.fft.irfft(wave * wave, self.size)[: len(self.left)] > 0.5
 
-    def complements(self, gap: int, most: int) -> Iterator[list[int]]:
-        """Lists of one length, then two, then up to `most` that sum to `gap`, longest first."""
-        if self.single[gap]:
-            yield [gap]
-        if most > 1:
-            yield from self._pairs(gap, gap)
-        if most > 2:
-            low = np.arange(1, gap)
-            for b in low[self.single[1:gap] & self.pair[gap - low]][::-1].tolist():
-                for rest in self._pairs(gap - b, b):
-                    yield [b, *rest]
-                    if not self.left[b]:
-                        break
-
-    def _pairs(self, total: int, longest: int) -> Iterator[list[int]]:
+    def complements(self, gap: int, least: int, most: int) -> Iterator[tuple[int, ...]]:
+        """One length, then two, then three that sum to `gap`, falling, the first of `least` to `most`; longest first."""
+        if least <= gap <= most and self.single[gap]:
+            yield (gap,)
+        yield from self._pairs(gap, least, most)
+        first = np.arange(max(least, -(-gap // 3)), min(most, gap - 2) + 1)
+        for x in first[self.single[first] & self.pair[gap - first]][::-1].tolist():
+            for rest in self._pairs(gap - x, 1, x):
+                yield (x, *rest)
+
+    def _pairs(self, total: int, least: int, most: int) -> Iterator[tuple[int, int]]:
         if total < 2 or not self.pair[total]:
             return
-        b = np.arange((total + 1) // 2, min(total - 1, longest) + 1)
-        for x in b[self.single[b] & self.single[total - b]][::-1].tolist():
-            yield [x, total - x]
+        x = np.arange(max(least, (total + 1) // 2), min(total - 1, most) + 1)
+        for y in x[self.single[x] & self.single[total - x]][::-1].tolist():
+            yield y, total - y
 
 
-def _filled(counts: dict[int, int], limit: int, most: int) -> list[tuple[list[tuple[int, int]], int]]:
+def planned(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns and how many sequences follow each; a pattern is a list of (length, how many of it)."""
     left = np.zeros(limit + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
+    left[0] = 0
+    at_hand = np.flatnonzero(left).tolist()
+    sums = Sums(left)
     plan: list[tuple[list[tuple[int, int]], int]] = []
-
-    def take(parts: dict[int, int]) -> None:
+    while at_hand:
+        a = at_hand[-1]
+        parts, room = _best_fit(left, at_hand, limit)
+        if room and len(parts) > 1:
+            sums.refresh()
+            fit = list(parts)[1] if parts[a] == 1 else a
+            for rest in sums.complements(limit - a, max(1, fit - 2 * room), a):
+                exact = Counter((a, *rest))
+                if all(left[x] >= m for x, m in exact.items()):
+                    parts = exact
+                    break
         n = int(min(left[x] // m for x, m in parts.items()))
-        if n:
-            for length, m in parts.items():
-                left[length] -= n * m
-            plan.append((list(parts.items()), n))
-
-    if left[limit]:
-        take({limit: 1})
-    sums = Sums(left)
-    for a in range(limit - 1, 0, -1):
-        if not left[a]:
-            continue
-        for rest in sums.complements(limit - a, most):
-            if max(rest) <= a:
-                parts: dict[int, int] = {}
-                for x in (a, *rest):
-                    parts[x] = parts.get(x, 0) + 1
-                take(parts)
-            if not left[a]:
-                break
-        sums.refresh()
-    room: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
-    rooms: list[int] = []
-
-    def put(r: int, parts: list[tuple[int, int]], n: int) -> None:
-        if r not in room:
-            room[r] = []
-            bisect.insort(rooms, r)
-        room[r].append((parts, n))
-
-    for length in range(limit, 0, -1):
-        n = int(left[length])
-        while n:
-            at = bisect.bisect_left(rooms, length)
-            if at < len(rooms):
-                r = rooms[at]
-                parts, have = room[r].pop()
-                if not room[r]:
-                    del room[r]
-                    rooms.pop(at)
-                each = min(r // length, n)
-                used = min(have, n // each)
-                put(r - each * length, [*parts, (length, each)], used)
-                if have > used:
-                    put(r, parts, have - used)
-                n -= used * each
-            else:
-                each = min(limit // length, n)
-                used = n // each
-                put(limit - each * length, [(length, each)], used)
-                n -= used * each
-    return plan + [x for r in sorted(room) for x in room[r]]
+        for x, m in parts.items():
+            left[x] -= n * m
+            if not left[x]:
+                del at_hand[bisect.bisect_left(at_hand, x)]
+        plan.append((list(parts.items()), n))
+    return plan
+
+
+def _best_fit(left: np.ndarray, at_hand: list[int], limit: int) -> tuple[dict[int, int], int]:
+    """How many of each length the longest piece's sequence gets by best fit, longest first, and the room that stays."""
+    parts: dict[int, int] = {}
+    room, k = limit, len(at_hand)
+    while k and room:
+        x = at_hand[k - 1]
+        parts[x] = min(room // x, int(left[x]))
+        room -= parts[x] * x
+        k = bisect.bisect_right(at_hand, room, 0, k - 1)
+    return parts, room
 
 
 class Runs:

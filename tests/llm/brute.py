@@ -162,3 +162,13 @@ def em(rows, rounds=500):
             break
         before = now
     return [q[0] for q in p]
+
+
+def sequences_needed(counts, limit):
+    """A lower bound: pieces over half need one each; of the rest those from k on fit no gap of pieces over limit - k."""
+    most = 0
+    for k in range(1, limit // 2 + 1):
+        free = sum((limit - x) * counts.get(x, 0) for x in range(limit // 2 + 1, limit - k + 1))
+        small = sum(x * counts.get(x, 0) for x in range(k, limit // 2 + 1))
+        most = max(most, -((free - small) // limit))
+    return most + sum(n for x, n in counts.items() if x > limit // 2)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -427,12 +428,40 @@ def test_packing_plan(seed):
     assert used == counts and sum(n for _, n in plan) <= len(room)
 
 
+@pytest.mark.parametrize("most", [1500, 4096])
+def test_packing_of_many_lengths(most):
+    """Random counts at all lengths, within half a percent of what any plan needs."""
+    counts = dict(enumerate(np.random.default_rng(most).integers(1, 100_000, most).tolist(), 1))
+    plan = packing.planned(counts)
+    used: Counter = Counter()
+    for parts, n in plan:
+        assert sum(x * m for x, m in parts) <= 4096
+        for x, m in parts:
+            used[x] += m * n
+    assert used == counts and sum(n for _, n in plan) <= 1.005 * brute.sequences_needed(counts, 4096)
+    assert any(sum(m for _, m in parts) == 4 and sum(x * m for x, m in parts) == 4096 for parts, _ in plan)
+
+
+def test_exact_complements():
+    # a gap of 48: best fit takes 21 and 20; 20, 17 and 11 fill it
+    assert packing.planned({52: 2, 21: 2, 20: 2, 17: 2, 11: 2}, 100)[0] == ([(52, 1), (20, 1), (17, 1), (11, 1)], 2)
+    # a gap of 40: best fit takes 33; 25 and 15 fill it
+    assert packing.planned({60: 3, 33: 1, 25: 2, 15: 5}, 100)[0] == ([(60, 1), (25, 1), (15, 1)], 2)
+    assert packing.planned({}, 100) == [] and packing.planned({100: 7}, 100) == [([(100, 1)], 7)]
+    assert packing.planned({1: 250}, 100) == [([(1, 100)], 2), ([(1, 50)], 1)]
+
+
 def test_packing(spark, edge, docs):
     lib = tokens.library(WORDS)
     for frame in (edge, docs):
         got = packing.packed(frame, WORDS, limit=512).toPandas()
-        want = sorted(len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in frame.collect())
-        assert got.length.sum() == sum(want) and got.length.max() <= 512
+        want: Counter = Counter()
+        for r in frame.collect():
+            ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 1]
+            cuts = [np.array(ids[a : a + 512], "<u4") for a in range(0, len(ids), 512)]
+            want.update((r.doc_id, k, 512 * k, len(cut), zlib.crc32(cut)) for k, cut in enumerate(cuts))
+        key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        assert Counter(tuple(None if x != x else int(x) for x in row) for row in got[key].itertuples(index=False)) == want
         ordered = got.sort_values(["sequence_id", "offset"])
         assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all() and ordered.groupby("sequence_id").length.sum().max() <= 512
     assert packing.packed(edge.limit(0), WORDS).count() == 0
