@@ -11,7 +11,8 @@ that grow with the pages; no number of pages is treated apart.
 A block's importance is its node's, and a term for what its elements are called: an article's are worth more; those of
 menus, footers, asides, forms, adverts and notices less, and readers' comments least, since no entropy tells them from an
 article's text. A name counts from the element that has it down to the next that has one, which outweighs it; words
-inside longer names count little. Blocks of low importance, and so branches that have no others, are cut from the page.
+inside longer names count little. A boilerplate class, or a form, that holds over half of a page's text says less the more
+it holds, and nothing of a whole page; an aside whose class names no boilerplate counts half. Blocks of low importance, and so branches that have no others, are cut from the page.
 
 Only counts are shuffled for the trees; pages' paths meet the importance of theirs by a join on (host, path), and each
 page gets the list of its own paths to cut. No group is larger than a page. A host that holds a large share of all pages
@@ -60,9 +61,10 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _WORD = re.compile(r"[A-Za-z]+")
 
 
-def _worth(element: str, names: list[str], outer: float) -> float:
-    """What a block inside this element is called, given what it is called outside."""
-    own = ARTICLE if element in MAIN else BOILERPLATE if element in PLAIN or element == "header" and outer <= 0 else 0.0
+def _worth(element: str, names: list[str], outer: float, share: float) -> float:
+    """What a block inside this element is called, given what it is called outside and the element's share of the page's text."""
+    fades = min(1.0, 2 * (1 - share))
+    own = ARTICLE if element in MAIN else BOILERPLATE * (fades if element == "form" else 1.0) if element in PLAIN or element == "header" and outer <= 0 else 0.0
     talk = plain = fits = inside = False
     for name in names:
         words = set(_WORD.findall(name.lower()))
@@ -77,16 +79,20 @@ def _worth(element: str, names: list[str], outer: float) -> float:
             inside = True
         elif words & FIT and not words - FIT - EMPTY or words == {"main"}:
             fits = True
-    own += COMMENT * talk + BOILERPLATE * plain + FITTING * (fits and not plain and not talk)
+    if element == "aside" and names and not (talk or plain or inside):
+        own /= 2
+    own += COMMENT * talk + BOILERPLATE * fades * plain + FITTING * (fits and not plain and not talk)
     weak = INSIDE * inside
     return (own + LEFT * outer if abs(own) > FITTING else own + outer) + weak
 
 
 def blocks_of(page: str | None) -> tuple[list[tuple[str, str, float]], dict[str, list[str]]]:
     """(path, text, worth of names) of each block of text in order, and the child elements of each path's nodes, in words."""
-    out: list[tuple[str, str, float]] = []
+    out: list[tuple[str, str, int]] = []
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, float, bool]] = [("", "", 0.0, False)]  # element, path, worth, silent
+    opened: list[tuple[int, str, list[str]]] = [(0, "", [])]  # the element around each, its element, its names
+    size: list[int] = [0]
+    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # element, path, number, silent
     parts: list[str] = []
     page = page or ""
 
@@ -94,9 +100,10 @@ def blocks_of(page: str | None) -> tuple[list[tuple[str, str, float]], dict[str,
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
-            _, path, worth, silent = stack[-1]
+            _, path, number, silent = stack[-1]
             if text and not silent:
-                out.append((path, text, worth))
+                out.append((path, text, number))
+                size[number] += len(text)
 
     at = 0
     while True:
@@ -141,11 +148,18 @@ def blocks_of(page: str | None) -> tuple[list[tuple[str, str, float]], dict[str,
             names += value.split()
             if kind.lower() == "class" and value.split():
                 first = "." + value.split()[0].replace("/", "|")
-        _, path, worth, silent = stack[-1]
+        _, path, number, silent = stack[-1]
         children.setdefault(path, []).append(name + first)
-        stack.append((name, f"{path}/{name}{first}", _worth(name, names, worth), silent or name in SILENT))
+        stack.append((name, f"{path}/{name}{first}", len(opened), silent or name in SILENT))
+        opened.append((number, name, names))
+        size.append(0)
     flush()
-    return out, children
+    for k in range(len(opened) - 1, 0, -1):
+        size[opened[k][0]] += size[k]
+    worth = [0.0]
+    for (around, name, names), held in zip(opened[1:], size[1:], strict=True):
+        worth.append(_worth(name, names, worth[around], held / max(size[0], 1)))
+    return [(path, text, worth[number]) for path, text, number in out], children
 
 
 #: Which open elements a start tag ends, and where the search for them stops.

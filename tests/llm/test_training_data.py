@@ -570,6 +570,21 @@ def test_names_around_an_article_do_not_cut_it(spark, before, after):
         assert len(got) == n and all(r.text == f"Title\n\nText {r.page_id}, and more of it." for r in got)
 
 
+def test_boilerplate_names_around_a_whole_page_say_nothing(spark):
+    text = "<h1>Title {}</h1><p>Text {}, and more of it.</p>"
+    quote = "<aside class='pullquote'><p>Quote {} of it</p></aside>"
+    shapes = [
+        (f"<div class='promo-page'><div class='promotion'>{text}</div></div>", "Title {}\n\nText {}, and more of it."),
+        (f"<form class='search'>{text}</form>", "Title {}\n\nText {}, and more of it."),
+        (f"<article>{text}{quote}</article><aside><p>See also {{}}</p></aside>", "Title {}\n\nText {}, and more of it.\n\nQuote {} of it"),
+        ("<nav class='menu'><ul><li>Home</ul></nav>", ""),
+    ]
+    for n in (1, 30):
+        rows = [(100 * k + i, f"http://h{k}.example/{i}", f"<html><body>{page}</body></html>".replace("{}", str(i))) for k, (page, _) in enumerate(shapes) for i in range(n)]
+        got = main_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r.page_id: r.text for r in got} == {100 * k + i: want.replace("{}", str(i)) for k, (_, want) in enumerate(shapes) for i in range(n)}
+
+
 def test_articles_that_every_page_repeats_stay(spark):
     rows = [(i, f"http://h.example/{i % 2}", "<body><nav><ul><li>Home<li>News</ul></nav><article><h1>A</h1><div><p>One and the same text.</p></div></article><footer>Us</footer>") for i in range(40)]
     got = main_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
