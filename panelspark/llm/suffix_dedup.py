@@ -16,7 +16,8 @@ Corpus order. What is left are different extended phrases with the same end: of
 (from their ends) and one of the parse after them (its next 199 bytes), both with their common prefixes, are made by comparing
 bytes. For each length of a phrase's suffix, (class in the one, class in the other) is the corpus order cut at 200
 bytes: neighbours of equal rank are repeated. Rows meet sorted by phrase end, many ends in a block. An end that more
-than LARGE extended phrases share is never brought together: its strings are counted one by one by 128-bit hashes.
+than LARGE extended phrases share is never brought together: stretches of its strings are counted by 128-bit hashes, and
+one by one only those strings whose stretch has company by the bytes in common, but is not met again (`_of_large_ends`).
 
 So the highly repetitive part of a corpus costs its distinct phrases, and the rest one small row a phrase. Copies of whole
 texts are known by a 128-bit hash of the text: all of them are decided, and one stands for them in the comparison.
@@ -45,6 +46,8 @@ from .shared import meet, stored, whole_text
 WIDTH, TRIGGER, SPARSE, DENSE, REACH = 200, 12, 64, 16, 150
 #: Extended phrases of one end that one task compares, rows of a block, and texts of a list that is broadcast.
 LARGE, BLOCK, LISTED = 2_000, 20_000, 2_000_000
+#: Lengths of a phrase's suffix in a stretch: about the root of how many a phrase has.
+STEP = 10
 _FAR = 1 << 60
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict[int, list[np.ndarray]] = {}
@@ -266,22 +269,63 @@ def _in_corpus_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield compared(held)
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a stretch of STEP lengths of a phrase's suffix: those that the phrase has, the bytes that any strings of the
+    stretch have in common, all bytes of its strings, and its weight."""
+    for batch in batches:
+        left, right, single = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("left", "right", "single"))
+        row, lo, hi, core, text = [], [], [], [], []
+        for i, (a, b) in enumerate(zip(left, right)):
+            at, least, whole = len(a), WIDTH - len(b), a + b
+            for begin in range((least - 1) // STEP * STEP + 1, at + 1, STEP):
+                row.append(i)
+                lo.append(max(begin, least))
+                hi.append(min(begin + STEP - 1, at))
+                core.append(whole[at - begin : at - begin + WIDTH - STEP + 1])
+                text.append(whole[at - hi[-1] : at - lo[-1] + WIDTH])
+        weight = np.where(np.array(single, bool), 1, 2)[np.array(row, np.int64)]
+        yield pa.RecordBatch.from_arrays([*_taken(batch, ("d", "e", "k"), np.array(row, np.int64)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(core, pa.binary()), pa.array(text, pa.binary()), pa.array(weight, pa.int64())], ["d", "e", "k", "lo", "hi", "core", "text", "n"])
+
+
 def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a string: its phrase, the length of the phrase's suffix, 128 bits of hash, and its weight."""
+    """A row a string of a stretch: its phrase, the length of the phrase's suffix, 128 bits of hash, and its weight."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        left, right, single = (batch.column(batch.schema.get_field_index(n)) for n in ("left", "right", "single"))
-        whole = [a + b for a, b in zip(left.to_pylist(), right.to_pylist())]
-        lefts, sizes = np.array([len(x) for x in left.to_pylist()]), np.array([len(x) for x in whole])
+        hi, text = (batch.column(batch.schema.get_field_index(n)) for n in ("hi", "text"))
+        whole = text.to_pylist()
+        sizes = np.array([len(x) for x in whole])
         data = np.frombuffer(b"".join(whole), np.uint8)
         n = sizes - WIDTH + 1
         row = np.repeat(np.arange(len(n)), n)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begin = place + np.repeat(np.cumsum(sizes) - sizes, n)
         hashes = [_Hash(data, b)(begin, begin + WIDTH) for b in _BASES]
-        weight = np.where(single.to_numpy(zero_copy_only=False), 1, 2)[row]
-        yield pa.RecordBatch.from_arrays([*_taken(batch, ("d", "e", "k"), row), pa.array(lefts[row] - place, pa.int32()), *map(_signed, hashes), pa.array(weight, pa.int64())], ["d", "e", "k", "a", "h1", "h2", "n"])
+        yield pa.RecordBatch.from_arrays([*_taken(batch, ("d", "e", "k"), row), pa.array(hi.to_numpy()[row] - place, pa.int32()), *map(_signed, hashes), *_taken(batch, ("n",), row)], ["d", "e", "k", "a", "h1", "h2", "n"])
+
+
+def _of_large_ends(spelled: DataFrame) -> DataFrame:
+    """d, e, k, a: the suffixes of single phrases whose strings start elsewhere too, without bringing an end together.
+
+    Equal strings lie in the same stretch of their phrases, and have its core. A core met once so has no repeated string,
+    and a stretch met twice nothing else; only the different stretches of one core are counted string by string, of each one.
+    Strings met once are told by the sums themselves, and what is not met once repeats: no string meets its count.
+    """
+    stretches = spelled.mapInArrow(_stretches, "d bigint, e bigint, k int, lo int, hi int, core binary, text binary, n bigint")
+    hashed = [F.xxhash64(*seed, x).alias(f"{x}{i}") for x in ("core", "text") for i, seed in ((1, ()), (2, (F.lit(7),)))]
+    kinds = stretches.select("*", *hashed).groupBy("core1", "core2", "text1", "text2")
+    kinds = stored(kinds.agg(F.sum("n").alias("met"), F.min(F.struct("d", "e", "k", "lo", "hi", "text")).alias("where")), "stretches")
+    cores = stored(kinds.groupBy("core1", "core2").agg(F.count("*").alias("n")), "cores")
+    known = stored(meet(kinds, cores, ["core1", "core2"], ["text1"]).select("where.*", "met", "n"), "known-stretches")
+
+    strings = known.where("n > 1").select("d", "e", "k", "hi", "text", F.least("met", F.lit(2)).alias("n")).mapInArrow(_one_by_one, "d bigint, e bigint, k int, a int, h1 bigint, h2 bigint, n bigint")
+    strings = strings.groupBy("h1", "h2").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("d", "e", "k", "a")]).where("n = 1")
+    once = strings.select("d", "e", "k", F.col("a").alias("lo"), F.col("a").alias("hi")).union(known.where("n = 1 and met = 1").select("d", "e", "k", "lo", "hi"))
+    every = F.sequence((WIDTH - F.octet_length("right")), F.octet_length("left"))
+    rows = spelled.where("single").select("d", "e", "k", every.alias("every"), F.lit(None).cast("array<int>").alias("once"))
+    rows = rows.union(once.select("d", "e", "k", F.lit(None).cast("array<int>"), F.sequence("lo", "hi"))).groupBy("d", "e", "k")
+    repeated = rows.agg(F.array_except(F.max("every"), F.flatten(F.collect_list("once"))).alias("a"))
+    return repeated.where(F.size("a") > 0)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +398,7 @@ def repeated_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spelled = compared.select("d", "e", "text").join(asked, ["d", "e"]).mapInArrow(_spelled, "d bigint, e bigint, k int, end bigint, single boolean, large boolean, left binary, right binary")
     spelled = stored(spelled, "extended-phrases")
     parts = spelled.where("not large").repartition("end").sortWithinPartitions("end").mapInArrow(_in_corpus_order, "d bigint, e bigint, k int, a array<int>")
-    strings = spelled.where("large").mapInArrow(_one_by_one, "d bigint, e bigint, k int, a int, h1 bigint, h2 bigint, n bigint")
-    often = stored(strings.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1"), "strings")
-    single = strings.where("n = 1").drop("n")
-    large = meet(single, often, ["h1", "h2"], ["d", "k", "a"]).where("n is not null").groupBy("d", "e", "k").agg(F.collect_set("a").alias("a"))
+    large = _of_large_ends(spelled.where("large"))
     parts = parts.union(large.select("d", "e", "k", "a")).groupBy("d", "e").agg(F.collect_list(F.struct("k", "a")).alias("parts"))
     return state, compared, deep.join(parts, ["d", "e"], "full")
 

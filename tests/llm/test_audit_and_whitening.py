@@ -65,6 +65,45 @@ def test_repeats_of_a_hot_passage_list_beyond_the_broadcast(spark, monkeypatch):
     assert suffix_dedup.without_repeats(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["passage", "near copies"])
+def test_a_large_end_makes_few_rows_a_phrase(spark, monkeypatch, kind):
+    monkeypatch.setattr(suffix_dedup, "LARGE", 40)
+    rnd = random.Random(7)
+    some = lambda n: "".join(rnd.choices("abcdefghijklmnop ", k=n))
+    hot = some(400)
+    docs = [some(300) + hot + some(300) if kind == "passage" else "".join(some(1) if rnd.random() < 0.004 else c for c in hot + hot[::-1]) for _ in range(150)]
+    docs += [docs[0][250:], hot[:230], hot[30:] + some(40), docs[1]]
+    made = Counter()  # strings of large ends, and rows that a join or a count gives back
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    mapped, met, stored = type(frame).mapInArrow, suffix_dedup.meet, suffix_dedup.stored
+
+    def counted(self, f, *args, **more):
+        out = mapped(self, f, *args, **more)
+        if f is suffix_dedup._one_by_one:
+            made["strings"] += out.count()
+        return out
+
+    def meeting(rows, groups, keys, apart):
+        if keys not in (["end"], ["d"], ["e1", "e2"]):
+            made["met"] += rows.count()
+        return met(rows, groups, keys, apart)
+
+    def storing(out, name, *args):
+        out = stored(out, name, *args)
+        if name == "extended-phrases":
+            made["phrases"] = out.where("large").count()
+            made["all"] = out.where("large").selectExpr("octet_length(left) + octet_length(right) - 199 AS n").groupBy().sum("n").first()[0]
+        return out
+
+    monkeypatch.setattr(type(frame), "mapInArrow", counted)
+    monkeypatch.setattr(suffix_dedup, "meet", meeting)
+    monkeypatch.setattr(suffix_dedup, "stored", storing)
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.digests(suffix_dedup.without_repeats(frame)).collect()}
+    assert got == dict(enumerate(repeats(docs)))
+    assert made["all"] > 50 * made["phrases"] > 50 * 150, made
+    assert made["strings"] + made["met"] < 0.5 * made["all"], made  # string by string: once to count, and once to meet the count
+
+
 def test_repeats_with_null_and_repeated_ids(spark):
     rnd = random.Random(6)
     text = "".join(rnd.choices("abcdefgh ", k=300))
