@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import forget, meet, stored
+from .shared import counted, forget, measured, meet, stored
 
 MIN_LINES, MIN_CHARS = 2, 100
 BLANK = " \t\r\f\v"
@@ -63,28 +63,30 @@ def _few(df: DataFrame, rows: int | None) -> DataFrame:
     return df if rows is None else df.coalesce(max(8, rows // 50_000 + 1))
 
 
-def _grouped(rows: DataFrame, keys: list[str], most_rows: int | None, in_order: bool) -> DataFrame:
-    """`rows` with rank, n and first of their key where two rows or more have it (else null); ranks tell keys apart, or follow their order too."""
+def _grouped(rows: DataFrame, keys: list[str], most_rows: int | None, in_order: bool) -> tuple[DataFrame, int]:
+    """`rows` with rank, n and first of their key where two rows or more have it (else null), and how many have one; ranks tell keys apart, or follow their order too."""
     groups = _few(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*AT)).alias("first")).where("n > 1"), most_rows)
-    groups = stored(_few((groups.orderBy(*keys) if in_order else groups).withColumn("rank", F.monotonically_increasing_id()), most_rows), "ranks")
-    return _few(meet(rows, groups, keys, list(AT)), most_rows)
+    groups, counts = counted(_few((groups.orderBy(*keys) if in_order else groups).withColumn("rank", F.monotonically_increasing_id()), most_rows), "ranks")
+    return _few(meet(rows, groups, keys, list(AT), counts), most_rows), counts["total"]
 
 
-def _level(pairs: DataFrame, most_rows: int | None) -> DataFrame:
-    """The suffixes that share a rank, and whether an earlier one has it."""
-    shared = _grouped(pairs, ["left", "right"], most_rows, True).where("n is not null")
-    return stored(shared.select(*AT, "line", "long", "rank", (~F.struct(*AT).eqNullSafe(F.col("first"))).alias("later")), "suffixes")
+def _level(pairs: DataFrame, most_rows: int | None) -> tuple[DataFrame | None, int]:
+    """The suffixes that share a rank, and whether an earlier one has it; how many they are (no table where there are none)."""
+    shared, rows = _grouped(pairs, ["left", "right"], most_rows, True)
+    shared = shared.where("n is not null").select(*AT, "line", "long", "rank", (~F.struct(*AT).eqNullSafe(F.col("first"))).alias("later"))
+    return (stored(shared, "suffixes") if rows else None), rows
 
 
 def levels(docs: DataFrame, min_chars: int = MIN_CHARS) -> list[DataFrame]:
     """For the first 1, 2, 4, ... lines, the suffixes in LCP intervals of that depth."""
-    found = [_level(suffixes(docs, min_chars), None)]
-    while rows := found[-1].count():
+    found, (level, rows) = [], _level(suffixes(docs, min_chars), None)
+    while rows:
+        found.append(level)
         step = 1 << len(found) - 1
         on = W.partitionBy("d", "e").orderBy("pos").rangeBetween(step, step)
-        pairs = found[-1].select(*AT, "line", "long", F.col("rank").alias("left"), F.first("rank").over(on).alias("right")).where("right is not null")
-        found.append(_level(_few(pairs, rows), rows))
-    return found[:-1]
+        pairs = level.select(*AT, "line", "long", F.col("rank").alias("left"), F.first("rank").over(on).alias("right")).where("right is not null")
+        level, rows = _level(_few(pairs, rows), rows)
+    return found
 
 
 _STATE = [*AT, "line", "long", "kind", "rank", "depth", "lead", "size"]
@@ -103,13 +105,14 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             after = found[j].select("d", "e", (F.col("pos")).alias("at"), F.col("rank").alias("next"))
             on = _few(state.withColumn("at", F.col("pos") + F.col("depth")).join(after, ["d", "e", "at"], "left").drop("at"), rows)
             # a null marks a suffix that no other follows: the only one of its part
-            parts = _grouped(on.withColumnRenamed("rank", "above").withColumn("next", F.coalesce("next", -F.lit(1) - F.xxhash64(*AT).bitwiseAND(F.lit((1 << 62) - 1)))), ["kind", "above", "next"], rows, False)
+            parts, _ = _grouped(on.withColumnRenamed("rank", "above").withColumn("next", F.coalesce("next", -F.lit(1) - F.xxhash64(*AT).bitwiseAND(F.lit((1 << 62) - 1)))), ["kind", "above", "next"], rows, False)
             first = F.col("n").isNull() | F.struct(*AT).eqNullSafe(F.col("first"))
             deeper = parts.where("n is not null").select(*AT, "line", "long", F.lit(2 * j + 1).alias("kind"), "rank", (F.col("depth") + (1 << j)).alias("depth"), first.alias("lead"), F.col("n").alias("size"))
             same = parts.where(first & ~F.coalesce(F.col("n") == F.col("size"), F.lit(False))).select(*AT, "line", "long", "kind", F.col("above").alias("rank"), "depth", "lead", F.lit(None).cast("bigint").alias("size"))
             new = new.select(*_STATE).union(deeper.select(*_STATE)).union(same.select(*_STATE))
-        before, state = state, stored(new.select(*_STATE), "intervals")
-        rows = state.count()
+        before = state
+        state, seen = measured(new.select(*_STATE), "intervals", rows=F.count(F.lit(1)))
+        rows = seen["rows"]
         if before is not None:
             forget(before)
     if state is None:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import LOWER, blocks, document_of, mixed, span_hashes, spans
-from .shared import HOT, forget, meet, stored
+from .shared import HOT, counted, forget, measured, meet, stored
 
 WIDTH, BINS, ROWS, SKETCH = 5, 128, 4, 512
 _ODD = mixed(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | np.uint64(1)
@@ -154,21 +154,20 @@ def _linked(threshold: int):
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Node and its component's least node, for every node of `links`, by alternating large-star and small-star steps."""
-    edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    sums = {"n": F.count(F.lit(1)), "hashes": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    edges, now = measured(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", **sums)
     previous = None
-    while True:
+    while previous != now and now["n"]:
+        previous = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        sums = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after, now = measured(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **sums)
         forget(edges)
         edges = after
-        if previous == sums:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        previous = sums
+    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, rows: int = ROWS) -> DataFrame:
@@ -218,35 +217,36 @@ def _joined_up(docs: DataFrame, threshold: int, rows: int) -> tuple[DataFrame, D
     text = F.struct("doc_id", "left", "right")  # nulls come last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), text.alias("of")))
     nodes = described.where("high is not null").groupBy("high", "low").agg(F.count("*").alias("n"), first["of"].alias("text"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "*", F.col("text.doc_id").alias("rep")), "nodes")
+    nodes, counts = counted(nodes.select(F.monotonically_increasing_id().alias("node"), "*", F.col("text.doc_id").alias("rep")), "nodes")
     own = described.drop("bands", "sketch")
-    worded = meet(own.where("high is not null"), nodes.select("high", "low", "n", "node"), ["high", "low"], ["doc_id", "left"])
+    worded = meet(own.where("high is not null"), nodes.select("high", "low", "n", "node"), ["high", "low"], ["doc_id", "left"], counts)
     described = worded.drop("n", "high", "low").unionByName(own.where("high is null").drop("high", "low").withColumn("node", F.lit(None).cast("bigint")))  # read once
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = meet(members, sizes, ["bucket"], ["node"]).where("n is not null")
+    sizes, counts = counted(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = meet(members, sizes, ["bucket"], ["node"], counts).where("n is not null")
     central = shared.groupBy("node").agg(F.sum("n").alias("central"))
     crowd = stored(shared.join(central, "node"), "buckets")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * threshold
     first = F.struct("central", "node")
-    hubs = stored(crowd.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), first).alias("h"), F.count("*").alias("n")).select("bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "n"), "hubs")
+    hubs, counts = counted(crowd.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), first).alias("h"), F.count("*").alias("n")).select("bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "n"), "hubs")
     sets = _sets(docs, nodes.join(central.select("node"), "node", "left_semi"))
-    star = meet(crowd.drop("n"), hubs, ["bucket"], ["node"]).where((F.col("node") != F.col("hub")) & fits("size", "hub_size"))
-    checked = _checked(sets, _pairs(star, "node", "hub").distinct(), threshold)
+    star = meet(crowd.drop("n"), hubs, ["bucket"], ["node"], counts).where((F.col("node") != F.col("hub")) & fits("size", "hub_size"))
+    checked, _ = _checked(sets, _pairs(star, "node", "hub").distinct(), threshold)
     found = _found(checked)
     # Buckets of three and more that still hold several components: a second hub from those that the first did not link.
     known, out = _open(crowd, hubs, found)
-    one = stored(out.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "component"), first).alias("h"), F.max("n").alias("n")).select("bucket", F.col("h.node").alias("one"), F.col("h.size").alias("one_size"), F.col("h.component").alias("one_component"), "n"), "second")
-    cross = meet(known.drop("n"), one, ["bucket"], ["node"]).where((F.col("one").isNotNull()) & (F.col("component") != F.col("one_component")) & fits("size", "one_size"))
-    more = _checked(sets, _fresh(cross, checked), threshold)
-    checked = checked.union(more)
-    if more.where("linked").limit(1).count():
-        found = _found(checked)
-    # Then, exactly: what is still outside the hub's component against all others of the hub's buckets.
-    more = _checked(sets, _fresh(_beside(sets, nodes, *_open(crowd, hubs, found), hubs, threshold), checked), threshold)
-    checked = checked.union(more)
-    if more.where("linked").limit(1).count():
-        found = _found(checked)
+    one, counts = counted(out.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "component"), first).alias("h"), F.max("n").alias("n")).select("bucket", F.col("h.node").alias("one"), F.col("h.size").alias("one_size"), F.col("h.component").alias("one_component"), "n"), "second")
+    if counts["rows"]:  # else every member is in its hub's component
+        cross = meet(known.drop("n"), one, ["bucket"], ["node"], counts).where((F.col("one").isNotNull()) & (F.col("component") != F.col("one_component")) & fits("size", "one_size"))
+        more, links = _checked(sets, _fresh(cross, checked), threshold)
+        checked = checked.union(more)
+        if links:
+            found = _found(checked)
+            known, out = _open(crowd, hubs, found)
+        # Then, exactly: what is still outside the hub's component against all others of the hub's buckets.
+        more, links = _checked(sets, _fresh(_beside(sets, nodes, known, out, hubs, threshold), checked), threshold)
+        if links:
+            found = _found(checked.union(more))
     return described, nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -266,8 +266,8 @@ def _open(crowd: DataFrame, hubs: DataFrame, found: DataFrame) -> tuple[DataFram
     """The members of buckets of three and more with their components, and those outside their hub's component."""
     known = crowd.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_hub = hubs.where("n > 2").join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    of_hub = stored(of_hub.select("bucket", F.coalesce("hub_component", "hub").alias("hub_component"), F.col("n").alias("n")), "hubs")
-    return known, meet(known.drop("n"), of_hub, ["bucket"], ["node"]).where("component <> hub_component").select(*known.columns)
+    of_hub, counts = counted(of_hub.select("bucket", F.coalesce("hub_component", "hub").alias("hub_component"), F.col("n").alias("n")), "hubs")
+    return known, meet(known.drop("n"), of_hub, ["bucket"], ["node"], counts).where("component <> hub_component").select(*known.columns)
 
 
 def _beside(sets: DataFrame, nodes: DataFrame, known: DataFrame, out: DataFrame, hubs: DataFrame, threshold: int) -> DataFrame:
@@ -341,17 +341,25 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(_sets_of, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
 
 
-def _checked(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """a, b, linked: each pair of nodes confirmed on their full sets."""
-    pairs = stored(pairs, "pairs")
-    both = _with_sets(_with_sets(pairs, pairs, sets, "a"), pairs, sets, "b").select("a", "b", "sa", "sb")
-    return stored(both.mapInArrow(_linked(threshold), "a bigint, b bigint, linked boolean"), "checked")
+def _checked(sets: DataFrame, pairs: DataFrame, threshold: int) -> tuple[DataFrame, int]:
+    """a, b, linked: each pair of nodes confirmed on their full sets; how many are linked."""
+    pairs, seen = measured(pairs, "pairs", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return pairs.select("a", "b", F.lit(False).alias("linked")), 0
+    both = _with_sets(_with_sets(pairs, pairs, seen["n"], sets, "a"), pairs, seen["n"], sets, "b").select("a", "b", "sa", "sb")
+    checked, seen = measured(both.mapInArrow(_linked(threshold), "a bigint, b bigint, linked boolean"), "checked", links=F.count_if("linked"))
+    return checked, seen["links"]
 
 
-def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+def _with_sets(rows: DataFrame, pairs: DataFrame, n_pairs: int, sets: DataFrame, side: str) -> DataFrame:
     """`rows` with the sets of their `side`. A node in more than one HOT-th of the pairs has its rows dealt to parts of that size, each with a copy of the set."""
-    most = max(pairs.count() // HOT, 1000)
-    hot = stored(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col(side).alias("node"), F.ceil(F.col("n") / most).cast("int").alias("parts")).coalesce(1), "hot")  # fewer than HOT rows
+    most = max(n_pairs // HOT, 1000)
+    plain = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
+    if n_pairs <= most:  # no node can be in more
+        return rows.join(plain, side)
+    hot, seen = measured(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col(side).alias("node"), F.ceil(F.col("n") / most).cast("int").alias("parts")).coalesce(1), "hot", rows=F.count(F.lit(1)))  # fewer than HOT rows
+    if not seen["rows"]:
+        return rows.join(plain, side)
     dealt = rows.join(F.broadcast(hot.withColumnRenamed("node", side)), side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     copies = sets.join(F.broadcast(hot), "node", "left").select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     return dealt.join(copies, [side, "part"]).drop("part")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import packing, quality_classifier, tokens
+from panelspark.llm import line_dedup, near_dedup, packing, quality_classifier, shared, tokens
 from panelspark.llm.shared import table
 
 from . import brute
@@ -95,6 +95,34 @@ def test_near_duplicate_stage(spark, frame, stages):
     assert bag(r for r in got.collect() if not (r.text and r.text.split())) == bag(wordless)
 
 
+def test_dedup_stages_take_few_jobs(spark):
+    """The driver holds threads, plans and metrics of each job: 130 and 155 of them took it beyond its memory when stages ran again and again."""
+    docs = table(spark, SMALL, "documents")
+    for stage, most in ((line_dedup.without_repeated_lines, 100), (near_dedup.one_of_each, 80)):
+        spark.sparkContext.setJobGroup(stage.__name__, "jobs of a stage")
+        try:
+            assert stage(docs).count()
+        finally:
+            spark.sparkContext.setJobGroup(None, None)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(stage.__name__)) < most
+
+
+@pytest.mark.parametrize("largest", [shared.LIGHT, shared.LIGHT + 1])
+def test_rows_meet_their_groups_by_counts(spark, largest):
+    """One join where no key has many rows, two where one has; the same rows as without the counts."""
+    rows = spark.range(largest).select(F.lit(7).cast("bigint").alias("key"), F.col("id").alias("row")).union(spark.range(40).selectExpr("id div 2 + 10", "id + 1000")).union(spark.range(5).selectExpr("id + 100", "id + 2000"))
+    groups, counts = shared.counted(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("least")).where("n > 1"), "groups")
+    assert counts == {"rows": 21, "total": largest + 40, "most": largest}
+    got = shared.meet(rows, groups, ["key"], ["row"], counts)
+    assert got.columns == ["row", "key", "n", "least"] and bag(got.collect()) == bag(shared.meet(rows, groups, ["key"], ["row"]).collect())
+    assert bag(got.collect()) == bag(rows.join(groups, "key", "left").select(*got.columns).collect())
+
+
+def test_measures_of_no_rows(spark):
+    none, counts = shared.counted(spark.range(9).selectExpr("id AS key", "id AS n").where("n < 0"), "none")
+    assert none.count() == 0 and counts == {"rows": 0, "total": 0, "most": 0}
+
+
 @pytest.mark.parametrize("whole", [True, False])
 def test_packing_stage(spark, frame, stages, whole):
     """Every piece of every row by the library: piece, start, length and crc32; sequences without gaps, as many as planned."""
