@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,10 +37,20 @@ def standardised(ratios: DataFrame) -> DataFrame:
     return robust_z(long, ["asof_date", "feature"], "x", "z", F.col("bad")).select(*IDS, pillar[F.col("feature")].alias("pillar"), "feature", "z")
 
 
+def mean_in_order(features: Sequence[str], value: str = "z") -> Column:
+    """Mean of the `value`s of a group's features, summed in their order: names with equal values get equal means, whatever the shuffle's order.
+
+    Else names that tie would be ranked by the last bits of their sums, and otherwise in each run.
+    """
+    own = [F.when(F.col("feature") == f, F.col(value)) for f in features]
+    total = sum((F.coalesce(F.sum(x), F.lit(0.0)) for x in own), F.lit(0.0))
+    return F.try_divide(total, sum((F.count(x) for x in own), F.lit(0)))
+
+
 def composite(ratios: DataFrame, weights: dict[str, float] | None = None, least: int = 2) -> DataFrame:
     """Pillar scores and their mean, null with fewer than `least` pillars."""
     w = weights or {p: 1 / 3 for p in PILLARS}
-    by = standardised(ratios).groupBy(*IDS).agg(*[F.avg(F.when(F.col("pillar") == p, F.col("z"))).alias(f"score_{p}") for p in PILLARS])
+    by = standardised(ratios).groupBy(*IDS).agg(*[mean_in_order(fs).alias(f"score_{p}") for p, fs in PILLARS.items()])
     return by.withColumn("score", weighted_mean([f"score_{p}" for p in PILLARS], [w[p] for p in PILLARS], least))
 
 
@@ -78,10 +88,10 @@ def score_dynamics(scores: DataFrame, window: int = WINDOW, keys: Sequence[str]
 
 def investment_ranking(scores: DataFrame, window: int = WINDOW) -> DataFrame:
     """Mean of the robust z-scores of slope, level and (inverted) volatility, ranked."""
-    ids = ["asof_date", "gvkey", "permno"]
-    long = long_form(score_dynamics(scores, window), ids, [(c, F.col(c)) for c in ("slope_score", "avg_score", "vol_dscore")])
+    ids, measures = ["asof_date", "gvkey", "permno"], ("slope_score", "avg_score", "vol_dscore")
+    long = long_form(score_dynamics(scores, window), ids, [(c, F.col(c)) for c in measures])
     z = robust_z(long, ["asof_date", "feature"], "x", "z", F.col("feature") == "vol_dscore")
-    return ranked(z.groupBy(*ids).agg(F.avg("z").alias("score"))).select("asof_date", "rank", "gvkey", "permno", "score")
+    return ranked(z.groupBy(*ids).agg(mean_in_order(measures).alias("score"))).select("asof_date", "rank", "gvkey", "permno", "score")
 
 
 def score_features(scores: DataFrame, window: int = WINDOW) -> DataFrame:

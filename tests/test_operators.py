@@ -317,3 +317,19 @@ def test_stages_follow_their_tables(spark, tmp_path):
     assert read() == read() == 3
     spark.range(2).write.mode("append").parquet(path)
     assert read() == 5
+
+
+def test_equal_names_tie_whatever_the_order_of_their_rows(spark, monkeypatch):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in their last bit: not in rank."""
+    day, names = D(2000, 1, 1), {1: -1, 2: 1}  # the second name's rows come in the order of the sums
+    of = lambda features: [(day, str(p), p, f, z) for p, step in names.items() for f, z in list(zip(features, (0.1, 0.2, 0.3)))[::step]]
+    shape = "asof_date date, gvkey string, permno bigint, feature string, z double"
+    both = [*of(scores.PILLARS["P"]), *of(scores.PILLARS["V"])]
+    monkeypatch.setattr(scores, "standardised", lambda _: spark.createDataFrame(both, shape).coalesce(1).withColumn("pillar", F.when(F.col("feature").isin(*scores.PILLARS["P"]), "P").otherwise("V")))
+    got = rows(scores.anchor_ranking(None), "rank")
+    assert [r[3] for r in got] == [1, 2] and got[0][4] == got[1][4] == pytest.approx(0.2)
+    measures = ("slope_score", "avg_score", "vol_dscore")
+    monkeypatch.setattr(scores, "score_dynamics", lambda *_: spark.createDataFrame([(day, "1", 1, 0.0, 0.0, 0.0)], "asof_date date, gvkey string, permno bigint, slope_score double, avg_score double, vol_dscore double"))
+    monkeypatch.setattr(scores, "robust_z", lambda *_: spark.createDataFrame(of(measures), shape).coalesce(1))
+    got = rows(scores.investment_ranking(None), "rank")
+    assert [r[3] for r in got] == [1, 2] and got[0][4] == got[1][4] == pytest.approx(0.2)
