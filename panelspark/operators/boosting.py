@@ -6,10 +6,13 @@ sums of gradients and weights by (node, feature, bin); of the splits so found th
 gain first, stay until the tree has its leaves. Leaves shrink by L2. Rows of the late fold are not trained on; their loss after each
 round is kept in the model table, and `best_rounds` takes the least, with patience.
 
-Where the rows of a fit are at most `at_most`, one task grows all its trees, and the fits run beside each other as groups of one
-plan. A larger fit stays spread over its partitions: each level is a Spark aggregation of partial histograms, the best split of a
-node is found in a group of bounded size (features x bins), and only splits reach the driver. Both use the same functions and give the same trees up to the order
-of sums; margins are written anew every REWRITE rounds, so that neither lineage nor the trees to apply grow.
+A fit is held by one task where its rows fit there: they become codes of a byte a feature where they are read (two from 255 bins
+on), an eighth of a row of doubles, so that a task holds 8 times `at_most` rows, and the fits grow beside each other, one a partition, the
+largest first. A tree's histograms are summed over the smaller of two children only, two features at once where rows are many; the
+other child is the rest of its parent. A row's leaf comes from tables of its codes (`_tables`). A larger fit stays spread over its
+partitions: each level is a Spark aggregation of partial histograms, the best split of a node is found in a group of bounded size
+(features x bins), and only splits reach the driver. Both give the same trees up to the order of sums; margins of spread fits are
+written anew every REWRITE rounds, so that neither lineage nor the trees to apply grow.
 
 The model table has a row for each fit and round: its tree as nodes with thresholds of the features' own scale, so that a later anchor
 can start from it (`before`): its trees are taken over as they stand, and their sum is the new fit's base.
@@ -36,6 +39,7 @@ NODE = "struct<feature:int,threshold:double,nulls_left:boolean,left:int,right:in
 MODEL = f"dt date, horizon string, round int, late_loss double, rows bigint, tree array<{NODE}>"
 FIT = ["dt", "horizon"]
 REWRITE = 20
+BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -61,9 +65,9 @@ def thresholds(rows: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     return rows.groupBy(*FIT).agg(F.count("*").alias("rows"), F.array(*[F.struct(of(c).alias("at")) for c in columns]).alias("edges"))
 
 
-def binned(x: np.ndarray, edges: Sequence[np.ndarray], bins: int) -> np.ndarray:
+def binned(x: np.ndarray, edges: Sequence[np.ndarray], bins: int, kind: type = np.int16) -> np.ndarray:
     """Bin b of a value: it exceeds b thresholds; nulls are in the last bin."""
-    out = np.empty(x.shape, np.int16)
+    out = np.empty(x.shape, kind)
     for f, e in enumerate(edges):
         out[:, f] = np.searchsorted(e, x[:, f], "left")
     out[np.isnan(x)] = bins + 1
@@ -177,18 +181,87 @@ class Tree:
         return out
 
 
+def _tables(nodes: Sequence[tuple], grids: Sequence[np.ndarray], null: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """For each feature of a tree a table from code to the leaves that its splits leave open, as bits; and the leaves' values from left to right.
+
+    A split to the right closes the leaves on its left, whatever the way to it: of the leaves that stay open in all tables the
+    first is the row's.
+    """
+    values, closes = [], []
+
+    def under(k: int) -> int:
+        feature, threshold, nulls, left, right, value = nodes[k]
+        if feature < 0:
+            values.append(value)
+            return 1 << len(values) - 1
+        leaves = under(left)
+        closes.append((feature, int(np.searchsorted(grids[feature], threshold)), nulls, leaves))
+        return leaves | under(right)
+
+    every = under(0)
+    kind = np.uint32 if len(values) <= 32 else np.uint64 if len(values) <= 64 else object
+    tables: dict[int, np.ndarray] = {}
+    for feature, at, nulls, leaves in closes:
+        table = tables.setdefault(feature, np.full(null + 1, every, kind))
+        rest = every & ~leaves if kind is object else kind(every & ~leaves)
+        table[at + 1 : null] &= rest
+        if not nulls:
+            table[null] &= rest
+    return tables, np.array(values, float)
+
+
+def _first_leaf(leaves: np.ndarray) -> np.ndarray:
+    """Number of the lowest bit that is set."""
+    if leaves.dtype == object:
+        return np.array([(n & -n).bit_length() - 1 for n in leaves], np.intp)
+    low = leaves & (~leaves + leaves.dtype.type(1))
+    return (low.astype(np.float32).view(np.int32) >> 23) - 127 if leaves.dtype == np.uint32 else (low.astype(np.float64).view(np.int64) >> 52) - 1023
+
+
+def _valued(tables: dict[int, np.ndarray], values: np.ndarray, codes: Sequence[np.ndarray], joint: dict[tuple[int, int], np.ndarray] | None = None) -> np.ndarray:
+    """A tree's value for each row of `codes` (an array a feature); `joint` has the codes of two features as one number."""
+    n = len(codes[0])
+    if not tables:
+        return np.full(n, values[0])
+    looked, left = [], dict(tables)
+    for (a, b), code in (joint or {}).items():
+        if a in left and b in left:
+            looked.append(((left.pop(a)[:, None] & left.pop(b)[None, :]).ravel(), code))
+    looked += [(table, codes[f]) for f, table in left.items()]
+    out = np.empty(n)
+    for at in range(0, n, BLOCK):
+        leaves = None
+        for table, code in looked:
+            found = table.take(code[at : at + BLOCK], mode="clip")
+            leaves = found if leaves is None else np.bitwise_and(leaves, found, out=leaves)
+        out[at : at + BLOCK] = values.take(_first_leaf(leaves), mode="clip")
+    return out
+
+
+class Forest:
+    """Trees made ready for many rows: thresholds of all trees are one grid a feature, and rows become codes by it."""
+
+    def __init__(self, trees: Sequence[Sequence], columns: int):
+        found: list[set] = [set() for _ in range(columns)]
+        for tree in trees:
+            for feature, threshold, *_ in tree:
+                if feature >= 0 and threshold < np.inf:
+                    found[feature].add(threshold)
+        self.grids = [np.array(sorted(f), float) for f in found]
+        self.null = max((len(g) for g in self.grids), default=0) + 1
+        self.trees = [_tables(tree, self.grids, self.null) for tree in trees]
+
+    def applied(self, x: np.ndarray) -> np.ndarray:
+        codes = np.ascontiguousarray(binned(x, self.grids, self.null - 1, np.min_scalar_type(self.null)).T)
+        total = np.zeros(len(x))
+        for tables, values in self.trees:
+            total += _valued(tables, values, codes)
+        return total
+
+
 def applied(trees: Sequence[Sequence], x: np.ndarray) -> np.ndarray:
     """Sum of the trees' values for rows of features (nulls are NaN)."""
-    total, rows = np.zeros(len(x)), np.arange(len(x))
-    for tree in trees:
-        feature, threshold, nulls, left, right, value = (np.array([t[i] if t[i] is not None else 0 for t in tree]) for i in range(6))
-        node = np.zeros(len(x), np.int64)
-        while (inner := feature[node] >= 0).any():
-            v = x[rows, np.maximum(feature[node], 0)]
-            goes_left = np.where(np.isnan(v), nulls[node].astype(bool), v <= threshold[node])
-            node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
-        total += value[node]
-    return total
+    return Forest(trees, x.shape[1]).applied(x)
 
 
 def _histograms(bins: np.ndarray, group: np.ndarray, groups: int, g: np.ndarray, w: np.ndarray, s: Settings) -> np.ndarray:
@@ -200,32 +273,82 @@ def _histograms(bins: np.ndarray, group: np.ndarray, groups: int, g: np.ndarray,
     return np.stack([many(g), many(w), many(None)]) if n else np.zeros((3, groups, columns, width))
 
 
+def _joint(codes: Sequence[np.ndarray], features: np.ndarray, width: int) -> dict[tuple[int, int], np.ndarray]:
+    """The codes of two features each as one number."""
+    kind = np.min_scalar_type(width * width - 1)
+    return {(int(a), int(b)): codes[a].astype(kind) * kind.type(width) + codes[b] for a, b in zip(features[::2], features[1::2])}
+
+
+def _sums(codes: Sequence[np.ndarray], features: np.ndarray, joint: dict[tuple[int, int], np.ndarray], rows: np.ndarray, g: np.ndarray, w: np.ndarray, s: Settings) -> np.ndarray:
+    """Sums of g and w and numbers of some rows by (feature, bin); two features at once where their cells are fewer than the rows."""
+    width = s.bins + 2
+    out, weights, left = np.zeros((3, len(codes), width)), (g.take(rows), w.take(rows), None), [int(f) for f in features]
+    if len(rows) > width * width:
+        for (a, b), code in joint.items():
+            at = code.take(rows).astype(np.intp)
+            for k, v in enumerate(weights):
+                cells = np.bincount(at, v, width * width).reshape(width, width)
+                out[k, a], out[k, b] = cells.sum(1), cells.sum(0)
+            left.remove(a), left.remove(b)
+    for f in left:
+        at = codes[f].take(rows).astype(np.intp)
+        for k, v in enumerate(weights):
+            out[k, f] = np.bincount(at, v, width)
+    return out
+
+
+def _tree(codes: Sequence[np.ndarray], features: np.ndarray, joint: dict[tuple[int, int], np.ndarray], use: np.ndarray, g: np.ndarray, w: np.ndarray, s: Settings) -> Tree:
+    """A tree of the rows `use`. Of two children the smaller is summed, the other is the rest of their parent."""
+    tree, rows, sums = Tree(s), {0: use}, {0: _sums(codes, features, joint, use, g, w, s)}
+    while tree.open:
+        parents = tree.open
+        tree.add(best_splits(*np.stack([sums[k] for k in parents], 1), features, s))
+        for k in parents:
+            own, whole = rows.pop(k), sums.pop(k)
+            if k not in tree.splits or not tree.open:
+                continue
+            feature, bin_, nulls = (int(v) for v in tree.splits[k][1:4])
+            value = codes[feature].take(own)
+            goes = value <= bin_
+            if nulls:
+                goes |= value == s.bins + 1
+            sides = own.compress(goes), own.compress(~goes)
+            small = int(len(sides[1]) < len(sides[0]))
+            part = _sums(codes, features, joint, sides[small], g, w, s)
+            rest = whole - part
+            rest[:, rest[2] == 0] = 0
+            at = tree.left[k]
+            rows[at], rows[at + 1] = sides
+            sums[at + small], sums[at + 1 - small] = part, rest
+    return tree
+
+
+def _code_type(s: Settings) -> type:
+    return np.min_scalar_type(s.bins + 1).type
+
+
 def grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, late: np.ndarray, key: np.ndarray, edges: Sequence[np.ndarray], s: Settings, before: Sequence = ()) -> Iterator[tuple[int, float | None, list]]:
     """round, loss of the late fold after it, tree: the trees of one fit whose rows are at hand; `before`'s trees come first."""
+    yield from ((k, None, t) for k, t in enumerate(before))
+    codes = np.ascontiguousarray(binned(x, edges, s.bins, _code_type(s)).T)
+    yield from _rounds(codes, y, w, late, key, edges, s, applied(before, x) if before else None, len(before))
+
+
+def _rounds(codes: np.ndarray, y: np.ndarray, w: np.ndarray, late: np.ndarray, key: np.ndarray, edges: Sequence[np.ndarray], s: Settings, margin: np.ndarray | None, start: int) -> Iterator[tuple[int, float | None, list]]:
+    """The rounds of one fit from `start` on, of rows as codes (an array a feature); without a `margin` the mean comes first."""
     late = late if late.any() and not late.all() else np.zeros(len(y), bool)
-    train = ~late
-    bins = binned(x, edges, s.bins)
-    if before:
-        yield from ((k, None, t) for k, t in enumerate(before))
-        margin, start = applied(before, x), len(before)
-    else:
+    train, width = ~late, s.bins + 2
+    if margin is None:
         mean = float((w[train] * y[train]).sum() / w[train].sum())
         yield 0, None, [(-1, None, None, None, None, mean)]
         margin, start = np.full(len(y), mean), 1
     best = (np.inf, start)
     for at in range(start, start + s.rounds):
         use = np.flatnonzero(train & _drawn(key, at, s))
-        features = _features(x.shape[1], at, s)
-        tree, own, gradient, node = Tree(s), bins[use], (w * (margin - y))[use], np.zeros(len(use), np.int64)
-        while tree.open:
-            number = np.full(tree.size, -1)
-            number[tree.open] = np.arange(len(tree.open))
-            here = np.flatnonzero(number[node] >= 0)
-            g, h, n = _histograms(own[here], number[node[here]], len(tree.open), gradient[here], w[use][here], s)
-            tree.add(best_splits(g, h, n, features, s))
-            node = tree.routed(own, node)
-        nodes = tree.nodes(edges)
-        margin = margin + applied([nodes], x)
+        features = _features(len(codes), at, s)
+        joint = _joint(codes, features, width) if len(use) > width * width else {}
+        nodes = _tree(codes, features, joint, use, w * (margin - y), w, s).nodes(edges)
+        margin = margin + _valued(*_tables(nodes, edges, s.bins + 1), codes, joint)
         loss = _loss(y, margin, w, late)
         yield at, loss, nodes
         if loss is not None:
@@ -262,25 +385,91 @@ def fitted(rows: DataFrame, columns: Sequence[str], path: str, s: Settings | Non
         setup = setup.withColumn("before", F.lit(None).cast(f"array<struct<round:int,tree:array<{NODE}>>>"))
     setup.write.parquet(f"{path}/setup")
     setup = rows.sparkSession.read.parquet(f"{path}/setup")
-    small, large = setup.where(F.col("rows") <= s.at_most), setup.where(F.col("rows") > s.at_most)
-
-    def one(train: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if train.empty or given.empty:
-            return pd.DataFrame([], columns=["dt", "horizon", "round", "late_loss", "rows", "tree"])
-        train = train.sort_values(["key", "y"], kind="stable")  # sums in one order, whatever the shuffle's
-        x = train[list(columns)].to_numpy(float)
-        start = given["before"].iloc[0]
-        old = [] if start is None else [_as_nodes(t) for t in start]
-        trees = list(grown(x, train["y"].to_numpy(float), train["w"].to_numpy(float), train["late"].to_numpy(bool), train["key"].to_numpy(np.int64), _edges(given["edges"].iloc[0]), s, old))
-        return pd.DataFrame({"dt": given["dt"].iloc[0], "horizon": given["horizon"].iloc[0], "round": [t[0] for t in trees], "late_loss": [t[1] for t in trees], "rows": len(train), "tree": [t[2] for t in trees]})
-
-    own = rows.join(small.select(*FIT), FIT, "left_semi").select(*FIT, "key", *columns, "y", "w", "late")
-    own.groupBy(*FIT).cogroup(small.groupBy(*FIT)).applyInPandas(one, MODEL).write.parquet(f"{path}/model")
+    room = s.at_most * 8 // np.dtype(_code_type(s)).itemsize
+    small, large = setup.where(F.col("rows") <= room), setup.where(F.col("rows") > room)
+    old = small.select(*FIT, F.posexplode("before").alias("round", "_t"), "rows").select(*FIT, "round", F.lit(None).cast("double").alias("late_loss"), "rows", "_t.tree")
+    old.unionByName(_held(rows, columns, small, before, s)).write.parquet(f"{path}/model")
     if large.limit(1).count():
         _spread(rows.join(F.broadcast(large.select(*FIT)), FIT, "left_semi"), columns, large, path, s).write.mode("append").parquet(f"{path}/model")
     return rows.sparkSession.read.schema(MODEL).parquet(f"{path}/model")
 
 
+def _slots(rows: DataFrame, n: int) -> list[int]:
+    """For each of n partitions a number that `repartition` deals to it."""
+    found: dict[int, int] = {}
+    wide = 16 * n + 64
+    while len(found) < n:
+        numbers = rows.sparkSession.range(wide).select(F.col("id").cast("int").alias("v"))
+        found = {r.p: r.v for r in numbers.select("v", F.pmod(F.hash("v"), F.lit(n)).alias("p")).collect()}
+        wide *= 2
+    return [found[k] for k in range(n)]
+
+
+def _held(rows: DataFrame, columns: Sequence[str], setup: DataFrame, before: DataFrame | None, s: Settings) -> DataFrame:
+    """The new rounds of fits that a task each can hold: rows become codes where they are read, some 50 bytes a row, and then meet.
+
+    Margins of older trees are worked out there too, by all tasks. The driver holds the fits' thresholds and older trees, no rows.
+    The largest fits begin first.
+    """
+    spark, names, kind = rows.sparkSession, list(columns), _code_type(s)
+    fits = setup.select(*FIT, "rows", "edges").orderBy(F.desc("rows"), *FIT).collect()
+    if not fits:
+        return spark.createDataFrame([], MODEL)
+    edges, slots = [_edges(f.edges) for f in fits], _slots(rows, len(fits))
+    olds = {} if before is None else {r["horizon"]: [_as_nodes(t) for t in r["trees"]] for r in before.select("horizon", "trees").toArrow().to_pylist()}
+    starts = [olds.get(f.horizon, []) for f in fits]
+    counts = [len(o) for o in starts]
+    numbered = spark.createDataFrame([(f.dt, f.horizon, i, slots[i]) for i, f in enumerate(fits)], "dt date, horizon string, fit int, slot int")
+    whole = {"slot": pa.int32(), "fit": pa.int32(), "key": pa.int64(), "y": pa.float64(), "w": pa.float64(), "late": pa.bool_(), "margin": pa.float64(), "codes": pa.binary()}
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forests: dict[int, Forest] = {}
+        for batch in batches:
+            fit = batch.column("fit").to_numpy()
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], 1) if batch.num_rows else np.zeros((0, len(names)))
+            codes, margin = np.empty(x.shape, kind), np.zeros(len(x))
+            for i in np.unique(fit):
+                own = fit == i
+                codes[own] = binned(x[own], edges[i], s.bins, kind)
+                if starts[i]:
+                    if i not in forests:
+                        forests[i] = Forest(starts[i], len(names))
+                    margin[own] = forests[i].applied(x[own])
+            step = codes.shape[1] * codes.itemsize
+            at = pa.py_buffer(np.arange(0, (len(x) + 1) * step, step, dtype=np.int32)[: len(x) + 1])
+            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, at, pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("slot", "fit", "key", "y", "w", "late")], pa.array(margin), packed], list(whole))
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, list[dict[str, np.ndarray]]] = {}
+        for batch in batches:
+            fit = batch.column("fit").to_numpy()
+            own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "y", "w", "late", "margin")}
+            packed = batch.column("codes")
+            first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset] if batch.num_rows else 0
+            own["codes"] = np.frombuffer(packed.buffers()[2] or b"", kind, batch.num_rows * len(names), int(first)).reshape(-1, len(names))
+            for i in np.unique(fit):
+                met.setdefault(int(i), []).append({c: v[fit == i] for c, v in own.items()})
+        for i in sorted(met):
+            parts = met.pop(i)
+            key, y = (np.concatenate([p[c] for p in parts]) for c in ("key", "y"))
+            order = np.lexsort((y, key))  # sums in one order, whatever the shuffle's
+            w, late, margin = (np.concatenate([p[c] for p in parts])[order] for c in ("w", "late", "margin"))
+            codes = np.empty((len(names), len(y)), kind)
+            for f in range(len(names)):
+                codes[f] = np.concatenate([p["codes"][:, f] for p in parts])[order]
+            del parts
+            for at, loss, tree in _rounds(codes, y[order], w, late, key[order], edges[i], s, margin if counts[i] else None, counts[i]):
+                yield pa.RecordBatch.from_pylist([{"fit": i, "round": at, "late_loss": loss, "tree": [dict(zip(("feature", "threshold", "nulls_left", "left", "right", "value"), n)) for n in tree]}], arrow)
+
+    arrow = pa.schema([("fit", pa.int32()), ("round", pa.int32()), ("late_loss", pa.float64()), ("tree", pa.list_(pa.struct([("feature", pa.int32()), ("threshold", pa.float64()), ("nulls_left", pa.bool_()), ("left", pa.int32()), ("right", pa.int32()), ("value", pa.float64())])))])
+    own = rows.join(F.broadcast(numbered), FIT).select("slot", "fit", "key", *names, "y", "w", "late")
+    packed = own.mapInArrow(coded, "slot int, fit int, key bigint, y double, w double, late boolean, margin double, codes binary")
+    found = packed.repartition(len(fits), "slot").mapInArrow(trained, f"fit int, round int, late_loss double, tree array<{NODE}>")
+    told = spark.createDataFrame([(i, f.dt, f.horizon, f.rows) for i, f in enumerate(fits)], "fit int, dt date, horizon string, rows bigint")
+    return found.join(F.broadcast(told), "fit").select(*FIT, "round", "late_loss", "rows", "tree")
+
+
 def _spread(rows: DataFrame, columns: Sequence[str], setup: DataFrame, path: str, s: Settings) -> DataFrame:
     """The same for fits whose rows stay in their partitions; the driver holds the fits' thresholds and trees, no rows."""
     spark = rows.sparkSession

@@ -164,11 +164,12 @@ def tree_models(features: DataFrame, labels: DataFrame, columns: Sequence[str],
     """
     settings = settings or Settings()
     spark = features.sparkSession
-    tree_rows(features, labels, columns, train_years, half_life).write.parquet(f"{path}/train")
-    train = spark.read.parquet(f"{path}/train")
+    train = tree_rows(features, labels, columns, train_years, half_life)
     if not warm:
-        return fitted(train, columns, path, settings)
-    before = None
+        train.write.parquet(f"{path}/train")
+        return fitted(spark.read.parquet(f"{path}/train"), columns, path, settings)
+    train.write.partitionBy("dt").parquet(f"{path}/train")  # a step reads its own anchor's rows only
+    train, before = spark.read.schema(train.schema).parquet(f"{path}/train"), None
     for k, (dt,) in enumerate(train.select("dt").distinct().orderBy("dt").collect()):  # some hundreds of dates
         model = fitted(train.where(F.col("dt") == F.lit(dt)), columns, f"{path}/{k}", settings, before)
         newest = best_trees(model, settings.patience)

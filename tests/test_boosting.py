@@ -167,3 +167,56 @@ def test_tree_ranking_has_every_anchor(spark, tmp_path):
     assert np.mean([r.permno for r in got if r.rank <= 5]) > 25
     for warm in (False, True):
         assert learning.tree_ranking(features.limit(0), passed, ["a", "b"], str(tmp_path / f"none{warm}"), 1.0, warm=warm).count() == 0
+
+
+def walked(trees, x):
+    """Sum of the trees' values, a row and a node at a time."""
+    out = np.zeros(len(x))
+    for tree in trees:
+        for i, row in enumerate(x):
+            k = 0
+            while tree[k][0] >= 0:
+                feature, threshold, nulls, left, right, _ = tree[k]
+                k = left if (nulls if np.isnan(row[feature]) else row[feature] <= threshold) else right
+            out[i] += tree[k][5]
+    return out
+
+
+@pytest.mark.parametrize("leaves,depth,more_than", [(31, 6, 20), (60, 8, 32), (90, 12, 64)])
+def test_trees_by_bits_are_trees_by_nodes(leaves, depth, more_than):
+    x, y, w, late, key = data(4, 2000)
+    s = Settings(**{**PLAIN.__dict__, "rounds": 3, "leaves": leaves, "depth": depth, "least_leaf": 1, "l2": 0.01})
+    y = np.random.default_rng(6).normal(size=2000)
+    trees = [t[2] for t in boosting.grown(x, y, w, np.zeros(2000, bool), key, [np.unique(c[~np.isnan(c)]) for c in x.T], s)]
+    assert max(sum(n[0] < 0 for n in t) for t in trees) > more_than
+    assert np.allclose(boosting.applied(trees, x), walked(trees, x), rtol=0, atol=1e-14)
+    edge = [[(0, float("inf"), False, 1, 2, 0.0), (-1, None, None, None, None, 1.0), (-1, None, None, None, None, 5.0)]]
+    assert boosting.applied(edge, np.array([[3.0], [np.nan]])).tolist() == [1.0, 5.0]  # past the last threshold only nulls go right
+
+
+def test_a_tree_sums_the_smaller_child_only(monkeypatch):
+    x, y, w, late, key = data(5, 6000)
+    summed, sums = [], boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda codes, features, joint, rows, *a: summed.append(len(rows)) or sums(codes, features, joint, rows, *a))
+    s = Settings(rounds=1, leaves=31, depth=6, least_leaf=20, row_share=1.0, feature_share=1.0)
+    edges = [np.quantile(c[~np.isnan(c)], np.arange(64) / 64) for c in x.T]
+    got = list(boosting.grown(x, y, w, np.zeros(6000, bool), key, [np.unique(e) for e in edges], s))
+    assert len(got[1][2]) > 40 and len(summed) > 20 and sum(summed) <= 6000 * (1 + 5 / 2)  # a level by level pass has 6 times the rows
+    joint = boosting._joint(boosting.binned(x, edges, s.bins).T, np.arange(3), s.bins + 2)
+    codes, rows = np.ascontiguousarray(boosting.binned(x, edges, s.bins, np.uint8).T), np.arange(6000)
+    assert np.allclose(sums(codes, np.arange(3), joint, rows, y, w, s), sums(codes, np.arange(3), {}, rows, y, w, s), atol=1e-9)  # two features at once
+
+
+def test_fits_that_fit_a_task_as_bytes_are_not_spread(spark, tmp_path, monkeypatch):
+    rows = frame(spark, {(date(2000, 1, 1), h): data(i) for i, h in enumerate(("3mo", "6mo", "1y"))})
+    s = Settings(rounds=4, leaves=6, depth=3, rate=0.3, least_leaf=4, bins=128)
+    whole = lambda m: sorted((r.horizon, r["round"], r.late_loss or 0.0, str(r.tree)) for r in m.collect())
+    want = whole(boosting.fitted(rows, ["a", "b", "c"], str(tmp_path / "one"), s))
+
+    def fail(*_):
+        raise AssertionError("spread")
+
+    monkeypatch.setattr(boosting, "_spread", fail)
+    got = boosting.fitted(rows, ["a", "b", "c"], str(tmp_path / "bytes"), Settings(**{**s.__dict__, "at_most": 20}))
+    assert whole(got) == want and len(want) == 3 * 5
+    assert len(set(boosting._slots(rows, 50))) == 50
