@@ -50,19 +50,23 @@ def held_returns(selection: DataFrame, returns: DataFrame) -> DataFrame:
     return rows.withColumn("gross", running_product(1 + F.col("r"), along([*KEYS, "signal", "permno"], ["DATE"])))
 
 
-def carried_forward(held: DataFrame) -> DataFrame:
-    """`held` positions on all days of their cohort from their first on, the last gross return carried on after a name stops (Q18).
+def carried_nav(held: DataFrame) -> DataFrame:
+    """The navs of `held` where a name that has stopped goes on with its last gross return from its first day on (Q18).
 
-    The days of a cohort are those on which one of its names has a row; each position meets them by an equi-join on the cohort.
-    Of a name's rows of one day the last gross return counts (the greatest, where they tie).
+    The days of a cohort are those on which one of its names has a row. A position adds its first gross return on its first day and what it
+    has changed on each further day of its own: the running sums over a cohort's days are those of all names that have begun, so
+    that positions need not be laid out over all days. Of a name's rows of one day the greatest gross return counts.
     """
     cohort = [*KEYS, "end_date"]
-    days = held.select(*cohort, "DATE").distinct()
-    own = held.groupBy(*cohort, "signal", "permno", "DATE").agg(F.max("gross").alias("gross"))
-    spans = own.groupBy(*cohort, "signal", "permno").agg(F.min("DATE").alias("_first"))
-    dense = spans.join(days, cohort).where("DATE >= _first").drop("_first").join(own, [*cohort, "signal", "permno", "DATE"], "left")
-    along_position = along([*cohort, "signal", "permno"], ["DATE"]).rowsBetween(W.unboundedPreceding, 0)
-    return dense.withColumn("gross", F.last("gross", ignorenulls=True).over(along_position))
+    position = [*cohort, "signal", "permno"]
+    own = held.groupBy(*position, "DATE").agg(F.max("gross").alias("gross"))
+    before = F.lag("gross").over(along(position, ["DATE"]))
+    moved = own.withColumns({"first": before.isNull(), "change": F.col("gross") - F.coalesce(before, F.lit(0.0))})
+    sides = {"nav_long": F.col("signal") == 1, "nav_short": F.col("signal") == -1}
+    of = lambda c, side: F.sum(F.when(side, c).otherwise(0))
+    days = moved.groupBy(*cohort, "DATE").agg(*[of(F.col("change"), s).alias(n) for n, s in sides.items()], *[of(F.col("first").cast("bigint"), s).alias(f"_{n}") for n, s in sides.items()])
+    so_far = along(cohort, ["DATE"]).rowsBetween(W.unboundedPreceding, 0)
+    return days.select(*cohort, "DATE", *[F.try_divide(F.sum(n).over(so_far), F.sum(f"_{n}").over(so_far)).alias(n) for n in sides])
 
 
 def cohort_nav(selection: DataFrame, returns: DataFrame, carry: bool = False) -> DataFrame:
@@ -71,7 +75,9 @@ def cohort_nav(selection: DataFrame, returns: DataFrame, carry: bool = False) ->
     With `carry`, names that have stopped count with their last gross return (PF4, Q18).
     """
     held = held_returns(selection, returns)
-    by = (carried_forward(held) if carry else held).groupBy(*KEYS, "end_date", "DATE")
+    if carry:
+        return carried_nav(held)
+    by = held.groupBy(*KEYS, "end_date", "DATE")
     return by.agg(F.avg(F.when(F.col("signal") == 1, F.col("gross"))).alias("nav_long"), F.avg(F.when(F.col("signal") == -1, F.col("gross"))).alias("nav_short"))
 
 

@@ -85,6 +85,26 @@ def test_carry_forward(spark):
     assert portfolio.cohort_nav(selection, returns.limit(0), carry=True).count() == 0
 
 
+def test_carried_positions_are_not_laid_out_over_days(panels):
+    """The daily panel is read once, and only sums by day are shuffled."""
+    tree = plan(portfolio.cohort_nav(panels.selection, panels.returns_d, carry=True))
+    assert exchanges_above(tree, "RET") == [2]  # the sums by day, and their order within a cohort
+
+
+def test_carried_sums_against_days(spark):
+    g = np.random.default_rng(8)
+    picks = [("m", D(2020, 1, 1), p, 1 if p < 6 else -1) for p in range(10)]
+    moves = {p: {int(k): float(g.normal() * 0.1) for k in g.choice(np.arange(2, 29), g.integers(1, 9), replace=False)} for p in range(9)}  # the tenth has no rows
+    rows = [(p, D(2020, 1, k), r, None) for p, own in moves.items() for k, r in own.items()]
+    nav = portfolio.cohort_nav(spark.createDataFrame(picks, "model string, asof_date date, permno bigint, signal int"), spark.createDataFrame(rows, "PERMNO bigint, DATE date, RET double, DLRET double").repartition(5), carry=True)
+    want = {}
+    for day in sorted({k for own in moves.values() for k in own}):
+        value = {p: np.prod([1 + r for k, r in own.items() if k <= day]) for p, own in moves.items() if min(own) <= day}
+        mean = lambda side: pytest.approx(np.mean(side), abs=1e-12) if side else None
+        want[day] = (mean([v for p, v in value.items() if p < 6]), mean([v for p, v in value.items() if p >= 6]))
+    assert {r.DATE.day: (r.nav_long, r.nav_short) for r in nav.collect()} == want
+
+
 def test_incremental_write_mends_a_half_written_date(spark, tmp_path):
     path = str(tmp_path / "panel")
     rows = spark.createDataFrame([(D(2020, 1, d), k, 1.0) for d in (1, 2, 3) for k in range(4)] + [(None, 9, 1.0)], "asof_date date, permno bigint, v double")
