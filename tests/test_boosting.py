@@ -220,3 +220,19 @@ def test_fits_that_fit_a_task_as_bytes_are_not_spread(spark, tmp_path, monkeypat
     got = boosting.fitted(rows, ["a", "b", "c"], str(tmp_path / "bytes"), Settings(**{**s.__dict__, "at_most": 20}))
     assert whole(got) == want and len(want) == 3 * 5
     assert len(set(boosting._slots(rows, 50))) == 50
+
+
+def test_predictions_by_many_trees_of_several_models(spark):
+    """Thresholds of all trees share one grid a feature: more of them than a byte holds, and others in each model."""
+    x, y, w, _, key = data(7, 3000)
+    x[:, 0] = np.where(np.isnan(x[:, 0]), np.nan, np.random.default_rng(9).normal(size=3000))
+    edges = [np.unique(c[~np.isnan(c)]) for c in x.T]
+    s = Settings(**{**PLAIN.__dict__, "rounds": 40, "leaves": 31, "depth": 6, "bins": 4000})
+    models = [[t[2] for t in boosting.grown(x, of, w, np.zeros(3000, bool), key, edges, s)] for of in (y, -y * y)]
+    forest = boosting.Forest(models[0], 3)
+    assert len(forest.grids[0]) > 256
+    now = spark.createDataFrame([(date(2000, 1, 1), p, *[None if np.isnan(v) else float(v) for v in x[p]]) for p in range(200)], "dt date, permno bigint, a double, b double, c double")
+    trees = spark.createDataFrame([(date(2000, 1, 1), h, [(k, t) for k, t in enumerate(m)]) for h, m in zip(("3mo", "1y"), models)], f"dt date, horizon string, trees array<struct<round:int,tree:array<{boosting.NODE}>>>")
+    got = {(r.horizon, r.permno): r.pred for r in boosting.predicted(now, ["a", "b", "c"], trees, 70).collect()}
+    for h, m in zip(("3mo", "1y"), models):
+        assert np.allclose([got[h, p] for p in range(200)], walked(m, x[:200]), rtol=0, atol=1e-12)
